@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
-from vouch.llm import exact_dedup
+import public_tokenizers
+
+from vouch.llm import byte_bpe, exact_dedup, secret_scans
 from vouch.llm.common import table
 
 
+def op2_secret_scans(spark, sf_dir):
+    return secret_scans.secret_digests(table(spark, sf_dir, "documents"))
+
+
+def op6_byte_bpe(spark, sf_dir):
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.round_trip_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
 def queries():
-    return {"op9_exact_dedup": op9_exact_dedup}
+    return {"op2_secret_scans": op2_secret_scans, "op6_byte_bpe": op6_byte_bpe, "op9_exact_dedup": op9_exact_dedup}
 
 
 def oracle_sql():
