@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from vouch.llm import byte_bpe, exact_dedup, secret_scans
+from vouch.llm import byte_bpe, exact_dedup, packing, secret_scans
 from vouch.llm.common import table
 
 
@@ -17,12 +17,16 @@ def op6_byte_bpe(spark, sf_dir):
     return byte_bpe.round_trip_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op7_packing(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
 def queries():
-    return {"op2_secret_scans": op2_secret_scans, "op6_byte_bpe": op6_byte_bpe, "op9_exact_dedup": op9_exact_dedup}
+    return {"op2_secret_scans": op2_secret_scans, "op6_byte_bpe": op6_byte_bpe, "op7_packing": op7_packing, "op9_exact_dedup": op9_exact_dedup}
 
 
 def oracle_sql():
