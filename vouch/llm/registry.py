@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from vouch.llm import byte_bpe, exact_dedup, packing, quality_rules, secret_scans
+from vouch.llm import byte_bpe, exact_dedup, packing, quality_rules, secret_scans, token_counts
 from vouch.llm.common import table
 
 
@@ -12,6 +12,12 @@ def op2_secret_scans(spark, sf_dir):
     return secret_scans.secret_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark, sf_dir):
+    docs = token_counts.derived_edits(table(spark, sf_dir, "documents"))
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return token_counts.edited_counts(docs, ranks, public_tokenizers.PATTERN).drop("tree")
+
+
 def op4_quality_rules(spark, sf_dir):
     return quality_rules.judged(table(spark, sf_dir, "documents"))
 
@@ -30,7 +36,7 @@ def op9_exact_dedup(spark, sf_dir):
 
 
 def queries():
-    return {"op2_secret_scans": op2_secret_scans, "op4_quality_rules": op4_quality_rules, "op6_byte_bpe": op6_byte_bpe, "op7_packing": op7_packing, "op9_exact_dedup": op9_exact_dedup}
+    return {"op2_secret_scans": op2_secret_scans, "op3_token_counts": op3_token_counts, "op4_quality_rules": op4_quality_rules, "op6_byte_bpe": op6_byte_bpe, "op7_packing": op7_packing, "op9_exact_dedup": op9_exact_dedup}
 
 
 def oracle_sql():
