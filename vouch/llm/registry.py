@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from vouch.llm import byte_bpe, exact_dedup, packing, quality_rules, secret_scans, token_counts
+from vouch.llm import byte_bpe, exact_dedup, packing, quality_rules, secret_scans, token_counts, toxicity
 from vouch.llm.common import table
 
 
@@ -31,12 +31,16 @@ def op7_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_toxicity(spark, sf_dir):
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
 def queries():
-    return {"op2_secret_scans": op2_secret_scans, "op3_token_counts": op3_token_counts, "op4_quality_rules": op4_quality_rules, "op6_byte_bpe": op6_byte_bpe, "op7_packing": op7_packing, "op9_exact_dedup": op9_exact_dedup}
+    return {"op2_secret_scans": op2_secret_scans, "op3_token_counts": op3_token_counts, "op4_quality_rules": op4_quality_rules, "op6_byte_bpe": op6_byte_bpe, "op7_packing": op7_packing, "op8_toxicity": op8_toxicity, "op9_exact_dedup": op9_exact_dedup}
 
 
 def oracle_sql():
