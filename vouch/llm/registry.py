@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from vouch.llm import byte_bpe, exact_dedup, packing, quality_rules, secret_scans, token_counts, toxicity
+from vouch.llm import byte_bpe, exact_dedup, jaccard_join, packing, quality_rules, secret_scans, token_counts, toxicity
 from vouch.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_quality_rules(spark, sf_dir):
     return quality_rules.judged(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark, sf_dir):
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark, sf_dir):
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.round_trip_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -40,7 +44,7 @@ def op9_exact_dedup(spark, sf_dir):
 
 
 def queries():
-    return {"op2_secret_scans": op2_secret_scans, "op3_token_counts": op3_token_counts, "op4_quality_rules": op4_quality_rules, "op6_byte_bpe": op6_byte_bpe, "op7_packing": op7_packing, "op8_toxicity": op8_toxicity, "op9_exact_dedup": op9_exact_dedup}
+    return {"op2_secret_scans": op2_secret_scans, "op3_token_counts": op3_token_counts, "op4_quality_rules": op4_quality_rules, "op5_jaccard_join": op5_jaccard_join, "op6_byte_bpe": op6_byte_bpe, "op7_packing": op7_packing, "op8_toxicity": op8_toxicity, "op9_exact_dedup": op9_exact_dedup}
 
 
 def oracle_sql():
