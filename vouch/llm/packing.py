@@ -15,34 +15,44 @@ are packed each on their own. An empty table has no pieces.
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from vouch.llm.common import arrow_schema, slices, whole_texts
 
-KNOWN_WORDS = 400_000
+KNOWN_WORDS, KNOWN_PIECES = 600_000, 400_000
 _DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Sequence ids of a partition: its number in the bits above these.
 _LOCAL_BITS = 36
 
 
 class WordTokens:
-    """Ids of whole texts by a tokenizer that drops white space, with the ids of known words kept."""
+    """Ids of whole texts by a tokenizer that drops white space, with the ids of known words and pre-tokens kept.
+
+    Where the tokenizer normalises by NFC and lower case and splits by one pattern into byte-level pre-tokens, words of
+    Latin letters are split here and only their new pre-tokens go to its model; all other words go through it whole.
+    """
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model, self.pattern = self.tokenizer.model, _split_pattern(json.loads(tokenizer_json))
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -50,7 +60,7 @@ class WordTokens:
         if missing := set().union(*words).difference(self.known):
             if len(self.known) + len(missing) > KNOWN_WORDS:
                 self.known, missing = {}, set().union(*words)
-            self._learn(list(missing))
+            self._learn(missing)
         return [b"".join(map(self.known.__getitem__, found)) for found in words]
 
     @staticmethod
@@ -60,7 +70,23 @@ class WordTokens:
             text = text.replace("Σ", "σ").lower()
         return text.replace("\n", " ").split(" ")
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: set[str]) -> None:
+        rest = []
+        if len(self.pieces) > KNOWN_PIECES:
+            self.pieces.clear()
+        for word in words:
+            if self.pattern and _LATIN.fullmatch(word):
+                self.known[word] = b"".join([self.pieces.get(piece) or self._piece(piece) for piece in self.pattern.findall(word)])
+            else:
+                rest.append(word)
+        if rest:
+            self._whole(rest)
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces[piece] = array("I", [token.id for token in self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTE_LEVEL))]).tobytes()
+        return ids
+
+    def _whole(self, words: list[str]) -> None:
         """One call for all words: a token belongs to the word in which it starts."""
         found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
         ids = np.array(found.ids, "<u4").tobytes()
@@ -71,6 +97,32 @@ class WordTokens:
             self.known[word] = ids[a:b]
 
 
+#: Lower-case Latin words with their marks: no letter here changes under NFC or the tokenizer's lower-casing.
+_LATIN = re.compile("[!-@\\[-~¡-¿ß-öø-ÿ÷]*")
+
+
+def _byte_level() -> dict[int, str]:
+    """The printable stand-ins of byte-level vocabularies: printable bytes stand for themselves, the others for U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTE_LEVEL = _byte_level()
+
+
+def _split_pattern(config: dict) -> regex.Pattern | None:
+    """The split pattern of a tokenizer of the kind that WordTokens knows, else nothing."""
+    normalizers = [x.get("type") for x in (config.get("normalizer") or {}).get("normalizers", [])]
+    steps = (config.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if normalizers != ["NFC", "Replace", "Lowercase"] or [x.get("type") for x in steps] != ["Split", "ByteLevel"]:
+        return None
+    split, level = steps
+    if split.get("behavior") != "Removed" or not split.get("invert") or level.get("add_prefix_space") or level.get("use_regex"):
+        return None
+    return regex.compile(split["pattern"]["Regex"])
+
+
 @cache
 def _tokens(tokenizer_json: str) -> WordTokens:
     return WordTokens(tokenizer_json)
