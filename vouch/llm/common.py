@@ -11,12 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vouch.session import ensure_package
+
 #: White space of the word rule: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ensure_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

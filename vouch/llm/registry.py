@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from vouch.llm import byte_bpe, exact_dedup, jaccard_join, packing, quality_rules, secret_scans, token_counts, toxicity
+from vouch.llm import block_dedup, byte_bpe, exact_dedup, jaccard_join, packing, quality_rules, secret_scans, suffix_dedup, token_counts, toxicity
 from vouch.llm.common import table
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scans(spark, sf_dir):
     return secret_scans.secret_digests(table(spark, sf_dir, "documents"))
 
@@ -43,8 +47,12 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_block_dedup(spark, sf_dir):
+    return block_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {"op2_secret_scans": op2_secret_scans, "op3_token_counts": op3_token_counts, "op4_quality_rules": op4_quality_rules, "op5_jaccard_join": op5_jaccard_join, "op6_byte_bpe": op6_byte_bpe, "op7_packing": op7_packing, "op8_toxicity": op8_toxicity, "op9_exact_dedup": op9_exact_dedup}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_secret_scans": op2_secret_scans, "op3_token_counts": op3_token_counts, "op4_quality_rules": op4_quality_rules, "op5_jaccard_join": op5_jaccard_join, "op6_byte_bpe": op6_byte_bpe, "op7_packing": op7_packing, "op8_toxicity": op8_toxicity, "op9_exact_dedup": op9_exact_dedup, "op10_block_dedup": op10_block_dedup}
 
 
 def oracle_sql():
