@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 
 from vouch.llm import block_dedup, byte_bpe, exact_dedup, jaccard_join, packing, quality_rules, secret_scans, suffix_dedup, token_counts, toxicity
@@ -52,7 +53,7 @@ def op10_block_dedup(spark, sf_dir):
 
 
 def queries():
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_secret_scans": op2_secret_scans, "op3_token_counts": op3_token_counts, "op4_quality_rules": op4_quality_rules, "op5_jaccard_join": op5_jaccard_join, "op6_byte_bpe": op6_byte_bpe, "op7_packing": op7_packing, "op8_toxicity": op8_toxicity, "op9_exact_dedup": op9_exact_dedup, "op10_block_dedup": op10_block_dedup}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_secret_scans": op2_secret_scans, "op3_token_counts": op3_token_counts, "op4_quality_rules": op4_quality_rules, "op5_jaccard_join": op5_jaccard_join, "op6_byte_bpe": op6_byte_bpe, "op7_packing": op7_packing, "op8_toxicity": op8_toxicity, "op9_exact_dedup": op9_exact_dedup, "op10_block_dedup": op10_block_dedup, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
