@@ -105,7 +105,7 @@ def sorted_lms(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray, bounds: np.n
         rank = (np.cumsum(n) - n)[names]
         tied = np.flatnonzero(n[names] > 1)
         key = names[tied] * (len(lms) + 1) + after[tied]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         tied, key = tied[order], key[order]
         place = np.arange(len(tied))
         group = np.maximum.accumulate(np.where(np.append(True, names[tied][1:] != names[tied][:-1]), place, 0))
@@ -115,7 +115,7 @@ def sorted_lms(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray, bounds: np.n
         used[rank] = True
         names = (np.cumsum(used) - 1)[rank]
         reach *= 2
-    return lms[np.argsort(names, kind="stable")]
+    return lms[np.argsort(names)]
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -130,23 +130,24 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 def permuted_common_prefixes(text: np.ndarray, array: np.ndarray, most: int) -> np.ndarray:
-    """For each position, how many symbols (up to `most`) its suffix shares with the one before it in the array.
+    """For each position of the array (all suffixes, or those of interest in their order), how many symbols, up to `most`,
+    its suffix shares with the one before it in the array; by position in the text, 0 for the others.
 
     text holds bytes; eight are compared at a time.
     """
     n = len(text)
     padded = np.concatenate([text.astype(np.uint8), np.zeros(most + 8, np.uint8)])
     eight = np.lib.stride_tricks.as_strided(padded, (n + most, 8), (1, 1))
-    before = np.full(n, -1, np.int64)
-    before[array[1:]] = array[:-1]
+    here, before = array[1:].astype(np.int64), array[:-1].astype(np.int64)
     common = np.zeros(n, np.int64)
-    still = np.flatnonzero(before >= 0)
+    still, of = here, before
     for k in range(0, most, 8):
-        x = eight[still + k].copy().view("<u8").ravel() ^ eight[before[still] + k].copy().view("<u8").ravel()
+        x = eight[still + k].copy().view("<u8").ravel() ^ eight[of + k].copy().view("<u8").ravel()
         differs = x != 0
         low = x[differs]
         common[still[differs]] = k + (np.log2((low & (~low + np.uint64(1))).astype(np.float64)).astype(np.int64) >> 3)
-        still = still[~differs]
+        still, of = still[~differs], of[~differs]
     common[still] = most
     # what lies beyond the end of the text is not shared
-    return np.minimum(np.minimum(common, most), np.where(before >= 0, n - np.maximum(np.arange(n), before), 0))
+    common[here] = np.minimum(np.minimum(common[here], most), n - np.maximum(here, before))
+    return common

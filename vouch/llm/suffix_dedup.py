@@ -30,19 +30,31 @@ _DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 str
 
 
 class _Contexts:
-    """The runs of windows with one anchor in a chunk: first window, number of windows, text, anchor hash and own hash."""
+    """The runs of windows with one anchor in a chunk: first window, number of windows, text, anchor hash and own hash.
+
+    Texts are taken some at a time, so that the arrays over their bytes stay in the processor's cache.
+    """
+
+    def __init__(self, chunk: Chunk, length: int, gram: int, part_bytes: int = 1 << 18):
+        parts, i, bounds = [], 0, chunk.bounds
+        while i < len(bounds) - 1:
+            j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + part_bytes, side="right")) - 1)
+            parts.append(self._part(chunk.data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], length, gram, bounds[i], i))
+            i = j
+        parts = parts or [self._part(chunk.data, bounds, length, gram, 0, 0)]
+        self.start, self.count, self.text, self.anchor, self.key = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.size = self.count + length - 1
 
-    def __init__(self, chunk: Chunk, length: int, gram: int):
-        data = chunk.data
+    @staticmethod
+    def _part(data: np.ndarray, bounds: np.ndarray, length: int, gram: int, first_byte: int, first_text: int) -> tuple[np.ndarray, ...]:
         at = np.arange(max(len(data) - gram + 1, 0))
         sums = words.prefix_sums(words.byte_values(data))
         grams = words.range_hashes(sums, at, at + gram)
-        at, text, anchor = anchored_windows(grams, chunk.bounds, length, gram)
+        at, text, anchor = anchored_windows(grams, bounds, length, gram)
         cut = runs(anchor, text)
         first = cut[:-1]
-        self.start, self.count, self.text, self.anchor = at[first], np.diff(cut), text[first], grams[anchor[first]]
-        self.size = self.count + length - 1
-        self.key = words.range_hashes(sums, self.start, self.start + self.size)
+        start, count = at[first], np.diff(cut)
+        return start + first_byte, count, text[first] + first_text, grams[anchor[first]], words.range_hashes(sums, start, start + count + length - 1)
 
 
 def _say_anchors(length: int, gram: int):
@@ -95,11 +107,11 @@ def _reply(length: int):
         text = np.zeros(int((size + 1).sum()), np.uint8)
         text[spread(at, size)] = content[spread(place, size)] + np.uint8(1)
         array = suffix_array(text, length)
-        common = permuted_common_prefixes(text, array, length)
         window = np.full(len(text), -1, np.int64)
         window_at = np.append(0, np.cumsum(count))
         window[spread(at, count)] = np.arange(window_at[-1])
         ordered = array[window[array] >= 0]
+        common = permuted_common_prefixes(text, ordered, length)
         group = np.flatnonzero(np.append(True, common[ordered][1:] < length)[: len(ordered)])
         document = np.repeat(by_context, count)[window[ordered]]
         least_of = np.empty(window_at[-1], np.int64)
