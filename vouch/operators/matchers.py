@@ -70,19 +70,16 @@ def product_type() -> Column:
     return _some(*(F.when(F.contains(low, F.lit(word)), _candidate(i, needle=F.lit(text))) for i, (word, text, _) in enumerate(PRODUCTS)))
 
 
-def _tradename(n: int) -> Column:
-    """The last n words before the last '(used on label)', without commas and stops at the end; null if there are fewer."""
+def _tradenames() -> Column:
+    """The last four, three, two and one words before the last '(used on label)', without commas and stops at the end."""
     words = F.filter(F.split(T.before_last("answer", T.USED_ON_LABEL), r"\s+"), lambda w: w != "")
-    return F.when(F.size(words) >= n, F.regexp_replace(F.array_join(F.slice(words, -n, n), " "), "[,.]+$", ""))
+    name = lambda words, n: F.when(F.size(words) >= n, F.regexp_replace(F.array_join(F.slice(words, -n, n), " "), "[,.]+$", ""))
+    return F.flatten(F.transform(F.array(words), lambda w: F.array(*(name(w, n) for n in (4, 3, 2, 1)))))
 
 
 def name_address() -> Column:
-    """The last four, three, two, one words of the trade name, each as written, then run together."""
-    ways = []
-    for i, n in enumerate((4, 3, 2, 1)):
-        normed = T.norm(_tradename(n))
-        ways += [F.when(normed.isNotNull(), _candidate(2 * i, needle=normed)), F.when(normed.isNotNull(), _candidate(2 * i + 1, needle=T.compact(normed), packed=True))]
-    return _some(*ways)
+    """Each trade name (column `normed`, the longest first) as written, then run together."""
+    return _some(*(F.when(F.get("normed", F.lit(i)).isNotNull(), c) for i in range(4) for c in (_candidate(2 * i, needle=F.get("normed", F.lit(i))), _candidate(2 * i + 1, needle=T.compact(F.get("normed", F.lit(i))), packed=True))))
 
 
 def printed_text() -> Column:
@@ -110,7 +107,13 @@ def supported_line() -> Column:
 
 
 def verdicts(asked: DataFrame, corpus: DataFrame) -> DataFrame:
-    """MATCH rows for answers(): one lookup for all kinds of fields, one for words anywhere, and the verdict of each kind."""
+    """MATCH rows for answers(): one lookup for all kinds of fields, one for words anywhere, and the verdict of each kind.
+
+    Answers and lines are read by several lookups, so both are persisted (memory, then disk): parsing and normalising them
+    costs more than reading them back.
+    """
+    corpus = corpus.persist()
+    asked = asked.withColumn("names", F.when(F.col("kind") == "NameAddress", _tradenames())).withColumn("normed", F.transform("names", T.norm)).persist()
     ways = _by_kind({kind: build() for kind, build in CANDIDATES.items()})
     probes = asked.select(*_KEYS, F.explode(ways).alias("c")).select(*_KEYS, "c.*")
     lines = E.first_evidence(probes, corpus, _KEYS, [supported_line()])
@@ -128,7 +131,7 @@ def verdicts(asked: DataFrame, corpus: DataFrame) -> DataFrame:
     wording = F.when(F.col("of_n").isNull(), "EMPTY").when(share >= 0.9, "MATCH").when(share >= 0.5, "PARTIAL").otherwise("NOT FOUND")
     status = F.when((kind == "Admin") | unmarked, "SKIP").when(kind == "Wording", wording).when(hit | enough, "MATCH").otherwise("NOT FOUND")
     product = F.get(F.array(*(F.lit(name) for *_, name in PRODUCTS)), F.col("way"))
-    tradename = F.get(F.array(*map(_tradename, (4, 3, 2, 1))), F.floor(F.col("way") / 2).cast("int"))
+    tradename = F.get("names", F.floor(F.col("way") / 2).cast("int"))
     place = [F.when(hit, F.col(f"line_{c}")).otherwise(0).cast("int").alias(f"line_{c}") for c in ("x1", "y1", "x2", "y2")]
     return rows.select(
         *_KEYS, "num", "question", "answer", status.alias("status"), (hit | enough).alias("found"),
@@ -174,6 +177,7 @@ def mandatory_rows(apps: DataFrame, corpus: DataFrame, last: DataFrame, anchors:
 def matches(apps: DataFrame, form_qa: DataFrame, corpus: DataFrame, anchors: tuple[str, ...] = ANCHORS) -> DataFrame:
     """A row for each answer of each application, and the mandatory row; applications without lines have it too."""
     asked = answers(form_qa).withColumn("pos", F.col("pos").cast("int"))
+    asked, corpus = asked.persist(), corpus.persist()
     last = asked.groupBy("app_id").agg(F.max("pos").alias("last"))
     return verdicts(asked, corpus).unionByName(mandatory_rows(apps, corpus, last, anchors))
 
