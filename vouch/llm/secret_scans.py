@@ -133,17 +133,17 @@ def redacted(docs: DataFrame, mask: str = "[SECRET]", **options) -> DataFrame:
 
     Values that many owners share are examples and stay as they are. Overlapping spans are masked as one.
     """
-    scanned, judged = judged_spans(docs.withColumn("doc_key", _key()), repo="doc_key", **options)
-    live = judged.filter("live").groupBy("repo").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans")).withColumnRenamed("repo", "doc_key")
+    scanned, judged = judged_spans(docs.withColumn("__doc_key", _key()), repo="__doc_key", **options)
+    live = judged.filter("live").groupBy("repo").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("__spans")).withColumnRenamed("repo", "__doc_key")
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else _mask(t, s, mask) for t, s in zip(texts, spans, strict=True)])
 
-    joined = docs.withColumn("doc_key", _key()).join(live, "doc_key", "left")
-    out = joined.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(masked("text", "spans")))
+    joined = docs.withColumn("__doc_key", _key()).join(live, "__doc_key", "left")
+    out = joined.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(masked("text", "__spans")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(docs.columns)
 
 

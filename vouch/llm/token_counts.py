@@ -170,7 +170,7 @@ def edited_counts(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
     """docs with their edits (a table of doc_id, seq, start, removed, added) as an array."""
     edit = F.struct(F.col("seq").cast("int").alias("seq"), F.col("start").cast("long").alias("start"), F.col("removed").cast("long").alias("removed"), F.col("added").cast("string").alias("added"))
-    return docs.join(edits.groupBy("doc_id").agg(F.collect_list(edit).alias("edits")), "doc_id", "left")
+    return docs.drop("edits").join(edits.groupBy("doc_id").agg(F.collect_list(edit).alias("edits")), "doc_id", "left")
 
 
 def derived_edits(docs: DataFrame) -> DataFrame:
