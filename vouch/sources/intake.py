@@ -54,8 +54,13 @@ def form_documents(documents: DataFrame) -> DataFrame:
     entry = "array<variant>"
     parsed = documents.select("app_id", F.try_parse_json("json").alias("v"))
     get = lambda path, kind: F.try_variant_get("v", path, kind)
-    rows = parsed.select("app_id", F.coalesce(get("$.ttb_id", "string"), F.lit("")).alias("ttb_id"), get("$.raw_text", "array<string>").alias("raw_text"), F.coalesce(get("$.form_qa", entry), get("$", entry)).alias("entries"))
-    value = lambda e, name: F.coalesce(F.when(F.expr("true"), F.try_variant_get(e, f"$.{name}", "string")), F.lit(""))
+
+    def value(of: Column, name: str) -> Column:
+        """A field that is text, else empty."""
+        is_text = F.schema_of_variant(F.try_variant_get(of, f"$.{name}", "variant")) == "STRING"
+        return F.when(is_text, F.try_variant_get(of, f"$.{name}", "string")).otherwise("")
+
+    rows = parsed.select("app_id", value(F.col("v"), "ttb_id").alias("ttb_id"), get("$.raw_text", "array<string>").alias("raw_text"), F.coalesce(get("$.form_qa", entry), get("$", entry)).alias("entries"))
     kept = F.filter("entries", lambda e: F.startswith(F.schema_of_variant(e), F.lit("OBJECT")))
     return rows.withColumn("form_qa", F.transform(kept, lambda e: F.struct(value(e, "num").alias("num"), value(e, "question").alias("question"), value(e, "answer").alias("answer")))).drop("entries")
 
