@@ -100,7 +100,7 @@ UNION ALL SELECT p_partkey, 5, '', 'no name' FROM {part}
 
 WORDS = """
 SELECT l_orderkey AS app_id, 'p2_1.png' AS image, CASE CAST(l_linenumber AS INT) % 3 WHEN 0 THEN 'raw' WHEN 1 THEN 'flat' ELSE 'bin' END AS variant,
-       CAST(l_partkey * 1000 + l_suppkey % 100 * 10 + l_linenumber AS INT) AS seq, CASE WHEN l_partkey % 9 = 0 THEN ' ' ELSE concat(CASE WHEN l_partkey % 2 = 0 THEN 'Wine' ELSE 'WINE' END, CAST(l_partkey % 4 AS STRING)) END AS text,
+       CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS INT) AS seq, CASE WHEN l_partkey % 9 = 0 THEN ' ' ELSE concat(CASE WHEN l_partkey % 2 = 0 THEN 'Wine' ELSE 'WINE' END, CAST(l_partkey % 4 AS STRING)) END AS text,
        CAST(l_quantity AS DOUBLE) - CASE WHEN l_partkey % 17 = 0 THEN 100 ELSE 0 END AS conf,
        CAST((l_partkey * 37) % 300 AS INT) AS x1, CAST((l_linenumber * 23 + l_suppkey % 11) % 90 AS INT) AS y1,
        CAST((l_partkey * 37) % 300 + 20 + l_suppkey % 60 AS INT) AS x2, CAST((l_linenumber * 23 + l_suppkey % 11) % 90 + 12 + l_partkey % 13 AS INT) AS y2, CAST(2 AS DOUBLE) AS scale
