@@ -117,7 +117,8 @@ def exact_groups(docs: DataFrame, most_slots: int = MOST_SLOTS) -> DataFrame:
         probed = probed.unionByName(part)
     alone = probed.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     again = probed.filter("maybe").select("doc_id", "text_sha256")
-    groups = again.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # written, so that the join deals both sides anew and a hot text's rows can be split
+    groups = written(again.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     shared = again.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
     return alone.unionByName(shared)
 
