@@ -99,7 +99,8 @@ def judged_spans(docs: DataFrame, most_owners: int = 2, **options) -> tuple[Data
     """The scanned rows (with a row number), and their spans with n_repos, n_owners and live."""
     scanned = written(candidates(docs, **options).withColumn("row_id", F.monotonically_increasing_id()), "scanned")
     spans = scanned.select("row_id", "repo", "owner", F.explode("spans").alias("span")).select("row_id", "repo", "owner", "span.*")
-    judged = spans.join(ownership(spans), "value_sha256").withColumn("live", F.col("n_owners") <= most_owners)
+    # written, so that the join deals both sides anew and a hot value's rows can be split
+    judged = spans.join(written(ownership(spans), "ownership"), "value_sha256").withColumn("live", F.col("n_owners") <= most_owners)
     return scanned, judged.filter((F.col("kind") < 3) | F.col("live"))
 
 
