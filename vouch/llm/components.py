@@ -1,7 +1,8 @@
 """Connected components of a link table, by alternating large-star and small-star steps.
 
 Each step groups by node with partial aggregation and joins the minimum back; no neighbourhood is ever gathered in one
-task. Every round is written to the shared folder, which cuts lineage.
+task, and as the minima are written first, the join can split the links of a hot node. Every round is written to the
+shared folder, which cuts lineage.
 """
 
 from __future__ import annotations
@@ -19,14 +20,14 @@ def _both_ways(links: DataFrame) -> DataFrame:
 def _large_star(links: DataFrame) -> DataFrame:
     """Each larger neighbour of u goes to the least of u and its neighbours."""
     both = _both_ways(links)
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """u and its smaller neighbours go to the least of them."""
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = written(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
 

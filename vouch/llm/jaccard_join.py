@@ -102,7 +102,8 @@ def _leaves(sets: DataFrame, runs: int, depth: int, bucket: int) -> DataFrame:
         if d + 1 == depth:
             ended = here
         else:
-            large = here.groupBy("run", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket).select("run", "key", F.lit(True).alias("large"))
+            # written, so that the join deals both sides anew and a hot bucket's rows can be split
+            large = written(here.groupBy("run", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket).select("run", "key", F.lit(True).alias("large")), "large")
             split = here.join(large, ["run", "key"], "left")
             ended = split.filter(F.col("large").isNull())
             here = split.filter("large").select("node", "run", "path", F.get("path", F.lit(d + 1)).alias("key"))
@@ -247,7 +248,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
     classes = described.filter("n_shingles > 0").groupBy("node", "check").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.any_value("keys").alias("keys"))
     classes = written(classes, "classes")
     leaves = written(_leaves(classes, runs, depth, bucket), "leaves")
-    buckets = _buckets(leaves, runs)
+    buckets = written(_buckets(leaves, runs), "buckets")
     ends = leaves.select("node", F.posexplode("leaves").alias("run", "leaf")).join(buckets, ["run", "leaf"])
     ends = ends.groupBy("node").agg(F.collect_list(F.struct("run", "leaf", "n")).alias("ends"))
     wanted = leaves.join(ends, "node").select(F.col("rep").alias("doc_id"), "node", "size", "leaves", "ends")
@@ -260,6 +261,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
     least = named.groupBy("component").agg(F.min("rep").alias("class_id"))
     of_class = classes.select("node", "rep", "size").join(named.select("node", "component").join(least, "component").select("node", "class_id"), "node", "left").join(links, "node", "left")
     of_class = of_class.select("node", F.coalesce("class_id", "rep").alias("class_id"), F.col("rep").alias("copy_id"), (F.coalesce("n_links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("n_class_links", F.lit(0)).cast("long").alias("n_class_links"))
+    of_class = written(of_class, "of-class")
     joined = described.filter("n_shingles > 0").select("doc_id", "node").join(of_class, "node").select("doc_id", "class_id", "copy_id", "n_links", "n_class_links")
     alone = described.filter("n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_class_links"))
     return joined.unionByName(alone)
