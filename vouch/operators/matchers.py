@@ -27,6 +27,11 @@ NO_TRADENAME = "no tradename marked 'Used on label'"
 ADMINISTRATIVE = "administrative field — not printed on label"
 MANDATORY_QUESTION, MANDATORY_ANSWER, MANDATORY_NOTE = "GOVERNMENT WARNING (100% REQUIRED)", "100% REQUIRED", "mandatory government warning check"
 CLASS_TYPE = r"(?i)CLASS/TYPE DESCRIPTION\s*\n([^\n]+)"
+#: What follows a volume, and what stands beside a strength; the number goes in as it is written, its point matching anything.
+AFTER_VOLUME = (r"(?:\.0+)?\s*m[l|i|!|1]\b", r"(?:\.0+)?\s*millilit(?:er|re)s?\b")
+AFTER_STRENGTH = r"(?:\.0+)?\s*0?\s*(?:%|percent|per cent|alc\.?|alcohol|by vol(?:ume)?)"
+BEFORE_STRENGTH, END_OF_STRENGTH = r"(?:alc\.?|alcohol)[.:]?\s*\b", r"(?:\.0+)?\b"
+SEEN, INCOMPLETE, NOT_SEEN = "SEEN - government warning complete ", "INCOMPLETE - government warning ", "NOT SEEN - government warning is mandatory"
 
 
 def answers(form_qa: DataFrame) -> DataFrame:
@@ -52,16 +57,15 @@ def _some(*candidates: Column) -> Column:
 def net_contents() -> Column:
     """The answer itself, else its first number as millilitres."""
     number = T.first_number("answer")
-    pattern = F.concat(F.lit(r"(?i)\b"), number, F.lit(r"(?:\.0+)?\s*m[l|i|!|1]\b|\b"), number, F.lit(r"(?:\.0+)?\s*millilit(?:er|re)s?\b"))
+    pattern = F.concat(F.lit(r"(?i)\b"), number, F.lit(AFTER_VOLUME[0] + r"|\b"), number, F.lit(AFTER_VOLUME[1]))
     return _some(_candidate(0, needle=F.col("a")), F.when(number != "", _candidate(1, pattern=pattern)))
 
 
 def alcohol() -> Column:
     """The answer's first number beside a word for alcohol; without a number, the answer itself."""
     number = T.first_number("answer")
-    before = F.concat(F.lit(r"(?i)\b"), number, F.lit(r"(?:\.0+)?\s*0?\s*(?:%|percent|per cent|alc\.?|alcohol|by vol(?:ume)?)"))
-    after = F.concat(F.lit(r"(?:alc\.?|alcohol)[.:]?\s*\b"), number, F.lit(r"(?:\.0+)?\b"))
-    return _some(F.when(number != "", _candidate(0, pattern=F.concat(before, F.lit("|"), after))).otherwise(_candidate(0, needle=F.col("a"))))
+    pattern = F.concat(F.lit(r"(?i)\b"), number, F.lit(f"{AFTER_STRENGTH}|{BEFORE_STRENGTH}"), number, F.lit(END_OF_STRENGTH))
+    return _some(F.when(number != "", _candidate(0, pattern=pattern)).otherwise(_candidate(0, needle=F.col("a"))))
 
 
 def product_type() -> Column:
@@ -109,14 +113,14 @@ def supported_line() -> Column:
 def verdicts(asked: DataFrame, corpus: DataFrame) -> DataFrame:
     """MATCH rows for answers(): one lookup for all kinds of fields, one for words anywhere, and the verdict of each kind.
 
-    Answers and lines are read by several lookups, so both are persisted (memory, then disk): parsing and normalising them
-    costs more than reading them back.
+    Answers, label lines and the lines found are read more than once, so they are persisted (memory, then disk): parsing
+    and normalising them costs more than reading them back.
     """
     corpus = corpus.persist()
     asked = asked.withColumn("names", F.when(F.col("kind") == "NameAddress", _tradenames())).withColumn("normed", F.transform("names", T.norm)).persist()
     ways = _by_kind({kind: build() for kind, build in CANDIDATES.items()})
     probes = asked.select(*_KEYS, F.explode(ways).alias("c")).select(*_KEYS, "c.*")
-    lines = E.first_evidence(probes, corpus, _KEYS, [supported_line()])
+    lines = E.first_evidence(probes, corpus, _KEYS, [supported_line()]).persist()
     joined = asked.join(lines, _KEYS, "left")
     loose = F.col("kind").isin(*SPREAD) & F.col("found").isNull()
     tokens = _by_kind({kind: E.tokens("a", least) for kind, (least, _) in SPREAD.items()})
@@ -165,7 +169,7 @@ def mandatory_rows(apps: DataFrame, corpus: DataFrame, last: DataFrame, anchors:
     k = F.col("found_n")
     status = F.when(k == n, "MATCH").when(k > 0, "PARTIAL").otherwise("NOT FOUND")
     checks = F.concat(F.lit("("), k.cast("string"), F.lit(f"/{n} checks)"))
-    message = F.when(k == n, F.concat(F.lit("SEEN - government warning complete "), checks)).when(k > 0, F.concat(F.lit("INCOMPLETE - government warning "), checks)).otherwise("NOT SEEN - government warning is mandatory")
+    message = F.when(k == n, F.concat(F.lit(SEEN), checks)).when(k > 0, F.concat(F.lit(INCOMPLETE), checks)).otherwise(NOT_SEEN)
     return rows.select(
         "app_id", (F.coalesce("last", F.lit(-1)) + 1).cast("int").alias("pos"), F.lit("GW").alias("num"), F.lit(MANDATORY_QUESTION).alias("question"), F.lit(MANDATORY_ANSWER).alias("answer"), status.alias("status"),
         F.coalesce("found", F.lit(False)).alias("found"), F.coalesce("image", F.lit("")).alias("image"), F.coalesce("line", F.lit("")).alias("line"), F.coalesce(F.col("conf").cast("double"), F.lit(-1.0)).alias("conf"),
