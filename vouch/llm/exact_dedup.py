@@ -124,7 +124,7 @@ def exact_groups(docs: DataFrame, most_slots: int = MOST_SLOTS) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_groups drops."""
+    """docs without the rows that exact_groups drops; rows that share a doc_id with a dropped one go with it."""
     dropped = exact_groups(docs).filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
 

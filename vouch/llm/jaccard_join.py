@@ -268,6 +268,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
 
 
 def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
-    """docs without those whose near-duplicate group has a smaller doc_id."""
+    """docs without those whose near-duplicate group has a smaller doc_id; rows that share a doc_id go together."""
     dropped = near_duplicates(docs, **options).filter("class_id != doc_id").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
