@@ -148,7 +148,7 @@ def dealt(hashes: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchor_blocks(anchors: np.ndarray, text: np.ndarray, n_buckets: int) -> dict[int, bytes]:
-    """Distinct anchor hashes, each with whether two documents of the chunk hold it."""
+    """Distinct anchor hashes (six bytes each: a clash there costs a candidate, no result), and whether two documents of the chunk hold them."""
     order = np.lexsort((text, anchors))
     h, t = anchors[order], text[order]
     new = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
@@ -156,16 +156,19 @@ def anchor_blocks(anchors: np.ndarray, text: np.ndarray, n_buckets: int) -> dict
     many = t[new] != t[last]
     h = h[new]
     order, at = dealt(h, n_buckets)
-    return {b: h[order[at[b] : at[b + 1]]].tobytes() + many[order[at[b] : at[b + 1]]].tobytes() for b in range(n_buckets) if at[b] < at[b + 1]}
+    six = (h[order] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
+    many = many[order]
+    return {b: np.uint32(n).tobytes() + six[x].tobytes() + np.packbits(many[x]).tobytes() for b in range(n_buckets) if (n := at[b + 1] - at[b]) and (x := slice(at[b], at[b + 1]))}
 
 
 def repeated_replies(blocks: list[pa.Buffer]) -> list[bytes]:
     """For each hash of each block, whether two documents of the corpus hold it."""
-    sizes = [b.size // 9 for b in blocks]
-    h = np.concatenate([np.frombuffer(b, np.uint64, n) for b, n in zip(blocks, sizes, strict=True)])
-    many = np.concatenate([np.frombuffer(b, bool, n, 8 * n) for b, n in zip(blocks, sizes, strict=True)])
+    sizes = [int(np.frombuffer(b, np.uint32, 1)[0]) for b in blocks]
+    six = np.concatenate([np.frombuffer(b, np.uint8, 6 * n, 4).reshape(n, 6) for b, n in zip(blocks, sizes, strict=True)])
+    h = np.pad(six, ((0, 0), (0, 2))).view("<u8").ravel()
+    many = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8, offset=4 + 6 * n), count=n).astype(bool) for b, n in zip(blocks, sizes, strict=True)])
     _, at, n = np.unique(h, return_inverse=True, return_counts=True)
-    repeated = ((n[at] > 1) | many)
+    repeated = (n[at] > 1) | many
     return [np.packbits(x).tobytes() for x in np.split(repeated, np.cumsum(sizes)[:-1])]
 
 

@@ -82,21 +82,37 @@ def _say_contexts(length: int, gram: int):
             if len(rows):
                 of = keep[rows]
                 content = chunk.data[spread(found.start[of], found.size[of])]
-                out[b] = b"".join([np.uint32(len(rows)).tobytes(), found.key[of].tobytes(), least[rows].tobytes(), most[rows].tobytes(), found.count[of].astype(np.uint8).tobytes(), content.tobytes()])
+                out[b] = _packed(found.count[of], least[rows], most[rows], content)
         return out
 
     return say
 
 
+def _packed(count: np.ndarray, least: np.ndarray, most: np.ndarray, content: np.ndarray) -> bytes:
+    """A block of contexts: the least doc_ids by planes of bytes (most are zero), and the largest only where it differs."""
+    differ = least != most
+    planes = least.astype("<i8").view(np.uint8).reshape(-1, 8).T
+    return b"".join([np.uint32(len(count)).tobytes(), count.astype(np.uint8).tobytes(), np.packbits(differ).tobytes(), planes.tobytes(), most[differ].astype("<i8").tobytes(), content.tobytes()])
+
+
+def _unpacked(block: pa.Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(block, np.uint32, 1)[0])
+    count, at = np.frombuffer(block, np.uint8, n, 4).astype(np.int64), 4 + n
+    differ = np.unpackbits(np.frombuffer(block, np.uint8, -(-n // 8), at), count=n).astype(bool)
+    at += -(-n // 8)
+    least = np.frombuffer(block, np.uint8, 8 * n, at).reshape(8, n).T.copy().view("<i8").ravel()
+    most, at = least.copy(), at + 8 * n
+    most[differ] = np.frombuffer(block[at : at + 8 * int(differ.sum())], "<i8")
+    return least, most, count, np.frombuffer(block, np.uint8, offset=at + 8 * int(differ.sum()))
+
+
 def _reply(length: int):
     def reply(blocks: list[pa.Buffer]) -> list[bytes]:
-        parts = []
-        for b in blocks:
-            n = int(np.frombuffer(b, np.uint32, 1)[0])
-            parts.append((np.frombuffer(b, "<u8", n, 4), np.frombuffer(b, "<i8", n, 4 + 8 * n), np.frombuffer(b, "<i8", n, 4 + 16 * n), np.frombuffer(b, np.uint8, n, 4 + 24 * n).astype(np.int64), np.frombuffer(b, np.uint8, offset=4 + 25 * n)))
-        key, least, _, count, content = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts = [_unpacked(b) for b in blocks]
+        least, _, count, content = (np.concatenate(x) for x in zip(*parts, strict=True))
         size = count + length - 1
         place = np.cumsum(size) - size
+        key = words.range_hashes(words.prefix_sums(words.byte_values(content)), place, place + size)
         # distinct contexts, each with the least document that holds it
         distinct, first, which = np.unique(key, return_index=True, return_inverse=True)
         by_context = np.full(len(distinct), np.iinfo(np.int64).max)
@@ -118,9 +134,9 @@ def _reply(length: int):
         if len(group):
             least_of[window[ordered]] = np.repeat(np.minimum.reduceat(document, group), np.diff(np.append(group, len(ordered))))
         out, row = [], 0
-        for keys, _, most, counts, _ in parts:
-            of = which[row : row + len(keys)]
-            row += len(keys)
+        for _, most, counts, _ in parts:
+            keys, of = key[row : row + len(counts)], which[row : row + len(counts)]
+            row += len(counts)
             out.append(answer_rows(keys, np.append(0, np.cumsum(counts)), least_of[spread(window_at[of], counts)], most).tobytes())
         return out
 
