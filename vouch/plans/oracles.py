@@ -255,5 +255,11 @@ SQL = {
     "uploads": _with(("runs", S.RUNS)) + f"SELECT run_id, filename, CASE WHEN {_PLAIN_NAME} THEN 'invalid file name' WHEN NOT ends_with(lower(filename), '.pdf') THEN 'only PDF files are accepted' END AS error, CASE WHEN {_PLAIN_NAME} OR NOT ends_with(lower(filename), '.pdf') THEN 400 WHEN size_bytes > 50000000 THEN 413 WHEN NOT contains(substr(head, 1, 1024), '%PDF-') THEN 400 ELSE 200 END AS status FROM runs",
     "expired_runs": _with(("runs", S.RUNS)) + "SELECT run_id, filename FROM runs WHERE regexp_matches(run_id, '^(?:run|sample)_[0-9a-f]{32}$') AND mtime < TIMESTAMP '2024-01-31 00:00:00'",
     "image_urls": _with(("runs", S.RUNS)) + "SELECT run_id, image AS name, CASE WHEN regexp_matches(run_id, '^(?:run|sample)_[0-9a-f]{32}$') AND regexp_matches(lower(image), '^[a-z0-9_.-]+\\.(?:png|jpe?g)$') THEN concat('/runs/', run_id, '/images/', image) END AS url FROM runs",
+    "report_lines": _with(*_MATCHES) + """SELECT app_id, pos, concat_ws(chr(10),
+      concat('  ', CASE status WHEN 'MATCH' THEN '[OK]  ' WHEN 'PARTIAL' THEN '[~]   ' WHEN 'NOT FOUND' THEN '[MISS]' WHEN 'SKIP' THEN '[n/a] ' ELSE '[?]   ' END, ' ', num, '. ', question),
+      concat('        answer : ', answer),
+      CASE WHEN found AND line <> '' THEN concat('        label  : "', line, '" on ', image, CASE WHEN conf >= 0 THEN concat(', conf ', round(conf, 2)) ELSE '' END,
+             CASE WHEN of_n IS NOT NULL THEN concat(' (', found_n, '/', of_n, ' tokens)') ELSE '' END, CASE WHEN coalesce(matched_as, '') <> '' THEN concat(' (matched as ''', matched_as, ''')') ELSE '' END)
+           WHEN status = 'SKIP' THEN concat('        note   : ', note) ELSE '        label  : (not found)' END) AS text FROM verdicts""",
     "form_documents": _with(*_FORM) + "SELECT * FROM form",
 }
