@@ -12,8 +12,9 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
-from vouch.llm import block_dedup, byte_bpe, exact_dedup, jaccard_join, packing, quality_rules, secret_scans, suffix_array, suffix_dedup, token_counts, toxicity
+from vouch.llm import block_dedup, byte_bpe, exact_dedup, jaccard_join, packing, quality_rules, repeats, secret_scans, suffix_array, suffix_dedup, token_counts, toxicity
 from vouch.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -105,6 +106,34 @@ def test_block_dedup(docs, empty):
     assert block_dedup.deduplicated(empty).count() == 0
 
 
+def hot_rows(n):
+    """One passage in every document, each time within other words."""
+    rng = random.Random(13)
+    own = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(80))
+    return [(i, f"{own()} {passage} {own()}") for i in range(n)]
+
+
+@pytest.fixture
+def largest_buckets(monkeypatch):
+    """The bytes of the largest bucket of each exchange."""
+    sizes, plain = [], repeats.Exchange.answer
+
+    def answer(self, blocks, *replies):
+        sizes.append(blocks.groupBy("bucket").agg(F.sum(F.octet_length("content")).alias("n")).agg(F.max("n")).first()[0])
+        return plain(self, blocks, *replies)
+
+    monkeypatch.setattr(repeats.Exchange, "answer", answer)
+    return sizes
+
+
+def test_block_dedup_spreads_a_hot_passage(spark, largest_buckets):
+    rows = hot_rows(400)
+    found = block_dedup.deduplicated(table(spark, rows), chunk_bytes=20_000, bucket_bytes=20_000).select("doc_id", "n_removed").collect()
+    same(found, [(i, sum(g)) for (i, _), g in zip(rows, removed(lambda t: tuple(WORD.findall(t)), rows), strict=True)])
+    assert max(largest_buckets) < 100_000
+
+
 def test_suffix_array():
     rng = np.random.default_rng(0)
     for _ in range(300):

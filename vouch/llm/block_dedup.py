@@ -6,9 +6,10 @@ judged on the input, not on what is left.
 Each document's non-overlapping blocks of half a window are the reference: every window holds a whole block of its own
 document. They are indexed by hash in buckets, and every rolling run of as many words, in all documents, probes them.
 Probes whose anchor (see repeats) stands in one document alone are left out beforehand; they cannot hit. A hit is then
-extended by up to half a window to either side: reference blocks and probes of a hash meet with the words around them,
-and of all windows around a block that agree word by word with one around a reference block, the least doc_id of the
-references answers.
+extended by up to half a window to either side: of every window that holds a hit the hash goes, with the chunk's least
+doc_id, to the bucket of that hash, where the least doc_id of all documents that hold the window answers. Two documents
+that hold a window both send it, as the blocks of either hit the other's probes. Windows are equal if 96 bits of hashes
+over their words are.
 
 Words are runs of anything but space and U+0009 to U+000D. Null and empty texts have none; documents shorter than a
 window lose nothing. Rows that repeat a doc_id are each judged on their own, and remove nothing from each other. An
@@ -24,11 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from vouch.llm import words
-from vouch.llm.repeats import Chunk, Exchange, among, anchor_blocks, anchored_windows, answer_rows, dealt, removed_windows, repeated_hashes, repeated_replies, runs, spread
+from vouch.llm.repeats import Chunk, Exchange, among, anchor_blocks, anchored_windows, dealt, found_windows, least_replies, repeated_hashes, repeated_replies, runs, spread, window_blocks
 
 WINDOW, GRAM = 50, 8
 _DDL = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-_NONE = np.iinfo(np.int64).max
 
 
 class _Probes:
@@ -46,14 +46,12 @@ class _Probes:
     def hashes(self) -> np.ndarray:
         return words.window_hashes(self.words, self.block)[self.at]
 
-    def contexts(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First word, end and hash of the blocks' surroundings: as far as a window around the block can reach."""
-        at, text = self.at[rows], self.text[rows]
-        low = np.maximum(at - (self.window - self.block), self.first_word[text])
-        high = np.minimum(at + self.window, self.first_word[text + 1])
-        short = self.words & np.uint64(0xFFFFFFFF)
-        key = words.range_hashes(words.prefix_sums(short + np.uint64(1)), low, high)
-        return low, high, words.mixed(key ^ (at - low).astype(np.uint64))
+    def near(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and texts of the windows that hold one of these blocks (a few more next to a text's end)."""
+        reach = self.window - self.block
+        marked = words.covered(np.maximum(self.at[rows] - reach, 0), reach + 1, len(self.words))
+        at, text = words.windows_within(self.first_word, self.window)
+        return at[marked[at]], text[marked[at]]
 
 
 def _say_anchors(window: int, gram: int):
@@ -94,73 +92,22 @@ def _reply_hits(blocks: list[pa.Buffer]) -> list[bytes]:
     return [a[x].tobytes() for a, x in zip(np.split(h, np.cumsum(sizes)[:-1]), np.split(hit, np.cumsum(sizes)[:-1]), strict=True)]
 
 
-def _say_hits(window: int, gram: int):
+def _say_windows(window: int, gram: int):
     def say(chunk: Chunk, earlier: dict, n_buckets: int) -> dict[int, bytes]:
         found = _Probes(chunk, window, gram)
         hits = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in earlier.values())]))
-        h = found.hashes()
-        rows = np.flatnonzero(among(h, hits))
-        h, text, at = h[rows], found.text[rows], found.at[rows]
-        low, high, key = found.contexts(rows)
-        doc = chunk.doc_id[text]
-        reference = np.where((at - found.first_word[text]) % found.block == 0, doc, _NONE)
-        order = np.argsort(key, kind="stable")
-        new = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])[: len(key)])
-        least = np.minimum.reduceat(reference[order], new) if len(new) else doc[:0]
-        most = np.maximum.reduceat(doc[order], new) if len(new) else doc[:0]
-        one = order[new]
-        order, cut = dealt(h[one], n_buckets)
-        short = found.words.astype(np.uint32)
-        out = {}
-        for b in range(n_buckets):
-            pick = order[cut[b] : cut[b + 1]]
-            if len(pick):
-                of = one[pick]
-                content = short[spread(low[of], (high - low)[of])]
-                out[b] = b"".join([np.uint32(len(pick)).tobytes(), key[of].tobytes(), least[pick].tobytes(), most[pick].tobytes(), (at - low)[of].astype(np.uint8).tobytes(), (high - low)[of].astype(np.uint8).tobytes(), content.tobytes()])
-        return out
+        at, text = found.near(np.flatnonzero(among(found.hashes(), hits)))
+        check = words.window_hashes(words.mixed(found.words), window)[at] >> np.uint64(32)
+        return window_blocks(words.window_hashes(found.words, window)[at], check, chunk.doc_id[text], n_buckets)
 
     return say
 
 
-def _reply_extended(window: int):
-    def reply(blocks: list[pa.Buffer]) -> list[bytes]:
-        parts = []
-        for b in blocks:
-            n = int(np.frombuffer(b, np.uint32, 1)[0])
-            at = 4 + 24 * n
-            parts.append((np.frombuffer(b, "<u8", n, 4), np.frombuffer(b, "<i8", n, 4 + 8 * n), np.frombuffer(b, "<i8", n, 4 + 16 * n), np.frombuffer(b, np.uint8, n, at).astype(np.int64), np.frombuffer(b, np.uint8, n, at + n).astype(np.int64), np.frombuffer(bytes(b)[at + 2 * n :], np.uint32)))
-        key, least, _, left, size, content = (np.concatenate(x) for x in zip(*parts, strict=True))
-        place = np.cumsum(size) - size
-        distinct, first, which = np.unique(key, return_index=True, return_inverse=True)
-        reference = np.full(len(distinct), _NONE)
-        np.minimum.at(reference, which, least)
-        # windows around the block: from the first word of the context to the block's own start
-        count = np.maximum(np.minimum(left, size - window) + 1, 0)
-        of_distinct = count[first]
-        window_at = np.append(0, np.cumsum(of_distinct))
-        start = spread(place[first], of_distinct)
-        h = words.range_hashes(words.prefix_sums(content.astype(np.uint64) + np.uint64(1)), start, start + window)
-        _, same = np.unique(h, return_inverse=True)
-        best = np.full(int(same.max()) + 1 if len(same) else 0, _NONE)
-        np.minimum.at(best, same, np.repeat(reference, of_distinct))
-        least_of = best[same]
-        out, row = [], 0
-        for keys, _, most, *_ in parts:
-            of, counts = which[row : row + len(keys)], count[row : row + len(keys)]
-            row += len(keys)
-            out.append(answer_rows(keys, np.append(0, np.cumsum(counts)), least_of[spread(window_at[of], counts)], most).tobytes())
-        return out
-
-    return reply
-
-
 def _conclude(window: int, gram: int):
     def conclude(chunk: Chunk, answers: dict[int, pa.Buffer]) -> list:
         found = _Probes(chunk, window, gram)
-        rows = np.arange(len(found.at))
-        low, _, key = found.contexts(rows)
-        starts = removed_windows(answers, key, low, chunk.doc_id[found.text])
+        at, text = words.windows_within(found.first_word, window)
+        starts = at[found_windows(list(answers.values()), words.window_hashes(found.words, window)[at], chunk.doc_id[text])]
         kept = ~words.covered(starts, window, len(found.words))
         # kept words with a space after each, then each text without its last space
         size = (found.ends - found.starts)[kept] + 1
@@ -177,9 +124,9 @@ def _conclude(window: int, gram: int):
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **sizes) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256 for every row of docs; window is even and at most 84 words."""
+    """doc_id, n_words, n_removed and kept_sha256 for every row of docs; window is even."""
     exchange = Exchange(docs, **sizes)
     repeated = exchange.answer(exchange.ask(_say_anchors(window, gram)), repeated_replies)
     hits = exchange.answer(exchange.ask(_say_probes(window, gram), repeated), _reply_hits)
-    least = exchange.answer(exchange.ask(_say_hits(window, gram), hits), _reply_extended(window))
+    least = exchange.answer(exchange.ask(_say_windows(window, gram), hits), least_replies)
     return exchange.finish(_conclude(window, gram), _DDL, least)

@@ -5,9 +5,12 @@ window's content alone, so equal windows have equal anchors; about one position
 
 Chunks. Documents are dealt to chunks of about `chunk_bytes` by the hash of their doc_id. A chunk sends what it has to
 say about an anchor (or another hash) to the bucket that the hash belongs to, a block of bytes for each bucket, and gets
-an answer block back. A chunk sends each distinct value once, whatever the number of its documents that hold it, so a
-passage of a third of all documents costs a bucket one value for each chunk. All steps read the same exchange of
-documents by chunk; each sorts a chunk's rows, so all see them in the same order.
+an answer block back. A chunk sends each distinct value once, whatever the number of its documents that hold it. All
+steps read the same exchange of documents by chunk; each sorts a chunk's rows, so all see them in the same order.
+
+Windows by their own hash. What surrounds a shared passage differs from document to document, so whatever is dealt by a
+part of the passage and carries its surroundings gathers all holders in one bucket. Windows dealt by the hash of the
+whole window do not: equal windows meet, one entry for each chunk, and different ones spread over all buckets.
 """
 
 from __future__ import annotations
@@ -233,3 +236,77 @@ def removed_windows(answers: dict[int, pa.Buffer], keys: np.ndarray, first_windo
     keep = row["least"] < doc_of[occurrence]
     row, occurrence = row[keep], occurrence[keep]
     return spread(first_window[occurrence] + row["run"].astype(np.int64), row["length"].astype(np.int64))
+
+
+# --- the least document that holds each window, by the window's own hash --------------------------------------------
+
+LEAST = np.dtype([("key", "<u8"), ("least", "<i8")])
+
+
+def packed_extent(least: np.ndarray, most: np.ndarray) -> list[bytes]:
+    """Least doc_ids by planes of bytes (most are zero), and the largest only where it differs."""
+    differ = least != most
+    planes = least.astype("<i8").view(np.uint8).reshape(-1, 8).T
+    return [np.packbits(differ).tobytes(), planes.tobytes(), most[differ].astype("<i8").tobytes()]
+
+
+def unpacked_extent(block: pa.Buffer, n: int, at: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Least and largest doc_ids of n values, from `at` on, and where they end."""
+    differ = np.unpackbits(np.frombuffer(block, np.uint8, -(-n // 8), at), count=n).astype(bool)
+    at += -(-n // 8)
+    least = np.frombuffer(block, np.uint8, 8 * n, at).reshape(8, n).T.copy().view("<i8").ravel()
+    most, at = least.copy(), at + 8 * n
+    most[differ] = np.frombuffer(block[at : at + 8 * int(differ.sum())], "<i8")
+    return least, most, at + 8 * int(differ.sum())
+
+
+def window_blocks(key: np.ndarray, check: np.ndarray, doc: np.ndarray, n_buckets: int) -> dict[int, bytes]:
+    """Each distinct window once, dealt by its hash: key (64 bits), check (32 more), least and largest doc_id of the chunk.
+
+    doc does not decrease.
+    """
+    order = np.argsort(key, kind="stable")
+    key, check, doc = key[order], check[order], doc[order]
+    new = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    last = np.append(new[1:], len(key))[: len(new)] - 1
+    key, check, least, most = key[new], check[new], doc[new], doc[last]
+    order, at = dealt(key, n_buckets)
+    cuts = ((b, order[at[b] : at[b + 1]]) for b in range(n_buckets) if at[b] < at[b + 1])
+    return {b: b"".join([np.uint32(len(x)).tobytes(), key[x].tobytes(), check[x].astype("<u4").tobytes(), *packed_extent(least[x], most[x])]) for b, x in cuts}
+
+
+def least_replies(blocks: list[pa.Buffer]) -> list[bytes]:
+    """Rows of LEAST for those windows of each block that can be removed in some document of its chunk."""
+    parts = []
+    for b in blocks:
+        n = int(np.frombuffer(b, np.uint32, 1)[0])
+        parts.append((np.frombuffer(b, "<u8", n, 4), np.frombuffer(b, "<u4", n, 4 + 8 * n), *unpacked_extent(b, n, 4 + 12 * n)[:2]))
+    key, check, least, _ = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((check, key))
+    k, c = key[order], check[order]
+    new = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1]))[: len(k)])
+    least_of = np.empty(len(k), np.int64)
+    least_of[order] = np.repeat(np.minimum.reduceat(least[order], new), np.diff(np.append(new, len(k))))
+    out, row = [], 0
+    for keys, _, _, most in parts:
+        found = least_of[row : row + len(keys)]
+        row += len(keys)
+        keep = found < most
+        rows = np.zeros(int(keep.sum()), LEAST)
+        rows["key"], rows["least"] = keys[keep], found[keep]
+        out.append(rows.tobytes())
+    return out
+
+
+def found_windows(answers: list[pa.Buffer], keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which windows (hash and document of each) stand in a smaller document, from the answers."""
+    rows = np.concatenate([np.zeros(0, LEAST), *(np.frombuffer(a, LEAST) for a in answers)])
+    rows = rows[np.argsort(rows["key"])]
+    if not len(rows):
+        return np.zeros(0, np.int64)
+    # a table of the first 20 bits leaves few windows to search for
+    known = np.zeros(1 << 20, bool)
+    known[rows["key"] >> np.uint64(44)] = True
+    maybe = np.flatnonzero(known[keys >> np.uint64(44)])
+    row = np.minimum(np.searchsorted(rows["key"], keys[maybe]), len(rows) - 1)
+    return maybe[(rows["key"][row] == keys[maybe]) & (rows["least"][row] < doc[maybe])]
