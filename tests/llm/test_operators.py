@@ -134,6 +134,13 @@ def test_block_dedup_spreads_a_hot_passage(spark, largest_buckets):
     assert max(largest_buckets) < 100_000
 
 
+def test_suffix_dedup_spreads_a_hot_anchor(spark, largest_buckets):
+    rows = hot_rows(400)
+    found = suffix_dedup.deduplicated(table(spark, rows), chunk_bytes=20_000, bucket_bytes=20_000).select("doc_id", "n_removed").collect()
+    same(found, [(i, sum(g)) for (i, _), g in zip(rows, removed(str.encode, rows), strict=True)])
+    assert largest_buckets[-1] < 30_000
+
+
 def test_suffix_array():
     rng = np.random.default_rng(0)
     for _ in range(300):

@@ -84,6 +84,7 @@ class Exchange:
         texts = whole_texts(docs)
         size = texts.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
         self.n_chunks, self.n_buckets = 1 + size // chunk_bytes, 1 + size // bucket_bytes
+        self.bucket_bytes = bucket_bytes
         self.docs = texts.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(self.n_chunks)).cast("int"))
 
     def ask(self, say: Callable, answers: DataFrame | None = None) -> DataFrame:
@@ -96,14 +97,15 @@ class Exchange:
 
         return self._over_chunks(blocks, _BLOCK_DDL, answers)
 
-    def answer(self, blocks: DataFrame, reply: Callable) -> DataFrame:
-        """reply(list of blocks of one bucket) gives an answer block for each."""
-        schema = arrow_schema(_BLOCK_DDL)
+    def answer(self, blocks: DataFrame, reply: Callable, beyond: Callable | None = None) -> DataFrame:
+        """reply(list of blocks of one bucket) gives an answer block for each; beyond: the same for buckets from n_buckets on."""
+        schema, n = arrow_schema(_BLOCK_DDL), self.n_buckets
 
         def answered(table: pa.Table) -> pa.Table:
             table = table.combine_chunks()
             table = table.take(pc.sort_indices(table, [("chunk", "ascending")]))
-            replies = reply([x.as_buffer() for x in table.column("content")])
+            of_bucket = reply if table.column("bucket")[0].as_py() < n else beyond
+            replies = of_bucket([x.as_buffer() for x in table.column("content")])
             return pa.table([table.column("bucket"), table.column("chunk"), pa.array(replies, pa.binary())], schema=schema)
 
         return blocks.groupBy("bucket").applyInArrow(answered, _BLOCK_DDL)
@@ -150,36 +152,62 @@ def dealt(hashes: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
 # --- which anchors stand in two documents or more -----------------------------------------------------------------
 
 
-def anchor_blocks(anchors: np.ndarray, text: np.ndarray, n_buckets: int) -> dict[int, bytes]:
-    """Distinct anchor hashes (six bytes each: a clash there costs a candidate, no result), and whether two documents of the chunk hold them."""
+def anchor_blocks(anchors: np.ndarray, text: np.ndarray, n_buckets: int, content: np.ndarray | None = None) -> dict[int, bytes]:
+    """Distinct anchor hashes (six bytes each: a clash there costs a candidate, no result), and whether two documents of the chunk hold them.
+
+    content: hashes of what is around each anchor; then the number of distinct ones goes with each anchor that has several.
+    """
     order = np.lexsort((text, anchors))
     h, t = anchors[order], text[order]
     new = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
     last = np.append(new[1:], len(h)) - 1 if len(new) else new
     many = t[new] != t[last]
     h = h[new]
+    n_content = np.ones(len(h), np.int64)
+    if content is not None and len(h):
+        n_content = np.bincount(np.searchsorted(h, anchors[np.unique(content, return_index=True)[1]]), minlength=len(h))
     order, at = dealt(h, n_buckets)
+    n_content = np.minimum(n_content[order], 0xFFFF)
     six = (h[order] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
     many = many[order]
-    return {b: np.uint32(n).tobytes() + six[x].tobytes() + np.packbits(many[x]).tobytes() for b in range(n_buckets) if (n := at[b + 1] - at[b]) and (x := slice(at[b], at[b + 1]))}
+
+    def counts(x: slice) -> bytes:
+        several = n_content[x] > 1
+        return b"" if content is None else np.packbits(several).tobytes() + n_content[x][several].astype("<u2").tobytes()
+
+    return {b: np.uint32(n).tobytes() + six[x].tobytes() + np.packbits(many[x]).tobytes() + counts(x) for b in range(n_buckets) if (n := at[b + 1] - at[b]) and (x := slice(at[b], at[b + 1]))}
+
+
+def _n_content(block: pa.Buffer, n: int) -> np.ndarray:
+    at = 4 + 6 * n + -(-n // 8)
+    several = np.unpackbits(np.frombuffer(block, np.uint8, -(-n // 8), at), count=n).astype(bool)
+    out = np.ones(n, np.int64)
+    out[several] = np.frombuffer(bytes(block)[at + -(-n // 8) :], "<u2")
+    return out
 
 
-def repeated_replies(blocks: list[pa.Buffer]) -> list[bytes]:
-    """For each hash of each block, whether two documents of the corpus hold it."""
+def repeated_replies(blocks: list[pa.Buffer], most: int | None = None) -> list[bytes]:
+    """For each hash of each block, whether two documents of the corpus hold it; with `most`, then also whether more than
+    that many contents, added up over chunks, are around it."""
     sizes = [int(np.frombuffer(b, np.uint32, 1)[0]) for b in blocks]
     six = np.concatenate([np.frombuffer(b, np.uint8, 6 * n, 4).reshape(n, 6) for b, n in zip(blocks, sizes, strict=True)])
     h = np.pad(six, ((0, 0), (0, 2))).view("<u8").ravel()
     many = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8, offset=4 + 6 * n), count=n).astype(bool) for b, n in zip(blocks, sizes, strict=True)])
     _, at, n = np.unique(h, return_inverse=True, return_counts=True)
-    repeated = (n[at] > 1) | many
-    return [np.packbits(x).tobytes() for x in np.split(repeated, np.cumsum(sizes)[:-1])]
+    cuts = np.cumsum(sizes)[:-1]
+    replies = [np.packbits(x).tobytes() for x in np.split((n[at] > 1) | many, cuts)]
+    if most is None:
+        return replies
+    n_content = np.concatenate([_n_content(b, n) for b, n in zip(blocks, sizes, strict=True)])
+    hot = np.bincount(at, weights=n_content)[at] > most
+    return [a + np.packbits(x).tobytes() for a, x in zip(replies, np.split(hot, cuts), strict=True)]
 
 
-def repeated_hashes(anchors: np.ndarray, answers: dict[int, pa.Buffer], n_buckets: int) -> np.ndarray:
-    """Of the chunk's distinct anchor hashes, sorted, those that the buckets call repeated."""
+def repeated_hashes(anchors: np.ndarray, answers: dict[int, pa.Buffer], n_buckets: int, part: int = 0) -> np.ndarray:
+    """Of the chunk's distinct anchor hashes, sorted, those that the buckets call repeated (part 1: those with too many contents)."""
     h = np.unique(anchors)
     order, at = dealt(h, n_buckets)
-    found = [h[order[at[b] : at[b + 1]]][np.unpackbits(np.frombuffer(content, np.uint8), count=at[b + 1] - at[b]).astype(bool)] for b, content in answers.items()]
+    found = [h[order[at[b] : at[b + 1]]][np.unpackbits(np.frombuffer(content, np.uint8, offset=part * -(-int(at[b + 1] - at[b]) // 8)), count=at[b + 1] - at[b]).astype(bool)] for b, content in answers.items()]
     return np.sort(np.concatenate([np.zeros(0, np.uint64), *found]))
 
 

@@ -9,6 +9,10 @@ windows meet in one bucket. A bucket is a shard: its distinct contexts are laid
 by induced sorting, the permuted common prefixes cut it into groups of equal windows, and each group's least doc_id
 answers for all of them.
 
+An anchor around which chunks have more distinct contexts than a part of a bucket holds is hot: one near the end of a
+passage that many documents share, say, as windows there reach into each document's own bytes. The windows of a hot
+anchor are dealt by their own hash instead (96 bits of hashes decide that two are equal), so they spread over buckets.
+
 Null and empty texts have no bytes; documents shorter than `length` lose nothing. Rows that repeat a doc_id are each
 judged on their own, and remove nothing from each other. An empty table gives an empty result.
 """
@@ -16,16 +20,19 @@ judged on their own, and remove nothing from each other. An empty table gives an
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from vouch.llm import words
-from vouch.llm.repeats import Chunk, Exchange, among, anchor_blocks, anchored_windows, answer_rows, dealt, removed_windows, repeated_hashes, repeated_replies, runs, spread
+from vouch.llm.repeats import Chunk, Exchange, among, anchor_blocks, anchored_windows, answer_rows, dealt, found_windows, least_replies, packed_extent, removed_windows, repeated_hashes, repeated_replies, runs, spread, unpacked_extent, window_blocks
 from vouch.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 LENGTH, GRAM = 50, 16
+#: An anchor is hot if it has more contexts than a bucket has units of so many bytes; a context is 50 to 84 bytes and some more.
+HOT_BYTES = 512
 _DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -60,7 +67,7 @@ class _Contexts:
 def _say_anchors(length: int, gram: int):
     def say(chunk: Chunk, earlier: dict, n_buckets: int) -> dict[int, bytes]:
         found = _Contexts(chunk, length, gram)
-        return anchor_blocks(found.anchor, found.text, n_buckets)
+        return anchor_blocks(found.anchor, found.text, n_buckets, found.key)
 
     return say
 
@@ -68,7 +75,8 @@ def _say_anchors(length: int, gram: int):
 def _say_contexts(length: int, gram: int):
     def say(chunk: Chunk, earlier: dict, n_buckets: int) -> dict[int, bytes]:
         found = _Contexts(chunk, length, gram)
-        keep = np.flatnonzero(among(found.anchor, repeated_hashes(found.anchor, earlier, n_buckets)))
+        repeated, hot = (among(found.anchor, repeated_hashes(found.anchor, earlier, n_buckets, part)) for part in (0, 1))
+        keep = np.flatnonzero(repeated & ~hot)
         key, doc = found.key[keep], chunk.doc_id[found.text[keep]]
         order = np.lexsort((doc, key))
         key, doc, keep = key[order], doc[order], keep[order]
@@ -83,27 +91,27 @@ def _say_contexts(length: int, gram: int):
                 of = keep[rows]
                 content = chunk.data[spread(found.start[of], found.size[of])]
                 out[b] = _packed(found.count[of], least[rows], most[rows], content)
+        split = np.flatnonzero(repeated & hot)
+        if len(split):
+            at, doc = spread(found.start[split], found.count[split]), np.repeat(chunk.doc_id[found.text[split]], found.count[split])
+            values = words.byte_values(chunk.data)
+            key = words.range_hashes(words.prefix_sums(values), at, at + length)
+            check = words.range_hashes(words.prefix_sums(words.mixed(values)), at, at + length) >> np.uint64(32)
+            out |= {n_buckets + b: x for b, x in window_blocks(key, check, doc, n_buckets).items()}
         return out
 
     return say
 
 
 def _packed(count: np.ndarray, least: np.ndarray, most: np.ndarray, content: np.ndarray) -> bytes:
-    """A block of contexts: the least doc_ids by planes of bytes (most are zero), and the largest only where it differs."""
-    differ = least != most
-    planes = least.astype("<i8").view(np.uint8).reshape(-1, 8).T
-    return b"".join([np.uint32(len(count)).tobytes(), count.astype(np.uint8).tobytes(), np.packbits(differ).tobytes(), planes.tobytes(), most[differ].astype("<i8").tobytes(), content.tobytes()])
+    """A block of contexts."""
+    return b"".join([np.uint32(len(count)).tobytes(), count.astype(np.uint8).tobytes(), *packed_extent(least, most), content.tobytes()])
 
 
 def _unpacked(block: pa.Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = int(np.frombuffer(block, np.uint32, 1)[0])
-    count, at = np.frombuffer(block, np.uint8, n, 4).astype(np.int64), 4 + n
-    differ = np.unpackbits(np.frombuffer(block, np.uint8, -(-n // 8), at), count=n).astype(bool)
-    at += -(-n // 8)
-    least = np.frombuffer(block, np.uint8, 8 * n, at).reshape(8, n).T.copy().view("<i8").ravel()
-    most, at = least.copy(), at + 8 * n
-    most[differ] = np.frombuffer(block[at : at + 8 * int(differ.sum())], "<i8")
-    return least, most, count, np.frombuffer(block, np.uint8, offset=at + 8 * int(differ.sum()))
+    least, most, at = unpacked_extent(block, n, 4 + n)
+    return least, most, np.frombuffer(block, np.uint8, n, 4).astype(np.int64), np.frombuffer(block, np.uint8, offset=at)
 
 
 def _reply(length: int):
@@ -143,10 +151,14 @@ def _reply(length: int):
     return reply
 
 
-def _conclude(length: int, gram: int):
+def _conclude(length: int, gram: int, n_buckets: int):
     def conclude(chunk: Chunk, answers: dict[int, pa.Buffer]) -> list:
         found = _Contexts(chunk, length, gram)
-        starts = removed_windows(answers, found.key, found.start, chunk.doc_id[found.text])
+        starts = removed_windows({b: x for b, x in answers.items() if b < n_buckets}, found.key, found.start, chunk.doc_id[found.text])
+        if split := [x for b, x in answers.items() if b >= n_buckets and len(x)]:
+            at, text = words.windows_within(chunk.bounds, length)
+            key = words.range_hashes(words.prefix_sums(words.byte_values(chunk.data)), at, at + length)
+            starts = np.append(starts, at[found_windows(split, key, chunk.doc_id[text])])
         gone = words.covered(starts, length, len(chunk.data))
         before = np.append(0, np.cumsum(gone))
         begins = gone.copy()
@@ -164,6 +176,7 @@ def _conclude(length: int, gram: int):
 def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, **sizes) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row of docs."""
     exchange = Exchange(docs, **sizes)
-    repeated = exchange.answer(exchange.ask(_say_anchors(length, gram)), repeated_replies)
-    least = exchange.answer(exchange.ask(_say_contexts(length, gram), repeated), _reply(length))
-    return exchange.finish(_conclude(length, gram), _DDL, least)
+    marks = partial(repeated_replies, most=exchange.bucket_bytes // HOT_BYTES)
+    repeated = exchange.answer(exchange.ask(_say_anchors(length, gram)), marks)
+    least = exchange.answer(exchange.ask(_say_contexts(length, gram), repeated), _reply(length), least_replies)
+    return exchange.finish(_conclude(length, gram, exchange.n_buckets), _DDL, least)
