@@ -413,3 +413,14 @@ def test_toxicity(spark, empty):
     assert toxicity.scored(empty, labelled).count() == 0
     none = toxicity.scored(table(spark, hidden), labelled.limit(0)).collect()
     assert {r.score for r in none} == {0.0}
+
+
+def test_toxicity_in_long_and_short_spellings(spark):
+    rows, labels = toxic_rows()
+    sentence = "the rain of the worthless idiot and the rain of rain and the rain"
+    hidden = [" ".join(sentence.replace(" ", "")), "  ".join(map(" ".join, sentence.split())), "-".join(sentence.replace("idiot", "1d10t").replace("worthless", "w0rthl3ss").split()), "_".join("the rain of rain and rain of the m0r0n and the rain of the rain and the rain".split())]
+    clean = [" ".join("therainoftheandtherainofrainandtherainofthe"), "-".join(["rain"] * 40), "r a i n", "x1" * 50_000]
+    docs = table(spark, [*rows, *((3000 + i, t) for i, t in enumerate(hidden + clean))])
+    found = {r.doc_id: r.predicted for r in toxicity.scored(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert [found[3000 + i] for i in range(8)] == [1] * 4 + [0] * 4
+    assert "b a d" in toxicity._tokens("so b a d it is")

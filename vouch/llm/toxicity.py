@@ -3,7 +3,9 @@
 Restoring: a token with signs for letters (leetspeak), marks between letters, letters spaced apart or repeated letters
 is a lattice of what each character may stand for. Viterbi decoding takes the path of the least cost: that of the
 channel (substituting, dropping, collapsing) plus that of the text under a character trigram model, whose counts are
-taken over all documents. Plain tokens have one path, so only the others are decoded, each once per worker.
+taken over all documents. Plain tokens have one path, so only the others are decoded, each once per worker. Tokens of any
+length are decoded, in linear time; a long one with separators (a sentence spaced apart) is decoded a second time with
+separators that are as likely to stay as to go, and in the pieces between its double separators.
 
 Scoring: word and word-prefix weights come from labelled rows that are not held out. At most `max_fit_rows` of them are
 used, those with the least hash of their doc_id: the bound of this fit. Half of them give the weights, the other half
@@ -44,6 +46,8 @@ LOOKALIKES = str.maketrans("аеорсухіѕ", "aeopcyxis")
 #: Symbols of the character model: a-z (accents taken off), a word's edge, any other letter.
 _EDGE, _OTHER, _SIZE = 26, 27, 28
 _SIGN, _REPEAT, _DROP_SEPARATOR, _KEEP_SPACE, _DROP_SIGN = 0.5, 0.5, 0.3, 2.0, 12.0
+#: A token with separators and more characters than this may be several words.
+_SEVERAL_WORDS = 24
 
 
 def _symbol(c: str) -> int:
@@ -88,7 +92,8 @@ def trigram_costs(counts: np.ndarray) -> np.ndarray:
 
 _PLAIN = re.compile(r"[^\W\d_]+", re.UNICODE)
 _TRIPLE = re.compile(r"([^\W\d_])\1")
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*~]{1,2}){3,}[^\W_](?!\S)")
+_SPACED = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*~]{1,2}){2,}[^\W_](?!\S)")
+_DOUBLE = re.compile(r"[ .\-_*~]{2,}")
 _TRIM = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "…“”«»"
 
 
@@ -99,7 +104,7 @@ class Restorer:
         self.costs = costs.tolist()
 
     @staticmethod
-    def lattice(token: str) -> list[list[tuple[str, float]]]:
+    def lattice(token: str, keep_space: float = _KEEP_SPACE) -> list[list[tuple[str, float]]]:
         """For each run of a character, what it may stand for and at what cost."""
         out, i = [], 0
         while i < len(token):
@@ -113,16 +118,17 @@ class Restorer:
                 doubled = [(x * 2, _SIGN) for x in SIGNS[c]] if n > 1 else []
                 out.append([(x, _SIGN + _REPEAT * (n > 1)) for x in SIGNS[c]] + doubled + [("", _DROP_SIGN)])
             elif c in SEPARATORS:
-                out.append([("", _DROP_SEPARATOR), (" ", _KEEP_SPACE)])
+                out.append([("", _DROP_SEPARATOR), (" ", keep_space)])
             else:
                 out.append([(" ", _KEEP_SPACE), ("", _DROP_SIGN)])
         return out
 
-    def decode(self, token: str) -> str:
-        states = {(_EDGE, _EDGE): (0.0, "")}
-        for options in [*self.lattice(token), [(" ", 0.0)]]:
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, text) in states.items():
+    def decode(self, token: str, keep_space: float = _KEEP_SPACE) -> str:
+        # a path is its last letters and the path before them
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(_EDGE, _EDGE): (0.0, None)}
+        for options in [*self.lattice(token, keep_space), [(" ", 0.0)]]:
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (cost, path) in states.items():
                 for letters, price in options:
                     x, y, total = a, b, cost + price
                     for c in letters:
@@ -132,21 +138,29 @@ class Restorer:
                         total += self.costs[x][y][s]
                         x, y = y, s
                     if (x, y) not in after or total < after[x, y][0]:
-                        after[x, y] = (total, text + letters)
+                        after[x, y] = (total, (letters, path))
             states = after
-        return min(states.values())[1].strip()
+        path, text = min(states.values(), key=lambda x: x[0])[1], []
+        while path:
+            letters, path = path
+            text.append(letters)
+        return "".join(reversed(text)).strip()
 
     def words(self, token: str) -> list[str]:
         """The words that a token (lower case) stands for: itself, and its restored spelling if it is obfuscated."""
         bare = token.translate(LOOKALIKES).strip(_TRIM)
         plain = _PLAIN.findall(bare)
-        if not plain and not any(c in SIGNS for c in bare) or len(token) > 60:
+        if not plain and not any(c in SIGNS for c in bare):
             return plain
         if len(plain) == 1 and plain[0] == bare and not _TRIPLE.search(bare):
             return plain + (self.decode(token.rstrip(_TRIM)).split() if token[0] in SIGNS else [])
         if bare.isdigit():
             return []
         found = [*plain, *self.decode(bare).split()]
+        if len(bare) > _SEVERAL_WORDS and any(c in SEPARATORS for c in bare):
+            found += self.decode(bare, _DROP_SEPARATOR).split()
+            if len(pieces := _DOUBLE.split(bare)) > 1:
+                found += [w for x in pieces for w in self.decode(x).split()]
         if any(c in SIGNS for c in token):  # signs at an end may be letters too
             found += self.decode(token.translate(LOOKALIKES)).split()
         return found
