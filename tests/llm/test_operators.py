@@ -357,6 +357,17 @@ def test_secret_scans(spark, empty):
     assert masked[5].n_chars == len(masked[5].text)
 
 
+def test_secret_copied_widely_within_one_owner(spark):
+    wide, own = "Zz9Yy8Xx7Ww6Vv5Uu4Tt3Ss2", "aB3dE6gH9kL2mN5pQ8sT1vW4"
+    rows = [*((4 * i, f"copied {wide}") for i in range(60)), (240, f"{own} x"), (244, f"token={wide}")]
+    docs = table(spark, rows)
+    found = {r.doc_id: r for r in secret_scans.secret_digests(docs).collect()}
+    assert found[0].spans == "" and found[240].spans.startswith("live:") and (found[240].n_repos, found[240].n_owners) == ("1", "1")
+    assert (found[244].n_live, found[244].n_example, found[244].n_repos, found[244].n_owners) == (0, 1, "61", "1")
+    masked = {r.doc_id: r.text for r in secret_scans.redacted(docs).collect()}
+    assert masked[0] == rows[0][1] and masked[240] == "[SECRET] x" and masked[244] == rows[-1][1]
+
+
 def test_token_counts(spark, docs, empty):
     counter = token_counts.Counter(open(RANKS, "rb").read(), PATTERN)
     rng, again, total = random.Random(1), 0, 0

@@ -3,8 +3,8 @@
 Each text is scanned for assignments, access keys and hex runs (the base spans), and for further opaque strings that
 look like credentials: runs of at least `generic_chars` letters, digits and base64 signs with a letter and a digit and
 `generic_bits` bits of entropy a character. The hash of each candidate's value is counted over distinct repositories
-and distinct owners of the whole corpus. A value with more owners than `most_owners` is a widely copied example; the
-others are owner-specific and look live. Base spans always stay; a generic span is added (as kind `live`) only where
+and distinct owners of the whole corpus. A value with more owners than `most_owners`, or more repositories than
+`most_repos`, is a widely copied example; the others are owner-specific and look live. Base spans always stay; a generic span is added (as kind `live`) only where
 its value is owner-specific and it overlaps no base span.
 
 Here a document is a repository and its source the owner; any other columns can be named. A null owner counts as one
@@ -32,6 +32,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "live")
+#: A value in more repositories is an example even where few owners hold them.
+MOST_REPOS = 50
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 _LONG_HEX, _KEYWORD = re.compile(r"[0-9a-f]{16,}"), re.compile(r"pass|secret|token|api", re.IGNORECASE | re.ASCII)
 
@@ -95,26 +97,29 @@ def ownership(spans: DataFrame) -> DataFrame:
     return repos.join(owners, "value_sha256")
 
 
-def judged_spans(docs: DataFrame, most_owners: int = 2, **options) -> tuple[DataFrame, DataFrame]:
+def judged_spans(docs: DataFrame, most_owners: int = 2, most_repos: int = MOST_REPOS, **options) -> tuple[DataFrame, DataFrame]:
     """The scanned rows (with a row number), and their spans with n_repos, n_owners and live."""
     scanned = written(candidates(docs, **options).withColumn("row_id", F.monotonically_increasing_id()), "scanned")
     spans = scanned.select("row_id", "repo", "owner", F.explode("spans").alias("span")).select("row_id", "repo", "owner", "span.*")
     # written, so that the join deals both sides anew and a hot value's rows can be split
-    judged = spans.join(written(ownership(spans), "ownership"), "value_sha256").withColumn("live", F.col("n_owners") <= most_owners)
+    judged = spans.join(written(ownership(spans), "ownership"), "value_sha256").withColumn("live", (F.col("n_owners") <= most_owners) & (F.col("n_repos") <= most_repos))
     return scanned, judged.filter((F.col("kind") < 3) | F.col("live"))
 
 
 def secret_digests(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example: a row for each row of docs."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, n_repos, n_owners: a row for each row of docs.
+
+    n_repos and n_owners list the counts of the spans' values, in the order of spans.
+    """
     scanned, judged = judged_spans(docs, **options)
 
     def shown(span: Column) -> Column:
         return F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), span["kind"] + 1), span["start"].cast("string"), span["stop"].cast("string"))
 
     listed = judged.groupBy("row_id").agg(
-        F.array_sort(F.collect_list(F.struct("start", "kind", "stop", "live"))).alias("found"),
+        F.array_sort(F.collect_list(F.struct("start", "kind", "stop", "live", "n_repos", "n_owners"))).alias("found"),
     )
-    rows = scanned.select("row_id", "doc_id").join(listed, "row_id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<start:int,kind:int,stop:int,live:boolean>>")))
+    rows = scanned.select("row_id", "doc_id").join(listed, "row_id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<start:int,kind:int,stop:int,live:boolean,n_repos:bigint,n_owners:bigint>>")))
     count = lambda test: F.size(F.filter("found", test)).cast("long")
     base = F.filter("found", lambda s: s["kind"] < 3)
     return rows.select(
@@ -126,13 +131,14 @@ def secret_digests(docs: DataFrame, **options) -> DataFrame:
         F.array_join(F.transform("found", shown), ",").alias("spans"),
         count(lambda s: s["live"]).alias("n_live"),
         count(lambda s: ~s["live"]).alias("n_example"),
+        *(F.array_join(F.col(f"found.{c}").cast("array<string>"), ",").alias(c) for c in ("n_repos", "n_owners")),
     )
 
 
 def redacted(docs: DataFrame, mask: str = "[SECRET]", **options) -> DataFrame:
     """docs with every owner-specific value replaced by the mask (n_chars, where it is a column, follows); all rows stay.
 
-    Values that many owners share are examples and stay as they are. Overlapping spans are masked as one.
+    Values that many owners or repositories share are examples and stay as they are. Overlapping spans are masked as one.
     """
     scanned, judged = judged_spans(docs.withColumn("__doc_key", _key()), repo="__doc_key", **options)
     live = judged.filter("live").groupBy("repo").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("__spans")).withColumnRenamed("repo", "__doc_key")
