@@ -256,7 +256,6 @@ def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     for length in (4096, 64):
         rows = packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), length=length, most_open=4).collect()
         ids = {}
@@ -280,6 +279,32 @@ def test_packing(docs, empty):
     assert packing.packed(empty, public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
 
+def test_ids_are_the_library_s():
+    """Random Unicode, marks out of order, letters that change length when lowered, strings of added tokens."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, ours = Tokenizer.from_file(path), packing.WordTokens(open(path, encoding="utf-8").read())
+    rng = random.Random(3)
+    pools = ["abcXYZ 'slltre01.,\n\t", "éÉßàÀµÿÝİıſKÅ ſ'", "\u0130\u0327\u0307\u0345\u03a3\u03c3\u0301\u1e9e\xa0\x85\u2028\u200b\u3000\x0b\x1c", "一二あア가각"]
+    special = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>"]
+
+    def piece():
+        r = rng.random()
+        if r < 0.5:
+            return rng.choice(rng.choice(pools))
+        if r < 0.6:
+            return rng.choice(special)
+        c = rng.randrange(0x11000 if r < 0.9 else 0x110000)
+        return " " if 0xD800 <= c < 0xE000 or r < 0.7 else chr(c)
+
+    for _ in range(1000):
+        texts = ["".join(piece() for _ in range(rng.randint(0, 14))) for _ in range(100)]
+        expected = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert ours.encode(texts) == expected
+    assert np.frombuffer(ours.encode(["a <|endoftext|> b"])[0], "<u4").tolist() == [320, 49407, 321]
+
+
 def test_sum_of_squares_choice():
     packer = packing.Packer(8, 100)
     ids = lambda n: b"\0\0\0\0" * n

@@ -7,17 +7,17 @@ least. The counts stand in a level array, one entry for each fill level. When a
 lengths that are powers of two, which need no padding. So a partition leaves no padding, whatever its size, and no
 shuffle is needed: a sequence never spans two partitions.
 
-Tokens: the ids of each text, then `end_id`. The tokenizer drops white space and never merges across it, so the ids of
-the words at spaces and line ends, concatenated, are those of the text; a Python worker keeps the ids of words it has
-seen (up to `KNOWN_WORDS`, then it starts anew). Null and empty texts have the end id alone. Rows that repeat a doc_id
-are packed each on their own. An empty table has no pieces.
+Tokens: the ids that the library gives each text without special tokens added, then `end_id`. The tokenizer drops white
+space and never merges across it, so the ids of the words at spaces and line ends, concatenated, are those of the text;
+a Python worker keeps the ids of words it has seen (up to `KNOWN_WORDS`, then it starts anew). Texts that hold the
+string of an added token, which the library reads as that token, go through it whole. Null and empty texts have the end
+id alone. Rows that repeat a doc_id are packed each on their own. An empty table has no pieces.
 """
 
 from __future__ import annotations
 
 import json
 import re
-import unicodedata
 import zlib
 from array import array
 from collections import defaultdict
@@ -48,14 +48,23 @@ class WordTokens:
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model, self.pattern = self.tokenizer.model, _split_pattern(json.loads(tokenizer_json))
+        self.tokenizer, config = Tokenizer.from_str(tokenizer_json), json.loads(tokenizer_json)
+        self.model, self.pattern = self.tokenizer.model, _split_pattern(config)
+        self.added = [x["content"].lower() for x in config.get("added_tokens") or []]
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        whole = {i for i, text in enumerate(texts) if self._has_added(text)}
+        found = iter(self._by_words([text for i, text in enumerate(texts) if i not in whole]))
+        return [np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if i in whole else next(found) for i, text in enumerate(texts)]
+
+    def _has_added(self, text: str) -> bool:
+        low = text.lower()
+        return any(content in low for content in self.added)
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
         words = [self._words(text) for text in texts]
         if missing := set().union(*words).difference(self.known):
             if len(self.known) + len(missing) > KNOWN_WORDS:
@@ -65,9 +74,9 @@ class WordTokens:
 
     @staticmethod
     def _words(text: str) -> list[str]:
-        # lower-casing is the tokenizer's own, letter by letter, and commutes with its normal form where that holds already
-        if unicodedata.is_normalized("NFC", text):
-            text = text.replace("Σ", "σ").lower()
+        # up to U+00FF the normal form changes nothing, and lower-casing is the tokenizer's own, letter by letter
+        if not _BEYOND.search(text):
+            text = text.lower()
         return text.replace("\n", " ").split(" ")
 
     def _learn(self, words: set[str]) -> None:
@@ -97,6 +106,7 @@ class WordTokens:
             self.known[word] = ids[a:b]
 
 
+_BEYOND = re.compile("[^\\x00-\xff]")
 #: Lower-case Latin words with their marks: no letter here changes under NFC or the tokenizer's lower-casing.
 _LATIN = re.compile("[!-@\\[-~¡-¿ß-öø-ÿ÷]*")
 
