@@ -2,7 +2,9 @@
 
 Texts are equal if identical after lower-casing A-Z only. Pass one marks the filter slots that two rows or more have
 set; pass two probes every row. A row with a slot that nobody else has set is unique and passes straight through; the
-rest are grouped by their SHA-256, so a false positive costs a shuffled row and never a wrong result.
+rest are grouped by their SHA-256, so a false positive costs a shuffled row and never a wrong result. There is one filter
+of bounded size (see bloom); beyond some 50 million rows it lets more through, and at worst all fingerprints (48 bytes a
+row, no texts) are shuffled once.
 
 Null text counts as empty; empty texts are equal to each other. Of equal texts the largest doc_id stays; rows that
 repeat a doc_id count each in group_size and share its verdict. An empty table gives an empty result. Other columns
@@ -12,22 +14,12 @@ of the input are not read.
 from __future__ import annotations
 
 import string
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vouch.llm.common import arrow_schema, whole_texts, written
-
-#: Filter slots for each row, and how many of them a row sets.
-SLOTS_PER_ROW, PROBES = 16, 3
-#: Slots of one filter at most (one bit each when broadcast: 32 MiB); more rows are taken in rounds by range of the hash.
-MOST_SLOTS = 1 << 28
-SEGMENT = 1 << 16
-_SEGMENT_DDL = "segment int, slots binary, again binary"
+from vouch.llm import bloom
+from vouch.llm.common import joined_by_group, whole_texts, written
 
 
 def ascii_lower(text: Column) -> Column:
@@ -41,92 +33,28 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return named.withColumn("h", F.xxhash64("text_sha256"))
 
 
-def _slots(h: np.ndarray, mask: int) -> np.ndarray:
-    """PROBES slots of each hash, a row each (double hashing)."""
-    h = h.astype(np.uint64)
-    step = (h >> np.uint64(32)) | np.uint64(1)
-    return np.stack([((h + np.uint64(i) * step) & np.uint64(mask)).astype(np.int64) for i in range(PROBES)])
-
-
-def _mark(mask: int):
-    schema = arrow_schema(_SEGMENT_DDL)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            # a row that names a slot twice still counts once there
-            rows = np.sort(_slots(batch.column(0).to_numpy(), mask), axis=0)
-            fresh = np.vstack([np.ones((1, rows.shape[1]), bool), rows[1:] != rows[:-1]])
-            slots, counts = np.unique(rows[fresh], return_counts=True)
-            segments, starts = np.unique(slots // SEGMENT, return_index=True)
-            within = (slots % SEGMENT).astype(np.uint16)
-            ends = np.append(starts[1:], len(slots))
-            yield pa.record_batch(
-                [
-                    pa.array(segments.astype(np.int32)),
-                    pa.array([within[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
-                    pa.array([within[a:b][counts[a:b] > 1].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
-                ],
-                schema=schema,
-            )
-
-    return run
-
-
-def _merge(part: pd.DataFrame) -> pd.DataFrame:
-    counts = np.zeros(SEGMENT, np.uint8)
-    for slots, again in zip(part["slots"], part["again"], strict=True):
-        for found in (slots, again):
-            at = np.frombuffer(found, np.uint16)
-            counts[at] = np.minimum(counts[at] + 1, 2)
-    return pd.DataFrame({"segment": [part["segment"].iloc[0]], "repeated": [np.packbits(counts > 1).tobytes()]})
-
-
-def possibly_repeated(hashes: DataFrame, n_rows: int, column: str = "h") -> Column:
-    """A column that is false only for hashes that occur once; hashes has at most MOST_SLOTS / SLOTS_PER_ROW rows."""
-    spark = hashes.sparkSession
-    n_slots = max(SEGMENT, 1 << (max(1, n_rows) * SLOTS_PER_ROW - 1).bit_length())
-    marks = hashes.select(column).mapInArrow(_mark(n_slots - 1), _SEGMENT_DDL)
-    merged = marks.groupBy("segment").applyInPandas(_merge, "segment int, repeated binary")
-    bits = np.zeros(n_slots // 8, np.uint8)  # MOST_SLOTS / 8 bytes at most, at any input size
-    for row in merged.toLocalIterator():
-        bits[row.segment * SEGMENT // 8 : (row.segment + 1) * SEGMENT // 8] = np.frombuffer(row.repeated, np.uint8)
-    shared = spark.sparkContext.broadcast(bits)
-
-    @F.pandas_udf("boolean")
-    def probe(h: pd.Series) -> pd.Series:
-        slots = _slots(h.to_numpy(), n_slots - 1)
-        return pd.Series(((shared.value[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1).all(axis=0))
-
-    return probe(F.col(column))
-
-
-def exact_groups(docs: DataFrame, most_slots: int = MOST_SLOTS) -> DataFrame:
+def exact_groups(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs."""
     prints = written(fingerprints(docs), "fingerprints")
-    n_rows = prints.count()
-    rounds = -(-n_rows * SLOTS_PER_ROW // most_slots) or 1
-    parts = []
-    for i in range(rounds):
-        part = prints.filter(F.pmod(F.xxhash64("h"), F.lit(rounds)) == i) if rounds > 1 else prints
-        probed = part.withColumn("maybe", possibly_repeated(part, -(-n_rows // rounds)))
-        parts.append(written(probed, "probed") if rounds > 1 else probed)
-    probed = parts[0]
-    for part in parts[1:]:
-        probed = probed.unionByName(part)
+    probed = prints.withColumn("maybe", bloom.marked(prints.select("h"), prints.count(), 2)(F.col("h")))
     alone = probed.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     again = probed.filter("maybe").select("doc_id", "text_sha256")
-    # written, so that the join deals both sides anew and a hot text's rows can be split
     groups = written(again.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
-    shared = again.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    shared = joined_by_group(again, groups, "text_sha256", "group_size").select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
     return alone.unionByName(shared)
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_groups drops; rows that share a doc_id with a dropped one go with it."""
-    dropped = exact_groups(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """One row of docs for each text: the one with the largest doc_id (a missing one is smaller than any; of equal ones any).
+
+    Rows whose text cannot repeat pass straight through; of the others each partition sends one row a text at most.
+    """
+    key = F.xxhash64(ascii_lower(F.coalesce("text", F.lit(""))))
+    maybe = bloom.marked(docs.select(key.alias("h")), docs.count(), 2)(key)
+    named = docs.select(F.struct(*docs.columns).alias("row"), maybe.alias("maybe"))
+    digest = F.sha2(ascii_lower(F.coalesce("row.text", F.lit(""))).cast("binary"), 256)
+    one = named.filter("maybe").groupBy(digest.alias("digest")).agg(F.max_by("row", F.struct("row.doc_id")).alias("row"))
+    return one.select("row.*").unionByName(named.filter(~F.col("maybe")).select("row.*"))
 
 
 ORACLE_SQL = """
