@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vouch.llm.common import arrow_schema, slices, written
+from vouch.llm import bloom
+from vouch.llm.common import arrow_schema, joined_by_group, slices, written
 
 #: Fixed patterns of the base kinds, in the order in which they are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -101,8 +102,9 @@ def judged_spans(docs: DataFrame, most_owners: int = 2, most_repos: int = MOST_R
     """The scanned rows (with a row number), and their spans with n_repos, n_owners and live."""
     scanned = written(candidates(docs, **options).withColumn("row_id", F.monotonically_increasing_id()), "scanned")
     spans = scanned.select("row_id", "repo", "owner", F.explode("spans").alias("span")).select("row_id", "repo", "owner", "span.*")
-    # written, so that the join deals both sides anew and a hot value's rows can be split
-    judged = spans.join(written(ownership(spans), "ownership"), "value_sha256").withColumn("live", (F.col("n_owners") <= most_owners) & (F.col("n_repos") <= most_repos))
+    owned = written(ownership(spans), "ownership")
+    # a value's rows are at least as many as its repositories
+    judged = joined_by_group(spans, owned, "value_sha256", "n_repos").withColumn("live", (F.col("n_owners") <= most_owners) & (F.col("n_repos") <= most_repos))
     return scanned, judged.filter((F.col("kind") < 3) | F.col("live"))
 
 
@@ -135,28 +137,30 @@ def secret_digests(docs: DataFrame, **options) -> DataFrame:
     )
 
 
-def redacted(docs: DataFrame, mask: str = "[SECRET]", **options) -> DataFrame:
+def redacted(docs: DataFrame, mask: str = "[SECRET]", owner: str = "source", **options) -> DataFrame:
     """docs with every owner-specific value replaced by the mask (n_chars, where it is a column, follows); all rows stay.
 
     Values that many owners or repositories share are examples and stay as they are. Overlapping spans are masked as one.
+    Only rows that may hold a value to mask are shuffled.
     """
-    scanned, judged = judged_spans(docs.withColumn("__doc_key", _key()), repo="__doc_key", **options)
-    live = judged.filter("live").groupBy("repo").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("__spans")).withColumnRenamed("repo", "__doc_key")
+    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    _, judged = judged_spans(docs.select("doc_id", "text", F.col(owner).alias("owner"), key.alias("key")), repo="key", owner="owner", **options)
+    live = judged.filter("live").groupBy(F.col("repo").cast("long").alias("key")).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    live = written(live, "live")
+    maybe = bloom.marked(live.select("key"), live.count())(key)
+    named = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"), maybe.alias("maybe"))
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else _mask(t, s, mask) for t, s in zip(texts, spans, strict=True)])
 
-    joined = docs.withColumn("__doc_key", _key()).join(live, "__doc_key", "left")
-    out = joined.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(masked("text", "__spans")))
+    joined = named.filter("maybe").join(live, "key", "left")
+    row = F.col("row").withField("text", F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(masked("row.text", "spans")))
+    out = joined.select(row.alias("row"), "spans")
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(docs.columns)
-
-
-def _key() -> Column:
-    """Names a row by its doc_id and text, so that rows that share a doc_id are told apart."""
-    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text").cast("string"))
+        n_chars = F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(F.char_length("row.text").cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("row", F.col("row").withField("n_chars", n_chars))
+    return out.select("row.*").unionByName(named.filter(~F.col("maybe")).select("row.*"))
 
 
 def _mask(text: str, spans, mask: str) -> str:
