@@ -14,7 +14,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from vouch.llm import block_dedup, byte_bpe, exact_dedup, jaccard_join, packing, quality_rules, repeats, secret_scans, suffix_array, suffix_dedup, token_counts, toxicity
+from vouch.llm import block_dedup, bloom, byte_bpe, exact_dedup, jaccard_join, packing, quality_rules, repeats, secret_scans, suffix_array, suffix_dedup, token_counts, toxicity
 from vouch.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -167,8 +167,26 @@ def test_exact_dedup(docs, empty):
         keep = max((x for x in group if x is not None), default=None)
         expected.append((i, keep if len(group) > 1 else i, len(group), True if len(group) == 1 else i == keep, hashlib.sha256(lower(t).encode()).hexdigest()))
     same(exact_dedup.exact_groups(docs).collect(), expected)
-    same(exact_dedup.exact_groups(docs, most_slots=128).collect(), expected)
     assert exact_dedup.exact_groups(empty).count() == 0
+    kept = exact_dedup.drop_copies(docs)
+    assert kept.columns == docs.columns and exact_dedup.drop_copies(empty).count() == 0
+    largest = {t: max((x for x in g if x is not None), default=None) for t, g in groups.items()}
+    same([(r.doc_id, lower(r.text)) for r in kept.collect()], [(i, t) for t, i in largest.items()])
+
+
+def test_bloom(spark):
+    """What the filter holds gets through, whatever its size; without() drops what is listed, and nothing else."""
+    hashes = spark.range(0, 3000).selectExpr("xxhash64(id) AS h").union(spark.range(0, 100).selectExpr("xxhash64(id) AS h"))
+    for most in (1 << 28, 1 << 16):
+        once, twice = (bloom.marked(hashes, 3100, n, most)(F.col("h")) for n in (1, 2))
+        asked = spark.range(0, 6000).selectExpr("id", "xxhash64(id) AS h").select("id", once.alias("once"), twice.alias("twice")).collect()
+        assert all(r.once for r in asked if r.id < 3000) and all(r.twice for r in asked if r.id < 100)
+        assert most < 1 << 20 or sum(r.once for r in asked if r.id >= 3000) < 60
+    docs = table(spark, [(1, "a"), (1, "b"), (None, "a"), (None, "c"), (2, None)])
+    key = F.xxhash64("doc_id", "text")
+    dropped = docs.filter("text = 'a'").select(key.alias("key"), "doc_id")
+    same([(r.doc_id, r.text) for r in bloom.without(docs, key, dropped).collect()], [(1, "b"), (None, "c"), (2, None)])
+    assert bloom.without(docs, key, dropped.limit(0)).count() == 5
 
 
 def shingles(text):
@@ -202,7 +220,10 @@ def test_jaccard_join(docs, empty, bucket):
     rows = [r for r in ROWS if r[0] is not None]
     found = jaccard_join.near_duplicates(docs.filter("doc_id is not null"), bucket=bucket).select("doc_id", "class_id", "n_links").collect()
     same(found, plain_groups(rows))
-    assert jaccard_join.near_duplicates(docs, bucket=bucket).count() == len(ROWS)
+    # a missing doc_id is larger than any
+    named = [(10**15 if i is None else i, t) for i, t in ROWS]
+    found = jaccard_join.near_duplicates(docs, bucket=bucket).select("doc_id", "class_id", "n_links").collect()
+    same(found, [(i, None if c == 10**15 else c, n) for (i, _), (_, c, n) in zip(ROWS, plain_groups(named), strict=True)])
     assert jaccard_join.near_duplicates(empty).count() == 0
 
 
@@ -218,6 +239,17 @@ def test_large_group_of_near_copies(spark):
     same(found, plain_groups(rows))
 
 
+def test_template_with_near_copies(spark):
+    """A third of all texts fill in one template (similarity below the threshold), a few of them twice; nothing is lost."""
+    rng = random.Random(5)
+    frame = [f"t{rng.randrange(500)}" for _ in range(150)]
+    own = lambda n: [f"o{rng.randrange(10**6)}" for _ in range(n)]
+    rows = [(i, " ".join(frame + own(60))) for i in range(120)]
+    rows += [(1000 + i, rows[i][1] + f" end{i}") for i in range(0, 120, 7)] + [(2000 + i, " ".join(own(100))) for i in range(250)]
+    found = jaccard_join.near_duplicates(table(spark, rows), bucket=16).select("doc_id", "class_id", "n_links").collect()
+    same(found, plain_groups(rows))
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)]

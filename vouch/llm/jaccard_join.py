@@ -1,17 +1,25 @@
 """N-gram Jaccard self-join by chosen paths.
 
 A document is the set of its 5-word shingles. Documents with equal sets form a class, and one set stands for each class.
-A run splits all sets recursively on sampled shared tokens: at each depth a random order of all shingles is drawn, and
-a set goes to the bucket of its first shingle in that order. Buckets of one set end; small ones are compared by brute force; larger ones are split again, down to
-`depth`; what is still larger then consists of near copies and is compared in pairs of blocks. Two sets of similarity J
-stay together at a depth with probability J, so a run finds them with at least J**depth, and runs repeat until the
-target recall holds at the threshold; a pair is compared in the first run that brings it together and in no other.
-Similarities are exact, from the whole sets.
-
-No pair is written: a task returns for each set its number of links and a spanning star of the links it found; these
-give the near-duplicate groups. The words are runs of anything but space and U+0009 to U+000D, unchanged; fewer than
-five words make one shingle, and a text without words (null, empty) has an empty set, no links and a group of its own.
-Rows that repeat a doc_id and a text are copies of each other.
+The tokens of a set are the least shingle hashes of `BINS` ranges of the hash (so two sets share about as many of them
+as their similarity says). A run splits all sets recursively on sampled shared tokens: along each path a set goes to the
+bucket of every token of its own that the path samples, `SHARED` of them on average for each that two sets at the
+threshold share. Buckets of one set end. Small ones are compared by brute force. In a larger one, a set that is on
+average similar to the bucket (`CENTRAL`, from the tokens that others there share) is compared with all of it, in
+blocks, and leaves; the others are split again, until no bucket is large. Two similar sets stay together somewhere in a
+run, at whatever depth it ends, with the probability q that solves q = 1 - exp(-SHARED q), so runs repeat until the
+target recall is met at the threshold.
+
+Brute force has two steps: the tokens of a bucket's sets are compared first, and only sets with a partner that may be
+similar fetch their whole shingle sets; similarities are exact, from those. A pair that meets in several buckets counts
+in the first. No pair is written: a task returns for each set its number of links and a spanning star of the links it
+found; these give the near-duplicate groups. Counting all links among n near copies takes n * n comparisons; they are
+dealt in blocks of `bucket` sets.
+
+The words are runs of anything but space and U+0009 to U+000D, unchanged; fewer than five words make one shingle, and a
+text without words (null, empty) has an empty set, no links and a group of its own. Rows that repeat a doc_id and a text
+are copies of each other; a missing doc_id is larger than any. Sets are taken as equal if 128 bits of hashes are, and
+shingles if 64 bits are. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,20 +32,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vouch.llm import words
-from vouch.llm.common import arrow_schema, slices, text_bytes, whole_texts, written
+from vouch.llm import bloom, words
+from vouch.llm.common import arrow_schema, joined_by_group, slices, text_bytes, written
 from vouch.llm.components import components
 
 SHINGLE, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.999
-DEPTH, BUCKET = 3, 128
-
-_SET_DDL = "doc_id long, node long, check long, n_shingles int, keys array<long>"
-_MEMBER_DDL = "task long, within boolean, run int, node long, side int, size long, leaves array<long>, shingles binary"
+BINS, SHARED, BUCKET = 32, 1.5, 128
+#: A set is central in a bucket if on average it shares this part of its tokens with the others there; PROBES of them tell.
+#: CENTRAL * SHARED / THRESHOLD is below 1, so the paths of the other sets grow fewer from depth to depth.
+CENTRAL, PROBES = 0.5, 16
+#: Sets whose tokens are less similar than the threshold by so much (over four standard deviations) are not fetched.
+MARGIN = 0.3
+
+_SET_DDL = "doc_id long, row_key long, node long, check long, n_shingles int, tokens binary"
+_PATH_DDL = "path long, node long, n long, child long, split boolean"
+_MEMBER_DDL = "task long, leaf long, side int, node long, size long, ends array<long>, central array<boolean>, shingles binary"
 _FOUND_DDL = "node long, n_class_links long, n_links long, root long"
 
 
-def runs_for(recall: float, threshold: float, depth: int) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth))
+def runs_for(recall: float, shared: float) -> int:
+    """Runs until two sets at the threshold have met with this probability, however deep the splitting goes."""
+    q = 1.0
+    for _ in range(200):
+        q = 1 - math.exp(-shared * q)
+    return math.ceil(math.log(1 - recall) / math.log(1 - q))
 
 
 def shingle_sets(batch: pa.RecordBatch, column: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,135 +88,310 @@ def _node(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words.mixed(_sums(words.mixed(sets), at)), words.mixed(_sums(words.mixed(sets ^ np.uint64(0x5DEECE66D)), at))
 
 
-def _described(size: int, runs: int, depth: int):
+_BIN_SHIFT = np.uint64(64 - BINS.bit_length() + 1)
+
+
+def _tokens(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least shingle hash in each range of the hash, for each set, and where each set's begin."""
+    own = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    place = own * BINS + (sets >> _BIN_SHIFT).astype(np.int64)
+    first = np.append(True, place[1:] != place[:-1])[: len(sets)]
+    return sets[first], np.append(0, np.cumsum(first))[at]
+
+
+def _binaries(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((8 * at).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _described(size: int):
     schema = arrow_schema(_SET_DDL)
-    odd = np.random.default_rng(77).integers(0, 1 << 63, runs * depth, np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                sets, at = shingle_sets(part, 1, size)
+                sets, at = shingle_sets(part, 2, size)
                 node, check = _node(sets, at)
-                n = np.diff(at)
-                full = np.flatnonzero(n)
-                keys = np.zeros((len(part), runs * depth), np.uint64)
-                for k, factor in enumerate(odd):
-                    if len(full):
-                        keys[full, k] = np.minimum.reduceat(sets * factor, at[:-1][full])
-                # the key at a depth holds the path so far
-                for k in range(runs * depth):
-                    keys[:, k] = words.mixed(keys[:, k] ^ np.uint64(k)) if k % depth == 0 else words.mixed(keys[:, k] + np.uint64(3) * keys[:, k - 1])
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * (runs * depth)), pa.array(keys.view(np.int64).ravel()))
-                yield pa.record_batch([part.column(0), pa.array(node.view(np.int64)), pa.array(check.view(np.int64)), pa.array(n.astype(np.int32)), lists], schema=schema)
+                tokens = _binaries(*_tokens(sets, at))
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(node.view(np.int64)), pa.array(check.view(np.int64)), pa.array(np.diff(at).astype(np.int32)), tokens], schema=schema)
+
+    return run
+
+
+def _draws(path: np.ndarray, tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every token of every row: the row, what the row's path draws for it, and that as a number from 0 to 1."""
+    row = np.repeat(np.arange(len(path)), np.diff(at))
+    drawn = words.mixed(tokens ^ words.mixed(path)[row])
+    return row, drawn, (drawn >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+
+def _first_paths(runs: int, per_set: float):
+    """key and node: the buckets of each set at the first depth of every run."""
+    ddl = "key long, node long"
+    schema = arrow_schema(ddl)
+
+    def run(batches):
+        for batch in batches:
+            node = batch.column(0).to_numpy()
+            tokens, at = text_bytes(batch.column(1))
+            tokens, at = tokens.view(np.uint64), at // 8
+            keys, nodes = [], []
+            for k in range(runs):
+                row, drawn, level = _draws(np.full(len(node), k + 1, np.uint64), tokens, at)
+                chosen = level < per_set / np.diff(at)[row]
+                keys.append(words.mixed(drawn[chosen] + np.uint64(1)))
+                nodes.append(node[row[chosen]])
+            yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], schema=schema)
+
+    return run, ddl
+
+
+def _next_paths(per_set: float):
+    """For each set in a large bucket the tokens that tell whether it is central there, and which of them it is split on."""
+    schema = arrow_schema(_PATH_DDL)
+
+    def run(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            path = batch.column(0).to_numpy()
+            tokens, at = text_bytes(batch.column(3))
+            tokens, at = tokens.view(np.uint64), at // 8
+            row, drawn, level = _draws(path.view(np.uint64), tokens, at)
+            n = np.diff(at)
+            least = np.minimum.reduceat(level, at[:-1])  # no set here is empty
+            asked = np.flatnonzero((level < PROBES / n[row]) | (level == least[row]))
+            split = level[asked] < per_set / n[row[asked]]
+            child = words.mixed(drawn[asked] + np.uint64(1)).view(np.int64)
+            yield pa.record_batch([pa.array(path[row[asked]]), *(c.take(pa.array(row[asked])) for c in batch.columns[1:3]), pa.array(child), pa.array(split)], schema=schema)
 
     return run
 
 
-def _leaves(sets: DataFrame, runs: int, depth: int, bucket: int) -> DataFrame:
-    """node, size, rep, leaves: for each set the bucket in which each run's splitting ends."""
-    paths = sets.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.slice("keys", r * depth + 1, depth))).alias("run", "path"))
-    done, here = None, paths.withColumn("key", F.get("path", F.lit(0)))
-    for d in range(depth):
-        if d + 1 == depth:
-            ended = here
-        else:
-            # written, so that the join deals both sides anew and a hot bucket's rows can be split
-            large = written(here.groupBy("run", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket).select("run", "key", F.lit(True).alias("large")), "large")
-            split = here.join(large, ["run", "key"], "left")
-            ended = split.filter(F.col("large").isNull())
-            here = split.filter("large").select("node", "run", "path", F.get("path", F.lit(d + 1)).alias("key"))
-        ended = ended.select("node", "run", "key")
-        done = ended if done is None else done.unionByName(ended)
-    listed = done.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("run", "key"))).alias("ends"))
-    return sets.select("node", "size", "rep").join(listed.select("node", F.col("ends.key").alias("leaves")), "node")
-
-
-def _buckets(leaves: DataFrame, runs: int) -> DataFrame:
-    """run, leaf, n: buckets of two sets or more that can hold a pair which no earlier run has brought together."""
-    ends = leaves.select("leaves", F.posexplode("leaves").alias("run", "leaf"))
-    aggregated = ends.groupBy("run", "leaf").agg(
-        F.count(F.lit(1)).alias("n"),
-        *(F.min(F.get("leaves", F.lit(r))).alias(f"least{r}") for r in range(runs - 1)),
-        *(F.max(F.get("leaves", F.lit(r))).alias(f"most{r}") for r in range(runs - 1)),
-    )
-    known = F.lit(False)
-    for r in range(runs - 1):
-        known = known | ((F.col("run") > r) & (F.col(f"least{r}") == F.col(f"most{r}")))
-    return aggregated.filter((F.col("n") > 1) & ~known).select("run", "leaf", "n")
+def _counted(members: DataFrame) -> DataFrame:
+    """key, n and two hashes of the members, of all buckets of two sets or more."""
+    return members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2")).filter("n > 1")
+
+
+def _buckets(classes: DataFrame, runs: int, bucket: int) -> tuple[DataFrame, DataFrame | None]:
+    """Where all splitting ends: small buckets (key, node), and large ones with central sets (key, node, central, n, n_central)."""
+    per_set = SHARED / THRESHOLD
+    run, ddl = _first_paths(runs, per_set)
+    members = written(classes.select("node", "tokens").mapInArrow(run, ddl), "paths")
+    levels, counts, grids = [], [], []
+    while True:
+        counted = written(_counted(members), "counted")
+        levels.append(members)
+        counts.append(counted.filter(F.col("n") <= bucket))
+        large = counted.filter(F.col("n") > bucket).select(F.col("key").alias("path"), "n")
+        if large.isEmpty():
+            break
+        inside = joined_by_group(members.select(F.col("key").alias("path"), "node"), large, "path", "n")
+        drawn = inside.join(classes.select("node", "tokens"), "node").select("path", "node", "n", "tokens").mapInArrow(_next_paths(per_set), _PATH_DDL)
+        drawn = written(drawn, "drawn")
+        held = written(drawn.groupBy("child").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "held")  # a token that one set alone has leads nowhere
+        shares = joined_by_group(drawn, held, "child", "held").groupBy("path", "node").agg(F.sum(F.col("held") - 1).alias("others"), F.collect_list(F.when(F.col("split"), F.col("child"))).alias("children"))
+        asked = drawn.groupBy("path", "node").agg(F.count(F.lit(1)).alias("asked"), F.max("n").alias("n"))
+        told = asked.join(shares, ["path", "node"], "left")
+        # the mean, over the asked tokens, of the part of the other sets that have them
+        share = F.coalesce("others", F.lit(0)) / F.col("asked") / (F.col("n") - 1)
+        told = written(told.select("path", "node", "n", "children", (share >= CENTRAL).alias("central")), "told")
+        centres = told.groupBy("path").agg(F.count_if("central").alias("n_central"), F.count(F.lit(1)).alias("n")).filter("n_central > 0")
+        grids.append(joined_by_group(told.select("path", "node", "central"), written(centres, "centres"), "path", "n").select(F.col("path").alias("key"), "node", "central"))
+        members = written(told.filter("NOT central").select(F.explode("children").alias("key"), "node"), "paths")
+    # buckets of the same sets: one is enough
+    small = _union(counts).groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key")
+    small = _union(levels).join(written(small, "small"), "key")
+    return small, _merged(_union(grids)) if grids else None
+
+
+def _merged(large: DataFrame) -> DataFrame:
+    """key, node, central, n, n_central: large buckets, as one where they have most of their central sets in common.
+
+    Near copies are together in many buckets; so they are compared once and not in each.
+    """
+    large = written(large, "large")
+    sizes = written(large.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("central").alias("n_central")), "sizes")
+    lists = large.filter("central").groupBy("node").agg(F.collect_set("key").alias("keys")).filter(F.size("keys") > 1)
+    pairs = lists.select(F.explode("keys").alias("a"), "keys").select("a", F.explode("keys").alias("b")).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    n_central = lambda name: sizes.select(F.col("key").alias(name), F.col("n_central").alias("of_" + name))
+    links = pairs.join(n_central("a"), "a").join(n_central("b"), "b").filter(2 * F.col("shared") >= F.least("of_a", "of_b"))
+    found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "key")
+    names = written(sizes.select("key", "n").join(found, "key", "left").select("key", "n", F.coalesce("component", "key").alias("cluster")), "names")
+    merged = joined_by_group(large, names, "key", "n").groupBy(F.col("cluster").alias("key"), "node").agg(F.bool_or("central").alias("central"))
+    merged = written(merged, "merged")
+    sizes = merged.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("central").alias("n_central"))
+    return joined_by_group(merged, written(sizes, "sizes"), "key", "n").select("key", "node", "central", "n", "n_central")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _grouped(batches, column: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with one value of the (ordered) column, across batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        value = batch.column(column).to_numpy()
+        cuts = [0, *(np.flatnonzero(value[1:] != value[:-1]) + 1).tolist(), len(batch)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and held[0].column(column)[0].as_py() != value[a]:
+                yield _one(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield _one(held)
+
+
+def _one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
+def _promising(threshold: float):
+    """Of each small bucket (key, node, tokens; ordered by key) the sets with a partner whose tokens are similar enough."""
+    ddl = "key long, node long"
+    schema = arrow_schema(ddl)
+
+    def run(batches):
+        keys, nodes, n_held = [], [], 0
+        for group in _grouped(batches, 0):
+            tokens, at = text_bytes(group.column(2))
+            tokens, at = tokens.view(np.uint64), at // 8
+            m = len(group)
+            row = np.repeat(np.arange(m), np.diff(at))
+            here = np.zeros((m, BINS), np.uint64)
+            full = np.zeros((m, BINS), bool)
+            place = (tokens >> _BIN_SHIFT).astype(np.int64)
+            here[row, place], full[row, place] = tokens, True
+            both = np.zeros((m, m), np.int16)
+            either = np.zeros((m, m), np.int16)
+            for b in range(BINS):
+                x, f = here[:, b], full[:, b]
+                both += (x[:, None] == x[None, :]) & f[:, None] & f[None, :]
+                either += f[:, None] | f[None, :]
+            similar = both >= (threshold - MARGIN) * either
+            np.fill_diagonal(similar, False)
+            found = np.flatnonzero(similar.any(axis=1))
+            if len(found):
+                keys.append(np.full(len(found), group.column(0)[0].as_py(), np.int64))
+                nodes.append(group.column(1).to_numpy()[found])
+                n_held += len(found)
+            if n_held > 10_000:
+                yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], schema=schema)
+                keys, nodes, n_held = [], [], 0
+        if n_held:
+            yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], schema=schema)
+
+    return run, ddl
 
 
 def _members(size: int, bucket: int):
+    """A row for each task that a set takes part in, with its whole shingle set."""
     schema = arrow_schema(_MEMBER_DDL)
 
     def run(batches):
+        rows, held = [], 0
         for batch in batches:
             for part in slices(batch):
                 sets, at = shingle_sets(part, 0, size)
                 node = _node(sets, at)[0].view(np.int64)
-                rows = []
-                for i, (own, n, leaves, ends) in enumerate(zip(*(part.column(k).to_pylist() for k in range(1, 5)), strict=True)):
-                    if own != node[i]:  # another text under the same doc_id
+                for i, (own, n, ends) in enumerate(zip(*(part.column(k).to_pylist() for k in range(1, 4)), strict=True)):
+                    if own != node[i]:  # another text with the same row key
                         continue
                     content = sets[at[i] : at[i + 1]].tobytes()
+                    leaves, central = [e["key"] for e in ends], [e["central"] for e in ends]
                     for end in ends:
-                        # what is larger than a bucket is compared block by block
-                        blocks = -(-end["n"] // bucket)
-                        mine = own % blocks
-                        for other in range(blocks):
-                            low, high = min(mine, other), max(mine, other)
-                            task = hash((end["run"], end["leaf"], low, high))  # of integers: alike in every process
-                            rows.append((task, low == high, end["run"], own, int(mine == high and low != high), n, leaves, content))
-                if rows:
-                    for a in range(0, len(rows), 2000):
-                        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows[a : a + 2000], strict=True), schema, strict=True)], schema=schema)
+                        for task, side in _tasks(end, own, bucket):
+                            rows.append((task, end["key"], side, own, n, leaves, central, content))
+                            held += len(content)
+                            if held > 4 << 20 or len(rows) > 5000:
+                                yield _batch(rows, schema)
+                                rows, held = [], 0
+        if rows:
+            yield _batch(rows, schema)
 
     return run
 
 
-def _compared(rows: list[dict], threshold: float) -> Iterator[tuple[int, int, int, int]]:
-    """Links among the sets of one bucket, or between those of two blocks: (node, classes linked, documents linked, root)."""
-    rows = list({row["node"]: row for row in rows}.values())
-    m = len(rows)
-    if m < 2:
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _tasks(end: dict, own: int, bucket: int) -> Iterator[tuple[int, int]]:
+    """The tasks of a set in a bucket, and its side in each (0: both). In a large bucket blocks of central sets are compared
+    with each other and with blocks of the rest."""
+    if not end["n"]:
+        yield end["key"], 0
         return
-    sets = [np.frombuffer(row["shingles"], np.uint64) for row in rows]
-    sizes = np.array([len(s) for s in sets], np.int64)
-    leaves = np.array([row["leaves"] for row in rows])
-    run = rows[0]["run"]
-    if m == 2:
-        common = np.array([[0, np.intersect1d(sets[0], sets[1], assume_unique=True).size]] * 2)
-        common[1] = common[1][::-1]
+    blocks, others = -(-end["n_central"] // bucket), -(-(end["n"] - end["n_central"]) // bucket)
+    # hashes of integers are alike in every process
+    if end["central"]:
+        mine = hash((own, 1)) % blocks
+        for j in range(blocks):
+            yield hash((end["key"], min(mine, j), max(mine, j))), (j > mine) + 2 * (j < mine)
+        for j in range(others):
+            yield hash((end["key"], mine, -1 - j)), 1
     else:
-        common = _intersections(sets)
-    linked = common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-9
-    np.fill_diagonal(linked, False)
-    side = np.array([row["side"] for row in rows])
-    if not rows[0]["within"]:
-        linked &= side[:, None] != side[None, :]
-    for r in range(run):
-        linked &= leaves[:, None, r] != leaves[None, :, r]
-    weight = np.array([row["size"] for row in rows], np.int64)
-    nodes = np.array([row["node"] for row in rows], np.int64)
+        mine = hash((own, 2)) % others
+        for i in range(blocks):
+            yield hash((end["key"], i, -1 - mine)), 2
+
+
+def _compared(group: pa.RecordBatch, threshold: float) -> list[tuple[int, int, int, int]]:
+    """Links among the sets of one bucket, or between those of two blocks: (node, classes linked, documents linked, root)."""
+    nodes, side = group.column(3).to_numpy(), group.column(2).to_numpy()
+    # rows that repeat a doc_id and a text have sent the same set twice
+    _, first = np.unique(np.stack([nodes, side.astype(np.int64)]), axis=1, return_index=True)
+    group = group.take(pa.array(np.sort(first)))
+    nodes, side = group.column(3).to_numpy(), group.column(2).to_numpy()
+    m, leaf = len(group), group.column(1)[0].as_py()
+    ends, central = group.column(5).to_pylist(), group.column(6).to_pylist()
+    allowed = side[:, None] != side[None, :] if side.any() else ~np.eye(m, dtype=bool)
+    if not allowed.any():
+        return []
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column(7)]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    common = _intersections(sets)
+    linked = allowed & (common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-9)
+    if not linked.any():
+        return []
+    # pairs that meet in an earlier bucket count there
+    number = {e: k for k, e in enumerate(sorted({e for row in ends for e in row if e < leaf}))}
+    if number:
+        anywhere, as_central = np.zeros((m, len(number)), np.float32), np.zeros((m, len(number)), np.float32)
+        for i in range(m):
+            for e, c in zip(ends[i], central[i], strict=True):
+                if e < leaf:
+                    anywhere[i, number[e]], as_central[i, number[e]] = 1, c
+        met = as_central @ anywhere.T
+        linked &= (met + met.T) == 0
+    weight = group.column(4).to_numpy()
     classes, documents = linked.sum(axis=1), linked @ weight
     root = np.arange(m)
     seen = np.zeros(m, bool)
-    for i in range(m):
+    for i in np.flatnonzero(classes):
         if seen[i]:
             continue
-        frontier = group = np.zeros(m, bool)
+        frontier = found = np.zeros(m, bool)
         frontier[i] = True
         while frontier.any():
-            group = group | frontier
-            frontier = linked[frontier].any(axis=0) & ~group
-        seen |= group
-        root[group] = i
-    for i in np.flatnonzero(classes):
-        yield int(nodes[i]), int(classes[i]), int(documents[i]), int(nodes[root[i]])
+            found = found | frontier
+            frontier = linked[frontier].any(axis=0) & ~found
+        seen |= found
+        root[found] = i
+    return [(int(nodes[i]), int(classes[i]), int(documents[i]), int(nodes[root[i]])) for i in np.flatnonzero(classes)]
 
 
 def _intersections(sets: list[np.ndarray], columns: int = 1 << 22) -> np.ndarray:
     """Sizes of all pairwise intersections, by products of 0/1 matrices over the shingles that two sets or more have."""
     m = len(sets)
+    if m == 2:
+        n = np.intersect1d(sets[0], sets[1], assume_unique=True).size
+        return np.array([[0, n], [n, 0]])
     row = np.repeat(np.arange(m), [len(s) for s in sets])
     values, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = n > 1
@@ -211,7 +404,7 @@ def _intersections(sets: list[np.ndarray], columns: int = 1 << 22) -> np.ndarray
     step = max(1, columns // m)
     for a in range(0, int(shared.sum()), step):
         lo, hi = np.searchsorted(column, (a, a + step))
-        table = np.zeros((m, step), np.float32)
+        table = np.zeros((m, min(step, int(shared.sum()) - a)), np.float32)
         table[row[lo:hi], column[lo:hi] - a] = 1
         common += table @ table.T
     return common
@@ -222,52 +415,70 @@ def _comparer(threshold: float):
 
     def run(batches):
         out: list[tuple[int, int, int, int]] = []
-        task, rows = None, []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["task"] != task:
-                    out += _compared(rows, threshold)
-                    task, rows = row["task"], []
-                rows.append(row)
-            if len(out) > 1000:
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
+        for group in _grouped(batches, 0):
+            out += _compared(group, threshold)
+            if len(out) > 5000:
+                yield _batch(out, schema)
                 out = []
-        out += _compared(rows, threshold)
         if out:
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
+            yield _batch(out, schema)
 
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, recall: float = TARGET_RECALL, depth: int = DEPTH, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, class_id (least doc_id of the near-duplicate group), copy_id (least doc_id with an equal set), n_links
-    (other documents at the threshold or above, copies included) and n_class_links (other sets) for every row of docs."""
-    runs = runs_for(recall, threshold, depth)
-    texts = whole_texts(docs)
-    described = written(texts.mapInArrow(_described(shingle, runs, depth), _SET_DDL), "sets")
-    classes = described.filter("n_shingles > 0").groupBy("node", "check").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.any_value("keys").alias("keys"))
+def _links(texts: DataFrame, classes: DataFrame, shingle: int, threshold: float, recall: float, bucket: int) -> DataFrame:
+    """node, n_class_links, n_links, root: what every comparison found."""
+    small, grid = _buckets(classes, runs_for(recall, SHARED), bucket)
+    run, ddl = _promising(threshold)
+    tokens = small.join(classes.select("node", "tokens"), "node").select("key", "node", "tokens")
+    promising = tokens.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(run, ddl)
+    zero = F.lit(0).cast("long")
+    ends = promising.select("key", "node", F.lit(True).alias("central"), zero.alias("n"), zero.alias("n_central"))
+    ends = ends.unionByName(grid) if grid is not None else ends
+    wanted = ends.groupBy("node").agg(F.collect_list(F.struct("key", "central", "n", "n_central")).alias("ends"))
+    wanted = written(wanted.join(classes.select("node", F.col("rep.row_key").alias("row_key"), "size"), "node"), "wanted")
+    asked = bloom.marked(wanted.select("row_key"), wanted.count())
+    members = texts.filter(asked(F.col("row_key"))).join(wanted, "row_key").select("text", "node", "size", "ends").mapInArrow(_members(shingle, bucket), _MEMBER_DDL)
+    return members.repartition(F.col("task")).sortWithinPartitions("task").mapInArrow(_comparer(threshold), _FOUND_DDL)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, row_key and whole text (null text: empty); row_key stands for the doc_id and the text."""
+    return docs.select("doc_id", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row_key"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _classed(docs: DataFrame, shingle: int, threshold: float, recall: float, bucket: int) -> DataFrame:
+    """doc_id, row_key, least and copy (both (no doc_id, doc_id, row_key)), n_links and n_class_links for every row of docs."""
+    texts = _keyed(docs)
+    described = written(texts.select("doc_id", "row_key", "text").mapInArrow(_described(shingle), _SET_DDL), "sets")
+    row = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row_key")
+    classes = described.filter("n_shingles > 0").groupBy("node", "check").agg(F.min(row).alias("rep"), F.count(F.lit(1)).alias("size"), F.any_value("tokens").alias("tokens"))
     classes = written(classes, "classes")
-    leaves = written(_leaves(classes, runs, depth, bucket), "leaves")
-    buckets = written(_buckets(leaves, runs), "buckets")
-    ends = leaves.select("node", F.posexplode("leaves").alias("run", "leaf")).join(buckets, ["run", "leaf"])
-    ends = ends.groupBy("node").agg(F.collect_list(F.struct("run", "leaf", "n")).alias("ends"))
-    wanted = leaves.join(ends, "node").select(F.col("rep").alias("doc_id"), "node", "size", "leaves", "ends")
-    members = texts.join(wanted, "doc_id").select("text", "node", "size", "leaves", "ends").mapInArrow(_members(shingle, bucket), _MEMBER_DDL)
-    found = members.repartition(F.col("task")).sortWithinPartitions("task").mapInArrow(_comparer(threshold), _FOUND_DDL)
-    found = written(found, "found")
+    found = written(_links(texts, classes, shingle, threshold, recall, bucket), "found")
     links = found.groupBy("node").agg(F.sum("n_class_links").alias("n_class_links"), F.sum("n_links").alias("n_links"))
     groups = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    named = groups.join(classes.select("node", "rep"), "node")
-    least = named.groupBy("component").agg(F.min("rep").alias("class_id"))
-    of_class = classes.select("node", "rep", "size").join(named.select("node", "component").join(least, "component").select("node", "class_id"), "node", "left").join(links, "node", "left")
-    of_class = of_class.select("node", F.coalesce("class_id", "rep").alias("class_id"), F.col("rep").alias("copy_id"), (F.coalesce("n_links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("n_class_links", F.lit(0)).cast("long").alias("n_class_links"))
+    named = written(groups.join(classes.select("node", "rep"), "node"), "named")
+    least = written(named.groupBy("component").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")), "least")
+    of_node = joined_by_group(named.select("node", "component"), least, "component", "n").select("node", "least")
+    of_class = classes.select("node", "check", "rep", "size").join(of_node, "node", "left").join(links, "node", "left")
+    zero = F.lit(0).cast("long")
+    of_class = of_class.select("node", "check", F.coalesce("least", "rep").alias("least"), F.col("rep").alias("copy"), (F.coalesce("n_links", zero) + F.col("size") - 1).alias("n_links"), F.coalesce("n_class_links", zero).alias("n_class_links"), "size")
     of_class = written(of_class, "of-class")
-    joined = described.filter("n_shingles > 0").select("doc_id", "node").join(of_class, "node").select("doc_id", "class_id", "copy_id", "n_links", "n_class_links")
-    alone = described.filter("n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_class_links"))
+    shingled = described.filter("n_shingles > 0").select("doc_id", "row_key", "node", "check")
+    joined = joined_by_group(shingled, of_class, ["node", "check"], "size").select("doc_id", "row_key", "least", "copy", "n_links", "n_class_links")
+    alone = described.filter("n_shingles = 0").select("doc_id", "row_key", row.alias("least"), row.alias("copy"), zero.alias("n_links"), zero.alias("n_class_links"))
     return joined.unionByName(alone)
 
 
-def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
-    """docs without those whose near-duplicate group has a smaller doc_id; rows that share a doc_id go together."""
-    dropped = near_duplicates(docs, **options).filter("class_id != doc_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, recall: float = TARGET_RECALL, bucket: int = BUCKET) -> DataFrame:
+    """doc_id, class_id (least doc_id of the near-duplicate group), copy_id (least doc_id with an equal set), n_links
+    (other documents at the threshold or above, copies included) and n_class_links (other sets) for every row of docs."""
+    return _classed(docs, shingle, threshold, recall, bucket).select("doc_id", F.col("least.doc_id").alias("class_id"), F.col("copy.doc_id").alias("copy_id"), "n_links", "n_class_links")
+
+
+def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, recall: float = TARGET_RECALL, bucket: int = BUCKET) -> DataFrame:
+    """docs without those whose near-duplicate group has a smaller doc_id (of equal ones, one text stays, and all rows that
+    repeat it); texts without words all stay. Only rows that may go are shuffled."""
+    classed = _classed(docs, shingle, threshold, recall, bucket)
+    dropped = classed.filter(F.col("row_key") != F.col("least.row_key")).select(F.col("row_key").alias("key"), "doc_id").distinct()
+    return bloom.without(docs, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), written(dropped, "dropped"))
