@@ -44,8 +44,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def joined_by_group(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, least: int = 100) -> DataFrame:
-    """rows joined with groups (written tables; one row for each key, with the number of rows that have it).
+def joined_by_group(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, least: int = 100, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with groups (written tables; groups have one row for each key, with the number of its rows).
 
     Groups of more than a thousandth of all rows are broadcast, as there are a thousand at most, so no task gets a large
     group; the others are joined by a shuffle.
@@ -53,7 +53,7 @@ def joined_by_group(rows: DataFrame, groups: DataFrame, key: str | list[str], si
     total = groups.agg(F.sum(size)).first()[0] or 0
     is_hot = F.col(size) > max(least, total / 1000)
     hot, key = groups.filter(is_hot), [key] if isinstance(key, str) else key
-    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.filter(~is_hot), key))
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.filter(~is_hot), key, how))
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -36,16 +36,19 @@ from vouch.llm import bloom, words
 from vouch.llm.common import arrow_schema, joined_by_group, slices, text_bytes, written
 from vouch.llm.components import components
 
-SHINGLE, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.999
-BINS, SHARED, BUCKET = 32, 1.5, 128
-#: A set is central in a bucket if on average it shares this part of its tokens with the others there; PROBES of them tell.
-#: CENTRAL * SHARED / THRESHOLD is below 1, so the paths of the other sets grow fewer from depth to depth.
-CENTRAL, PROBES = 0.5, 16
+#: The recall is for two sets at the threshold, however deep the splitting goes; at the first depth they miss each other once in 8,000 times.
+SHINGLE, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.99
+BINS, SHARED, BUCKET = 32, 1.5, 256
+#: A set is central in a bucket if on average it shares this part of its tokens with the others there. CENTRAL * SHARED /
+#: THRESHOLD is below 1, so the paths of the other sets grow fewer from depth to depth.
+CENTRAL = 0.5
+#: Sets of a large bucket are judged in blocks of so many; a token that fewer than one in RARE sets there have counts as unshared.
+BLOCK, RARE = 4096, 64
 #: Sets whose tokens are less similar than the threshold by so much (over four standard deviations) are not fetched.
 MARGIN = 0.3
 
 _SET_DDL = "doc_id long, row_key long, node long, check long, n_shingles int, tokens binary"
-_PATH_DDL = "path long, node long, n long, child long, split boolean"
+_SPLIT_DDL = "path long, node long, share double, children array<long>"
 _MEMBER_DDL = "task long, leaf long, side int, node long, size long, ends array<long>, central array<boolean>, shingles binary"
 _FOUND_DDL = "node long, n_class_links long, n_links long, root long"
 
@@ -145,26 +148,45 @@ def _first_paths(runs: int, per_set: float):
     return run, ddl
 
 
-def _next_paths(per_set: float):
-    """For each set in a large bucket the tokens that tell whether it is central there, and which of them it is split on."""
-    schema = arrow_schema(_PATH_DDL)
+def _exploded():
+    """path, n and each token of each set there."""
+    ddl = "path long, n long, token long"
+    schema = arrow_schema(ddl)
 
     def run(batches):
         for batch in batches:
-            if not len(batch):
-                continue
-            path = batch.column(0).to_numpy()
-            tokens, at = text_bytes(batch.column(3))
-            tokens, at = tokens.view(np.uint64), at // 8
-            row, drawn, level = _draws(path.view(np.uint64), tokens, at)
-            n = np.diff(at)
-            least = np.minimum.reduceat(level, at[:-1])  # no set here is empty
-            asked = np.flatnonzero((level < PROBES / n[row]) | (level == least[row]))
-            split = level[asked] < per_set / n[row[asked]]
-            child = words.mixed(drawn[asked] + np.uint64(1)).view(np.int64)
-            yield pa.record_batch([pa.array(path[row[asked]]), *(c.take(pa.array(row[asked])) for c in batch.columns[1:3]), pa.array(child), pa.array(split)], schema=schema)
+            tokens, at = text_bytes(batch.column(2))
+            row = pa.array(np.repeat(np.arange(len(batch)), np.diff(at // 8)))
+            yield pa.record_batch([batch.column(0).take(row), batch.column(1).take(row), pa.array(tokens.view(np.int64))], schema=schema)
 
-    return run
+    return run, ddl
+
+
+def _split(per_set: float):
+    """For each set of a block of a large bucket its share (the mean, over its tokens, of the part of the other sets there
+    that have them) and the buckets that it is split into."""
+    schema = arrow_schema(_SPLIT_DDL)
+
+    def split(key: tuple, sets: pa.Table, frequent: pa.Table) -> pa.Table:
+        if not len(sets):
+            return schema.empty_table()
+        path, node = sets.column("path").to_numpy(), sets.column("node").to_numpy()
+        tokens, at = text_bytes(sets.column("tokens").combine_chunks().cast(pa.large_binary()))
+        tokens, at = tokens.view(np.uint64), at // 8
+        known = np.array(frequent.column("found")[0].values.field("token") if len(frequent) else [], np.int64)
+        held = np.array(frequent.column("found")[0].values.field("held") if len(frequent) else [], np.int64)
+        order = np.argsort(known)
+        known, held = known[order], np.append(held[order], 1)
+        place = np.searchsorted(known, tokens.view(np.int64))
+        place[(place == len(known)) | (np.append(known, 0)[place] != tokens.view(np.int64))] = len(known)
+        row, drawn, level = _draws(path.view(np.uint64), tokens, at)
+        n_tokens = np.diff(at)
+        share = np.bincount(row, weights=held[place] - 1, minlength=len(node)) / n_tokens / (sets.column("n")[0].as_py() - 1)
+        chosen = level < per_set / n_tokens[row]
+        children = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(row[chosen], minlength=len(node)))).astype(np.int32)), pa.array(words.mixed(drawn[chosen] + np.uint64(1)).view(np.int64)))
+        return pa.table([pa.array(path), pa.array(node), pa.array(share), children], schema=schema)
+
+    return split
 
 
 def _counted(members: DataFrame) -> DataFrame:
@@ -186,18 +208,17 @@ def _buckets(classes: DataFrame, runs: int, bucket: int) -> tuple[DataFrame, Dat
         if large.isEmpty():
             break
         inside = joined_by_group(members.select(F.col("key").alias("path"), "node"), large, "path", "n")
-        drawn = inside.join(classes.select("node", "tokens"), "node").select("path", "node", "n", "tokens").mapInArrow(_next_paths(per_set), _PATH_DDL)
-        drawn = written(drawn, "drawn")
-        held = written(drawn.groupBy("child").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "held")  # a token that one set alone has leads nowhere
-        shares = joined_by_group(drawn, held, "child", "held").groupBy("path", "node").agg(F.sum(F.col("held") - 1).alias("others"), F.collect_list(F.when(F.col("split"), F.col("child"))).alias("children"))
-        asked = drawn.groupBy("path", "node").agg(F.count(F.lit(1)).alias("asked"), F.max("n").alias("n"))
-        told = asked.join(shares, ["path", "node"], "left")
-        # the mean, over the asked tokens, of the part of the other sets that have them
-        share = F.coalesce("others", F.lit(0)) / F.col("asked") / (F.col("n") - 1)
-        told = written(told.select("path", "node", "n", "children", (share >= CENTRAL).alias("central")), "told")
-        centres = told.groupBy("path").agg(F.count_if("central").alias("n_central"), F.count(F.lit(1)).alias("n")).filter("n_central > 0")
-        grids.append(joined_by_group(told.select("path", "node", "central"), written(centres, "centres"), "path", "n").select(F.col("path").alias("key"), "node", "central"))
-        members = written(told.filter("NOT central").select(F.explode("children").alias("key"), "node"), "paths")
+        inside = inside.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)))
+        inside = written(inside.join(classes.select("node", "tokens"), "node").select("path", "n", "tokens", "node", "block"), "inside")
+        # of a bucket's tokens those that many sets there have: RARE * BINS at most
+        run, ddl = _exploded()
+        frequent = inside.select("path", "n", "tokens").mapInArrow(run, ddl).groupBy("path", "token").agg(F.count(F.lit(1)).alias("held"), F.max("n").alias("n")).filter((F.col("held") > 1) & (F.col("held") * RARE >= F.col("n")))
+        frequent = frequent.groupBy("path").agg(F.max("n").alias("n"), F.collect_list(F.struct("token", "held")).alias("found"))
+        frequent = frequent.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK) - 1)).alias("block"), "found")
+        told = inside.groupBy("path", "block").cogroup(frequent.groupBy("path", "block")).applyInArrow(_split(per_set), _SPLIT_DDL)
+        told = written(told.select("path", "node", "children", (F.col("share") >= CENTRAL).alias("central")), "told")
+        grids.append(told.select(F.col("path").alias("key"), "node", "central"))
+        members = told.filter("NOT central").select(F.explode("children").alias("key"), "node")
     # buckets of the same sets: one is enough
     small = _union(counts).groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key")
     small = _union(levels).join(written(small, "small"), "key")
@@ -209,8 +230,7 @@ def _merged(large: DataFrame) -> DataFrame:
 
     Near copies are together in many buckets; so they are compared once and not in each.
     """
-    large = written(large, "large")
-    sizes = written(large.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("central").alias("n_central")), "sizes")
+    sizes = written(large.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("central").alias("n_central")).filter("n_central > 0"), "sizes")
     lists = large.filter("central").groupBy("node").agg(F.collect_set("key").alias("keys")).filter(F.size("keys") > 1)
     pairs = lists.select(F.explode("keys").alias("a"), "keys").select("a", F.explode("keys").alias("b")).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     n_central = lambda name: sizes.select(F.col("key").alias(name), F.col("n_central").alias("of_" + name))
