@@ -14,7 +14,7 @@ Brute force has two steps: the tokens of a bucket's sets are compared first, and
 similar fetch their whole shingle sets; similarities are exact, from those. A pair that meets in several buckets counts
 in the first. No pair is written: a task returns for each set its number of links and a spanning star of the links it
 found; these give the near-duplicate groups. Counting all links among n near copies takes n * n comparisons; they are
-dealt in blocks of `bucket` sets.
+dealt in blocks of `COMPARED` sets.
 
 The words are runs of anything but space and U+0009 to U+000D, unchanged; fewer than five words make one shingle, and a
 text without words (null, empty) has an empty set, no links and a group of its own. Rows that repeat a doc_id and a text
@@ -38,16 +38,19 @@ from vouch.llm.components import components
 
 #: The recall is for two sets at the threshold, however deep the splitting goes; at the first depth they miss each other once in 8,000 times.
 SHINGLE, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.99
-BINS, SHARED, BUCKET = 32, 1.5, 256
+BINS, SHARED, BUCKET = 32, 1.5, 1024
 #: A set is central in a bucket if on average it shares this part of its tokens with the others there. CENTRAL * SHARED /
 #: THRESHOLD is below 1, so the paths of the other sets grow fewer from depth to depth.
 CENTRAL = 0.5
 #: Sets of a large bucket are judged in blocks of so many; a token that fewer than one in RARE sets there have counts as unshared.
 BLOCK, RARE = 4096, 64
+#: Sets in a block of a comparison, where a bucket is large.
+COMPARED = 256
 #: Sets whose tokens are less similar than the threshold by so much (over four standard deviations) are not fetched.
 MARGIN = 0.3
 
 _SET_DDL = "doc_id long, row_key long, node long, check long, n_shingles int, tokens binary"
+_FREQUENT_DDL = "path long, n long, token long, held long"
 _SPLIT_DDL = "path long, node long, share double, children array<long>"
 _MEMBER_DDL = "task long, leaf long, side int, node long, size long, ends array<long>, central array<boolean>, shingles binary"
 _FOUND_DDL = "node long, n_class_links long, n_links long, root long"
@@ -148,18 +151,19 @@ def _first_paths(runs: int, per_set: float):
     return run, ddl
 
 
-def _exploded():
-    """path, n and each token of each set there."""
-    ddl = "path long, n long, token long"
-    schema = arrow_schema(ddl)
+def _frequent():
+    """Of a block of a large bucket the tokens that at least one in 2 * RARE of its sets have: 2 * RARE * BINS at most."""
+    schema = arrow_schema(_FREQUENT_DDL)
 
-    def run(batches):
-        for batch in batches:
-            tokens, at = text_bytes(batch.column(2))
-            row = pa.array(np.repeat(np.arange(len(batch)), np.diff(at // 8)))
-            yield pa.record_batch([batch.column(0).take(row), batch.column(1).take(row), pa.array(tokens.view(np.int64))], schema=schema)
+    def frequent(sets: pa.Table) -> pa.Table:
+        tokens = text_bytes(sets.column("tokens").combine_chunks().cast(pa.large_binary()))[0].view(np.int64)
+        found, held = np.unique(tokens, return_counts=True)
+        often = (held > 1) & (held * 2 * RARE >= len(sets))
+        found, held = found[often], held[often]
+        n = len(found)
+        return pa.table([pa.array(np.full(n, sets.column("path")[0].as_py(), np.int64)), pa.array(np.full(n, sets.column("n")[0].as_py(), np.int64)), pa.array(found), pa.array(held.astype(np.int64))], schema=schema)
 
-    return run, ddl
+    return frequent
 
 
 def _split(per_set: float):
@@ -211,8 +215,8 @@ def _buckets(classes: DataFrame, runs: int, bucket: int) -> tuple[DataFrame, Dat
         inside = inside.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)))
         inside = written(inside.join(classes.select("node", "tokens"), "node").select("path", "n", "tokens", "node", "block"), "inside")
         # of a bucket's tokens those that many sets there have: RARE * BINS at most
-        run, ddl = _exploded()
-        frequent = inside.select("path", "n", "tokens").mapInArrow(run, ddl).groupBy("path", "token").agg(F.count(F.lit(1)).alias("held"), F.max("n").alias("n")).filter((F.col("held") > 1) & (F.col("held") * RARE >= F.col("n")))
+        frequent = inside.groupBy("path", "block").applyInArrow(_frequent(), _FREQUENT_DDL)
+        frequent = frequent.groupBy("path", "token").agg(F.sum("held").alias("held"), F.max("n").alias("n")).filter(F.col("held") * RARE >= F.col("n"))
         frequent = frequent.groupBy("path").agg(F.max("n").alias("n"), F.collect_list(F.struct("token", "held")).alias("found"))
         frequent = frequent.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK) - 1)).alias("block"), "found")
         told = inside.groupBy("path", "block").cogroup(frequent.groupBy("path", "block")).applyInArrow(_split(per_set), _SPLIT_DDL)
@@ -347,6 +351,7 @@ def _tasks(end: dict, own: int, bucket: int) -> Iterator[tuple[int, int]]:
     if not end["n"]:
         yield end["key"], 0
         return
+    bucket = min(bucket, COMPARED)
     blocks, others = -(-end["n_central"] // bucket), -(-(end["n"] - end["n_central"]) // bucket)
     # hashes of integers are alike in every process
     if end["central"]:
