@@ -47,3 +47,20 @@ def test_stages_follow_from_each_other(spark):
     assert all(kept[3][i] == texts[i] or "[SECRET]" in kept[3][i] for i in kept[3])
     pieces = corpus_pipeline.run(spark, str(SF)).collect()
     assert {r.doc_id for r in pieces} == set(kept[3])
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty texts, repeated rows, an empty table and columns named like the stages' own."""
+    from test_operators import ROWS, table
+
+    odd = table(spark, ROWS).selectExpr("*", "'x' AS row", "1 AS __doc_key", "2 AS __spans", "3 AS digest", "4 AS row_key")
+    labels = spark.createDataFrame([(8, 1, 0), (9, 1, 1)], "doc_id long, quality int, toxic int")
+    for docs in (odd, odd.limit(0)):
+        rows = docs.count()
+        kept = [toxicity.without_toxic(docs, labels), *(stage(spark, docs, "") for _, stage in corpus_pipeline.STAGES[1:4])]
+        assert all(k.columns == docs.columns for k in kept)
+        counts = [k.count() for k in kept]
+        assert counts[3] == rows and all(n <= rows for n in counts)
+        assert not rows or counts[1] == len({"".join(c.lower() if "A" <= c <= "Z" else c for c in t or "") for _, t in ROWS})
+        pieces = corpus_pipeline.STAGES[4][1](spark, docs, "")
+        assert {r.doc_id for r in pieces.collect()} == ({i for i, _ in ROWS} if rows else set())
