@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vouch.llm import bloom, words
-from vouch.llm.common import arrow_schema, joined_by_group, slices, text_bytes, written
+from vouch.llm.common import arrow_schema, joined_by_group, slices, text_bytes, thrifty, written
 from vouch.llm.components import components
 
 #: The recall is for two sets at the threshold, however deep the splitting goes; at the first depth they miss each other once in 8,000 times.
@@ -120,7 +120,7 @@ def _described(size: int):
                 tokens = _binaries(*_tokens(sets, at))
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(node.view(np.int64)), pa.array(check.view(np.int64)), pa.array(np.diff(at).astype(np.int32)), tokens], schema=schema)
 
-    return run
+    return thrifty(run)
 
 
 def _draws(path: np.ndarray, tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,7 +148,7 @@ def _first_paths(runs: int, per_set: float):
                 nodes.append(node[row[chosen]])
             yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], schema=schema)
 
-    return run, ddl
+    return thrifty(run), ddl
 
 
 def _frequent():
@@ -310,7 +310,7 @@ def _promising(threshold: float):
         if n_held:
             yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], schema=schema)
 
-    return run, ddl
+    return thrifty(run), ddl
 
 
 def _members(size: int, bucket: int):
@@ -338,7 +338,7 @@ def _members(size: int, bucket: int):
         if rows:
             yield _batch(rows, schema)
 
-    return run
+    return thrifty(run)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -448,7 +448,7 @@ def _comparer(threshold: float):
         if out:
             yield _batch(out, schema)
 
-    return run
+    return thrifty(run)
 
 
 def _links(texts: DataFrame, classes: DataFrame, shingle: int, threshold: float, recall: float, bucket: int) -> DataFrame:

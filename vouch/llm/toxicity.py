@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vouch.llm.common import arrow_schema, slices, whole_texts
+from vouch.llm.common import arrow_schema, slices, thrifty, whole_texts
 
 MAX_FIT_ROWS = 16_000
 #: A weight rests on so many toxic rows at least, and on this share of them: the words of a few copies are no evidence.
@@ -210,7 +210,7 @@ def _fit_counts(restorer: Restorer):
         keys = list(counts[0] | counts[1])
         yield pa.record_batch([pa.array(keys, pa.string()), pa.array([counts[1][k] for k in keys], pa.int64()), pa.array([counts[0][k] for k in keys], pa.int64())], schema=schema)
 
-    return run, ddl
+    return thrifty(run), ddl
 
 
 class Model:
@@ -291,8 +291,9 @@ def evidence(docs: DataFrame, model: Model, *more: str) -> DataFrame:
             for part in slices(batch):
                 found = np.array([own.evidence(t) for t in part.column(1).to_pylist()], float).reshape(-1, 3)
                 yield pa.record_batch([part.column(0), *part.columns[2:], *map(pa.array, (*found.T.copy(), own.scores(found)))], schema=schema)
+        own.known.clear()
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more).mapInArrow(run, ddl)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more).mapInArrow(thrifty(run), ddl)
 
 
 def scored(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) -> DataFrame:
@@ -313,5 +314,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FI
             for part in slices(batch):
                 found = np.array([own.evidence(t or "") for t in part.column(at).to_pylist()], float).reshape(-1, 3)
                 yield part.filter(pa.array(own.scores(found) < THRESHOLD))
+        own.known.clear()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(thrifty(run), docs.schema)
