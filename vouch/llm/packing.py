@@ -30,7 +30,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from vouch.llm.common import arrow_schema, slices, whole_texts
+from vouch.llm.common import arrow_schema, slices, thrifty, whole_texts
 
 KNOWN_WORDS, KNOWN_PIECES = 600_000, 400_000
 _DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -269,4 +269,4 @@ def packed(docs: DataFrame, tokenizer_file: str, end_id: int = 2, length: int =
         if rows:
             yield batch_of_rows()
 
-    return whole_texts(docs).mapInArrow(run, ddl)
+    return whole_texts(docs).mapInArrow(thrifty(run), ddl)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vouch.llm import bloom
-from vouch.llm.common import arrow_schema, joined_by_group, slices, written
+from vouch.llm.common import arrow_schema, joined_by_group, slices, thrifty, written
 
 #: Fixed patterns of the base kinds, in the order in which they are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -88,7 +88,7 @@ def candidates(docs: DataFrame, repo: str = "doc_id", owner: str = "source", gen
                 yield pa.record_batch([*part.columns[:3], pa.array(spans, schema.field("spans").type)], schema=schema)
 
     texts = docs.select("doc_id", F.col(repo).cast("string").alias("repo"), F.col(owner).cast("string").alias("owner"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(run, _SCAN_DDL)
+    return texts.mapInArrow(thrifty(run), _SCAN_DDL)
 
 
 def ownership(spans: DataFrame) -> DataFrame:
