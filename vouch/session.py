@@ -8,11 +8,19 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+#: Arrow batches end by rows alone unless this is set; texts of a few kilobytes then make batches of tens of megabytes.
+BATCH_BYTES_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
+
 _shipped: set[str] = set()
 
 
 def ensure_package(spark: SparkSession) -> None:
-    """Makes this package importable in Python workers, once for each application, wherever the driver was started."""
+    """Makes this package importable in Python workers, once for each application, wherever the driver was started.
+
+    Where the session sets no size for Arrow batches, it gets BATCH_BYTES.
+    """
+    if spark.conf.get(BATCH_BYTES_KEY, None) is None:
+        spark.conf.set(BATCH_BYTES_KEY, str(BATCH_BYTES))
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
