@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 
 from vouch.llm.common import arrow_schema, slices, thrifty, whole_texts
 
-KNOWN_WORDS, KNOWN_PIECES = 600_000, 400_000
+KNOWN_WORDS, KNOWN_PIECES = 200_000, 150_000
 _DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Sequence ids of a partition: its number in the bits above these.
 _LOCAL_BITS = 36
