@@ -130,3 +130,27 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **size
     hits = exchange.answer(exchange.ask(_say_probes(window, gram), repeated), _reply_hits)
     least = exchange.answer(exchange.ask(_say_windows(window, gram), hits), least_replies)
     return exchange.finish(_conclude(window, gram), _DDL, least)
+
+
+#: The rows of deduplicated() in DuckDB, over the table documents: hits are window starts, spans their unions.
+ORACLE_SQL = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+starts AS (
+    SELECT doc_id, unnest(range(1, len(words) - 48)) AS pos,
+        unnest(list_transform(range(1, len(words) - 48), lambda i: md5(array_to_string(words[i : i + 49], ' ')))) AS content
+    FROM docs
+),
+judged AS (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY content) AS least FROM starts),
+hits AS (SELECT doc_id, pos, pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS step FROM judged WHERE least < doc_id),
+runs AS (SELECT doc_id, pos, sum(CASE WHEN step <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM hits),
+spans AS (SELECT doc_id, min(pos) AS a, max(pos) + 49 AS b FROM runs GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+cut AS (
+    SELECT doc_id, sum(b - a + 1) AS n_removed, max(b) AS last,
+        flatten(list(CASE WHEN a > before + 1 THEN words[before + 1 : a - 1] ELSE [] END ORDER BY a)) AS head
+    FROM gaps JOIN docs USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+    sha256(coalesce(array_to_string(list_concat(coalesce(head, []), words[coalesce(last, 0) + 1 :]), ' '), '')) AS kept_sha256
+FROM docs LEFT JOIN cut USING (doc_id)
+"""

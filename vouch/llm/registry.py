@@ -57,4 +57,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op9_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op9_exact_dedup": exact_dedup.ORACLE_SQL, "op10_block_dedup": block_dedup.ORACLE_SQL}
