@@ -236,3 +236,15 @@ def test_empty_tables(spark):
     lines = C.corpus(spark.createDataFrame([], LINE))
     assert matchers.matches(apps, qa, lines).count() == 0
     assert form.form_entries(spark.createDataFrame([], "app_id long, page int, text string")).count() == 0
+
+
+def test_arrow_batches_have_a_size(spark):
+    from vouch.session import BATCH_BYTES, BATCH_BYTES_KEY, ensure_package
+
+    own = spark.newSession()
+    own.conf.unset(BATCH_BYTES_KEY)
+    ensure_package(own)
+    assert own.conf.get(BATCH_BYTES_KEY) == str(BATCH_BYTES)
+    own.conf.set(BATCH_BYTES_KEY, "1000000")
+    ensure_package(own)
+    assert own.conf.get(BATCH_BYTES_KEY) == "1000000"
