@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 import public_tokenizers
 
-from vouch.llm import block_dedup, byte_bpe, exact_dedup, jaccard_join, packing, quality_rules, secret_scans, suffix_dedup, token_counts, toxicity
+from vouch.llm import block_dedup, byte_bpe, exact_dedup, jaccard_join, lm_scoring, packing, periodic_runs, quality_rules, secret_scans, suffix_dedup, token_counts, toxicity, whitening
 from vouch.llm.common import table
 
 
@@ -52,8 +52,20 @@ def op10_block_dedup(spark, sf_dir):
     return block_dedup.deduplicated(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark, sf_dir):
+    return periodic_runs.digests(periodic_runs.with_runs(periodic_runs.looped_tails(table(spark, sf_dir, "documents"))))
+
+
+def op12_whitening(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lm_scoring(spark, sf_dir):
+    return lm_scoring.scored(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries():
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_secret_scans": op2_secret_scans, "op3_token_counts": op3_token_counts, "op4_quality_rules": op4_quality_rules, "op5_jaccard_join": op5_jaccard_join, "op6_byte_bpe": op6_byte_bpe, "op7_packing": op7_packing, "op8_toxicity": op8_toxicity, "op9_exact_dedup": op9_exact_dedup, "op10_block_dedup": op10_block_dedup, "pipeline": corpus_pipeline.run}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_secret_scans": op2_secret_scans, "op3_token_counts": op3_token_counts, "op4_quality_rules": op4_quality_rules, "op5_jaccard_join": op5_jaccard_join, "op6_byte_bpe": op6_byte_bpe, "op7_packing": op7_packing, "op8_toxicity": op8_toxicity, "op9_exact_dedup": op9_exact_dedup, "op10_block_dedup": op10_block_dedup, "op11_periodic_runs": op11_periodic_runs, "op12_whitening": op12_whitening, "op13_lm_scoring": op13_lm_scoring, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():

@@ -95,3 +95,11 @@ def covered(starts: np.ndarray, size: int, n: int) -> np.ndarray:
     np.add.at(steps, starts, 1)
     np.add.at(steps, np.minimum(starts + size, n), -1)
     return np.cumsum(steps[:-1]) > 0
+
+
+def covered_bytes(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of n bytes lie in [start, end) of some word; words do not overlap."""
+    steps = np.zeros(n + 1, np.int8)
+    steps[starts] += 1
+    steps[ends] -= 1
+    return np.cumsum(steps[:-1], dtype=np.int8) > 0
