@@ -13,7 +13,7 @@ from vouch.functions import text as T
 
 EVIDENCE = ("found", "image", "line", "conf", "found_n", "of_n", "line_x1", "line_y1", "line_x2", "line_y2")
 #: Ranks of a probe's ways to match stand above the order of lines.
-_RANK_BITS = 54
+RANK_BITS = 54
 
 
 def contains_text(needle: Column | str, haystack: str = "nl") -> Column:
@@ -36,8 +36,8 @@ def first_evidence(probes: DataFrame, corpus: DataFrame, keys: list[str], ways:
     for condition in ways[1:]:
         held = held | condition
     hits = probes.join(corpus.select("app_id", "ord", "nl", "nlc"), "app_id").filter(held)
-    best = hits.groupBy(*keys).agg(F.min(F.shiftleft((rank * len(ways) + way).cast("long"), _RANK_BITS) + F.col("ord")).alias("best"))
-    best = best.withColumn("ord", F.col("best").bitwiseAND((1 << _RANK_BITS) - 1)).withColumn("way", F.shiftright("best", _RANK_BITS).cast("int"))
+    best = hits.groupBy(*keys).agg(F.min(F.shiftleft((rank * len(ways) + way).cast("long"), RANK_BITS) + F.col("ord")).alias("best"))
+    best = best.withColumn("ord", F.col("best").bitwiseAND((1 << RANK_BITS) - 1)).withColumn("way", F.shiftright("best", RANK_BITS).cast("int"))
     return best.join(corpus.select("app_id", "ord", "image", F.col("text").alias("line"), "conf", *(F.col(c).alias(f"line_{c}") for c in ("x1", "y1", "x2", "y2"))), ["app_id", "ord"]).select(
         *keys, "way", F.lit(True).alias("found"), "image", "line", "conf", "line_x1", "line_y1", "line_x2", "line_y2"
     )

@@ -98,31 +98,37 @@ def set_widgets(widgets: DataFrame) -> DataFrame:
     return trimmed.filter((F.col("name") != "") & ~F.col("value").isin("", "Off", "/Off"))
 
 
+BOX = ("x1", "y1", "x2", "y2")
+
+
 def with_widgets(entries: DataFrame, widgets: DataFrame) -> DataFrame:
-    """Entries overridden by widgets: app_id, pos, num, question, answer, from_widget.
+    """Entries overridden by widgets: app_id, pos, num, question, answer, from_widget, bbox_x1 to bbox_y2.
 
     A widget answers the first entry of the kind its name asks for, or adds one at the end; of widgets of one kind the
-    last counts. The first product box that names a product answers the first entry that asks for it. Where any widget
-    applied, administrative entries go. widgets: app_id, seq, name, value.
+    last counts, its box (points times SCALE) too. The first product box that names a product answers the first entry that
+    asks for it. Where any widget applied, administrative entries go. widgets: app_id, seq, name, value, x1, y1, x2, y2;
+    entries may have boxes, which stay where no widget answers.
     """
-    filled = set_widgets(widgets).withColumns({"kind": T.field_kind("name"), "low": T.ascii_lower("value")})
+    own_box = {f"bbox_{c}": (F.col(f"bbox_{c}") if f"bbox_{c}" in entries.columns else F.lit(None)).cast("float") for c in BOX}
+    at = F.struct(*((F.col(c) * F.lit(SCALE)).cast("float").alias(c) for c in BOX)).alias("at")
+    filled = set_widgets(widgets).withColumns({"kind": T.field_kind("name"), "low": T.ascii_lower("value"), "answered": F.struct("value", at)})
     product = F.when(F.contains("low", F.lit("wine")), "WINE").when(F.contains("low", F.lit("spirit")), "DISTILLED SPIRITS").when(F.contains("low", F.lit("malt")), "MALT BEVERAGE")
     boxes = filled.filter(F.col("name") == PRODUCT_WIDGET).withColumn("product", product).filter(F.col("product").isNotNull())
-    boxed = boxes.groupBy("app_id").agg(F.min_by("product", "seq").alias("value")).withColumn("kind", F.lit("ProductType")).withColumns({"name": F.lit(None).cast("string"), "seq": F.lit(0)})
-    texts = filled.filter(~F.col("kind").isin("Admin", "ProductType")).groupBy("app_id", "kind").agg(F.max_by("value", "seq").alias("value"), F.min_by("name", "seq").alias("name"), F.min("seq").alias("seq"))
+    boxed = boxes.groupBy("app_id").agg(F.min_by(F.struct(F.col("product").alias("value"), at), "seq").alias("answered")).withColumn("kind", F.lit("ProductType")).withColumns({"name": F.lit(None).cast("string"), "seq": F.lit(0)})
+    texts = filled.filter(~F.col("kind").isin("Admin", "ProductType")).groupBy("app_id", "kind").agg(F.max_by("answered", "seq").alias("answered"), F.min_by("name", "seq").alias("name"), F.min("seq").alias("seq"))
     values = boxed.unionByName(texts.select(boxed.columns))
-    own = entries.withColumn("kind", T.field_kind("question"))
+    own = entries.withColumns({"kind": T.field_kind("question")} | own_box)
     first = F.row_number().over(Window.partitionBy("app_id", "kind").orderBy("pos")) == 1
     own = own.withColumn("first", first).withColumn("join_kind", F.when(F.col("first"), F.col("kind")))
-    wanted = values.select("app_id", F.col("kind").alias("join_kind"), "name", "value", "seq")
+    wanted = values.select("app_id", F.col("kind").alias("join_kind"), "name", "answered.value", "answered.at", "seq")
     joined = own.join(wanted, ["app_id", "join_kind"], "full_outer")
     # a product box without an entry that asks for the product applies to nothing
     joined = joined.filter(F.col("pos").isNotNull() | F.col("name").isNotNull())
     applied = F.max(F.col("value").isNotNull()).over(Window.partitionBy("app_id"))
     rows = joined.select(
         "app_id", "pos", "seq", F.coalesce("num", F.regexp_extract("name", QUESTION, 1), F.lit("")).alias("num"), F.coalesce("question", "name").alias("question"), F.coalesce("value", "answer").alias("answer"),
-        F.col("value").isNotNull().alias("from_widget"), applied.alias("applied"),
+        F.col("value").isNotNull().alias("from_widget"), applied.alias("applied"), *(F.when(F.col("value").isNotNull(), F.col(f"at.{c}")).otherwise(F.col(f"bbox_{c}")).alias(f"bbox_{c}") for c in BOX),
     )
     rows = rows.filter(~F.col("applied") | (T.field_kind("question") != "Admin"))
     place = F.row_number().over(Window.partitionBy("app_id").orderBy(F.col("pos").asc_nulls_last(), "seq")) - 1
-    return rows.select("app_id", place.cast("int").alias("pos"), "num", "question", "answer", "from_widget")
+    return rows.select("app_id", place.cast("int").alias("pos"), "num", "question", "answer", "from_widget", *(f"bbox_{c}" for c in BOX))

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vouch.functions import text as T
 from vouch.operators import evidence as E
 
-MATCH = ("app_id", "pos", "num", "question", "answer", "status", "found", "image", "line", "conf", "found_n", "of_n", "line_x1", "line_y1", "line_x2", "line_y2", "note", "mandatory", "mandatory_message", "matched_as")
+MATCH = ("app_id", "pos", "num", "question", "answer", "status", "found", "image", "line", "conf", "found_n", "of_n", "line_x1", "line_y1", "line_x2", "line_y2", "note", "mandatory", "mandatory_message", "matched_as", "form_x1", "form_y1", "form_x2", "form_y2")
 _KEYS = ["app_id", "pos"]
 
 # --- fixed values -------------------------------------------------------------------------------------------------
@@ -35,9 +35,10 @@ SEEN, INCOMPLETE, NOT_SEEN = "SEEN - government warning complete ", "INCOMPLETE
 
 
 def answers(form_qa: DataFrame) -> DataFrame:
-    """Answers that are not blank, trimmed, with their kind and normal form."""
+    """Answers that are not blank, trimmed, with their kind and normal form, and the box that the form shows them in (bbox_x1 to bbox_y2 of form_qa; null without)."""
     trimmed = form_qa.withColumn("answer", T.trim(F.coalesce("answer", F.lit("")))).filter(F.col("answer") != "")
-    filled = trimmed.select("app_id", "pos", F.coalesce("num", F.lit("")).alias("num"), F.coalesce("question", F.lit("")).alias("question"), "answer")
+    box = [(F.col(f"bbox_{c}") if f"bbox_{c}" in form_qa.columns else F.lit(None)).cast("float").alias(f"form_{c}") for c in ("x1", "y1", "x2", "y2")]
+    filled = trimmed.select("app_id", "pos", F.coalesce("num", F.lit("")).alias("num"), F.coalesce("question", F.lit("")).alias("question"), "answer", *box)
     return filled.withColumn("kind", T.field_kind("question")).withColumn("a", T.norm("answer"))
 
 
@@ -110,56 +111,92 @@ def supported_line() -> Column:
     return F.when(F.col("pattern").isNotNull(), F.regexp_like("nl", F.col("pattern"))).when(F.col("words").isNotNull(), words).otherwise(text)
 
 
+#: Ranks of an answer's words stand above those of its candidates.
+_WORD_RANK = 1000
+FORM_BOX = ("form_x1", "form_y1", "form_x2", "form_y2")
+
+
+def probes(asked: DataFrame) -> DataFrame:
+    """A row for each way that a line can support an answer, and for each of its words where those may be spread; an answer without any has one empty row.
+
+    Ranks from _WORD_RANK on are words, in their order.
+    """
+    named = asked.withColumn("names", F.when(F.col("kind") == "NameAddress", _tradenames())).withColumn("normed", F.transform("names", T.norm)).withColumn("tokens", _by_kind({kind: E.tokens("a", least) for kind, (least, _) in SPREAD.items()}))
+    ways = F.coalesce(_by_kind({kind: build() for kind, build in CANDIDATES.items()}), F.array())
+    none = F.lit(None)
+    word = lambda t, i: F.struct((i + _WORD_RANK).alias("rank"), t.alias("needle"), F.lit(False).alias("packed"), none.cast("string").alias("pattern"), none.cast("array<string>").alias("words"))
+    every = F.concat(ways, F.coalesce(F.transform("tokens", word), F.array()))
+    return named.select(*asked.columns, "names", "tokens", F.explode_outer(every).alias("c")).select(*asked.columns, "names", "tokens", "c.*")
+
+
 def verdicts(asked: DataFrame, corpus: DataFrame) -> DataFrame:
-    """MATCH rows for answers(): one lookup for all kinds of fields, one for words anywhere, and the verdict of each kind.
+    """MATCH rows for answers(): one join of their probes with the label's lines, and one group for each answer.
 
-    Answers, label lines and the lines found are read more than once, so they are persisted (memory, then disk): parsing
-    and normalising them costs more than reading them back.
+    Both sides need nothing but the application as their key, so bucketed tables (sources.stored) are not exchanged; then
+    lines that cost much to normalise are read back and not made anew.
     """
-    corpus = corpus.persist()
-    asked = asked.withColumn("names", F.when(F.col("kind") == "NameAddress", _tradenames())).withColumn("normed", F.transform("names", T.norm)).persist()
-    ways = _by_kind({kind: build() for kind, build in CANDIDATES.items()})
-    probes = asked.select(*_KEYS, F.explode(ways).alias("c")).select(*_KEYS, "c.*")
-    lines = E.first_evidence(probes, corpus, _KEYS, [supported_line()]).persist()
-    joined = asked.join(lines, _KEYS, "left")
-    loose = F.col("kind").isin(*SPREAD) & F.col("found").isNull()
-    tokens = _by_kind({kind: E.tokens("a", least) for kind, (least, _) in SPREAD.items()})
-    spread = E.token_coverage(joined.filter(loose).select(*_KEYS, tokens.alias("tokens")), corpus, _KEYS).select(*_KEYS, "of_n", "found_n", F.col("words").alias("spread"))
-    rows = joined.join(spread, _KEYS, "left")
+    lines = corpus.select(F.col("app_id").alias("line_app"), "ord", "nl", "nlc", F.struct("image", F.col("text").alias("line"), F.col("conf").cast("double").alias("conf"), *(F.col(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2"))).alias("e"))
+    hits = probes(asked).join(lines, (F.col("app_id") == F.col("line_app")) & supported_line(), "left")
+    held, rank = F.col("ord").isNotNull(), F.col("rank")
+    packed = F.when(held & (rank < _WORD_RANK), F.shiftleft(rank.cast("long"), E.RANK_BITS) + F.col("ord"))
+    rows = hits.groupBy(*_KEYS).agg(
+        *(F.first(c).alias(c) for c in ("num", "question", "answer", "kind", "a", "names", "tokens", *FORM_BOX)),
+        F.min(packed).alias("best"), F.min_by("e", packed).alias("e"), F.collect_set(F.when(held & (rank >= _WORD_RANK), rank - _WORD_RANK)).alias("seen"),
+    )
+    kind, hit, way = F.col("kind"), F.col("best").isNotNull(), F.shiftright("best", E.RANK_BITS).cast("int")
+    loose = kind.isin(*SPREAD) & ~hit & (F.size("tokens") > 0)
+    found_words = F.filter("tokens", lambda t, i: F.array_contains("seen", i))
+    rows = rows.withColumn("of_n", F.when(loose, F.size("tokens").cast("long"))).withColumn("found_n", F.when(loose, F.size(found_words).cast("long")))
     enough = F.col("of_n").isNotNull() & (F.col("found_n") >= _by_kind({kind: F.lit(need) for kind, (_, need) in SPREAD.items()}) * F.col("of_n"))
-    hit, kind = F.coalesce("found", F.lit(False)), F.col("kind")
-    on_one_line = hit & kind.isin(*SPREAD) & (F.col("way") == 1)
-    n_words = F.size(E.tokens("a", 3)).cast("long")
+    on_one_line = hit & kind.isin(*SPREAD) & (way == 1)
+    n_words = F.size("tokens").cast("long")
     share = F.col("found_n") / F.col("of_n")
     unmarked = (kind == "NameAddress") & ~F.contains(T.ascii_lower("answer"), F.lit(T.USED_ON_LABEL))
     wording = F.when(F.col("of_n").isNull(), "EMPTY").when(share >= 0.9, "MATCH").when(share >= 0.5, "PARTIAL").otherwise("NOT FOUND")
     status = F.when((kind == "Admin") | unmarked, "SKIP").when(kind == "Wording", wording).when(hit | enough, "MATCH").otherwise("NOT FOUND")
-    product = F.get(F.array(*(F.lit(name) for *_, name in PRODUCTS)), F.col("way"))
-    tradename = F.get("names", F.floor(F.col("way") / 2).cast("int"))
-    place = [F.when(hit, F.col(f"line_{c}")).otherwise(0).cast("int").alias(f"line_{c}") for c in ("x1", "y1", "x2", "y2")]
+    product = F.get(F.array(*(F.lit(name) for *_, name in PRODUCTS)), way)
+    tradename = F.get("names", F.floor(way / 2).cast("int"))
+    place = [F.when(hit, F.col(f"e.{c}")).otherwise(0).alias(f"line_{c}") for c in ("x1", "y1", "x2", "y2")]
     return rows.select(
         *_KEYS, "num", "question", "answer", status.alias("status"), (hit | enough).alias("found"),
-        F.when(hit, F.col("image")).when(enough, "multiple").otherwise("").alias("image"), F.when(hit, F.col("line")).when(enough, F.col("spread")).otherwise("").alias("line"),
-        F.when(hit, F.col("conf")).otherwise(-1.0).alias("conf"),
+        F.when(hit, F.col("e.image")).when(enough, "multiple").otherwise("").alias("image"), F.when(hit, F.col("e.line")).when(enough, F.array_join(found_words, " ")).otherwise("").alias("line"),
+        F.when(hit, F.col("e.conf")).otherwise(-1.0).alias("conf"),
         F.when(on_one_line, n_words).when(enough, F.col("found_n")).alias("found_n"), F.when(on_one_line, n_words).when(enough, F.col("of_n")).alias("of_n"), *place,
         F.when(kind == "Admin", ADMINISTRATIVE).when(unmarked, NO_TRADENAME).otherwise("").alias("note"), F.lit(False).alias("mandatory"), F.lit("").alias("mandatory_message"),
-        F.when(hit & (kind == "ProductType"), product).when(hit & (kind == "NameAddress"), tradename).alias("matched_as"),
+        F.when(hit & (kind == "ProductType"), product).when(hit & (kind == "NameAddress"), tradename).alias("matched_as"), *FORM_BOX,
     )
 
 
+def run_together(corpus: DataFrame, carry: int) -> DataFrame:
+    """Lines that are not blank, with `seam`: the line without spaces, after the last `carry` characters of the label before it.
+
+    Every text of carry + 1 characters in the label run together lies within some line's seam. The ends of lines are
+    gathered by doubling: of one line, two, four and so on, until even lines of one character make up the seam.
+    """
+    by_line = Window.partitionBy("app_id").orderBy("ord")
+    rows, reach = corpus.filter(F.col("nlc") != "").withColumn("tail", F.right("nlc", F.lit(carry))), 1
+    while reach < carry:
+        before = F.coalesce(F.lag("tail", reach).over(by_line), F.lit(""))
+        rows, reach = rows.withColumn("tail", F.right(F.concat(before, F.col("tail")), F.lit(carry))), 2 * reach
+    return rows.withColumn("seam", F.concat(F.coalesce(F.lag("tail", 1).over(by_line), F.lit("")), F.col("nlc")))
+
+
 def checklist(apps: DataFrame, corpus: DataFrame, anchors: tuple[str, ...] = ANCHORS) -> DataFrame:
     """app_id, found_n and the evidence of the mandatory text for every application.
 
     Anchors are looked for in all lines of an application run together, so one may span lines and images. The line shown
     is the first with both halves of the first anchor's words, else (if any anchor is there) the first with an anchor.
     """
-    whole = corpus.groupBy("app_id").agg(F.array_sort(F.collect_list(F.struct("ord", "nlc"))).alias("lines"))
-    text = F.array_join(F.col("lines.nlc"), "")
-    counted = whole.select("app_id", reduce(lambda a, b: a + b, (F.contains(text, F.lit(x)).cast("long") for x in anchors)).alias("found_n"))
-    all_apps = apps.select("app_id").distinct().join(counted, "app_id", "left").select("app_id", F.coalesce("found_n", F.lit(0)).cast("long").alias("found_n"))
+    held = [F.contains("seam", F.lit(x)) for x in anchors]
     both = F.contains(F.col("nl"), F.lit("government")) & F.contains(F.col("nl"), F.lit("warning"))
-    any_anchor = (F.col("found_n") > 0) & reduce(lambda a, b: a | b, (F.contains(F.col("nlc"), F.lit(x)) for x in anchors))
-    return all_apps.join(E.first_evidence(all_apps, corpus, ["app_id"], [both, any_anchor]), "app_id", "left")
+    own = reduce(lambda a, b: a | b, (F.contains(F.col("nlc"), F.lit(x)) for x in anchors))
+    packed = F.when(both, F.col("ord")).when(own, F.col("ord") + (1 << E.RANK_BITS))
+    rows = run_together(corpus, max(map(len, anchors)) - 1)
+    shown = F.struct("image", F.col("text").alias("line"), F.col("conf").cast("double").alias("conf"), *(F.col(c).alias(f"line_{c}") for c in ("x1", "y1", "x2", "y2")))
+    counted = rows.groupBy("app_id").agg(reduce(lambda a, b: a + b, (F.max(h.cast("long")) for h in held)).alias("found_n"), F.min_by(shown, packed).alias("e"), F.min(packed).isNotNull().alias("found"))
+    counted = counted.select("app_id", "found_n", F.when(F.col("found"), True).alias("found"), *(F.when(F.col("found"), F.col(f"e.{c}")).alias(c) for c in ("image", "line", "conf", "line_x1", "line_y1", "line_x2", "line_y2")))
+    all_apps = apps.select("app_id").distinct()
+    return all_apps.join(counted, "app_id", "left").withColumn("found_n", F.coalesce("found_n", F.lit(0)).cast("long"))
 
 
 def mandatory_rows(apps: DataFrame, corpus: DataFrame, last: DataFrame, anchors: tuple[str, ...] = ANCHORS) -> DataFrame:
@@ -175,13 +212,16 @@ def mandatory_rows(apps: DataFrame, corpus: DataFrame, last: DataFrame, anchors:
         F.coalesce("found", F.lit(False)).alias("found"), F.coalesce("image", F.lit("")).alias("image"), F.coalesce("line", F.lit("")).alias("line"), F.coalesce(F.col("conf").cast("double"), F.lit(-1.0)).alias("conf"),
         "found_n", F.lit(n).cast("long").alias("of_n"), *(F.coalesce(f"line_{c}", F.lit(0)).cast("int").alias(f"line_{c}") for c in ("x1", "y1", "x2", "y2")),
         F.lit(MANDATORY_NOTE).alias("note"), F.lit(True).alias("mandatory"), message.alias("mandatory_message"), F.lit(None).cast("string").alias("matched_as"),
+        *(F.lit(None).cast("float").alias(c) for c in FORM_BOX),
     )
 
 
 def matches(apps: DataFrame, form_qa: DataFrame, corpus: DataFrame, anchors: tuple[str, ...] = ANCHORS) -> DataFrame:
-    """A row for each answer of each application, and the mandatory row; applications without lines have it too."""
+    """A row for each answer of each application, and the mandatory row; applications without lines have it too.
+
+    form_qa and corpus are read twice; where that costs much, give bucketed tables of them (sources.stored).
+    """
     asked = answers(form_qa).withColumn("pos", F.col("pos").cast("int"))
-    asked, corpus = asked.persist(), corpus.persist()
     last = asked.groupBy("app_id").agg(F.max("pos").alias("last"))
     return verdicts(asked, corpus).unionByName(mandatory_rows(apps, corpus, last, anchors))
 

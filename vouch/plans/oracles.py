@@ -78,15 +78,29 @@ _PRODUCTS = ("ratios", RATIOS), (
     "SELECT app_id, CASE WHEN dark >= 0.30 AND dark - coalesce(second, 0) >= 0.10 THEN option ELSE '' END AS product FROM (SELECT app_id, max(CASE WHEN place = 1 THEN option END) AS option, max(CASE WHEN place = 1 THEN dark_ratio END) AS dark, max(CASE WHEN place = 2 THEN dark_ratio END) AS second FROM (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY dark_ratio DESC, option_pos) AS place FROM ratios) GROUP BY app_id)",
 )
 _KIND = T.field_kind_sql("question")
+_TRIMMED = "trim({0}, chr(32) || chr(9) || chr(13) || chr(10))"
+_BOXES = (
+    ("plines", PAGE_LINES),
+    ("boxes", f"SELECT *, row_number() OVER (PARTITION BY app_id, num ORDER BY line_pos) AS k FROM (SELECT *, regexp_extract({_TRIMMED.format('text')}, {T.quoted(form.QUESTION)}, 1) AS num FROM plines) WHERE num <> ''"),
+    ("ranked", "SELECT *, row_number() OVER (PARTITION BY app_id, num ORDER BY pos) AS k FROM form"),
+    ("boxed_form", "SELECT r.app_id, r.pos, r.num, r.question, r.answer, " + ", ".join(f"CAST(b.{c} * 1.5 AS FLOAT) AS bbox_{c}" for c in form.BOX) + " FROM ranked r LEFT JOIN boxes b ON r.app_id = b.app_id AND r.num = b.num AND r.k = b.k"),
+)
+_AT = "{'value': %s, " + ", ".join(f"'{c}': CAST({c} * 1.5 AS FLOAT)" for c in form.BOX) + "}"
 _WIDGETS = (
     ("widgets", S.WIDGETS),
-    ("filled", f"SELECT app_id, seq, name, trim(value, chr(32) || chr(9) || chr(13) || chr(10)) AS value, {T.field_kind_sql('name')} AS kind FROM widgets WHERE name <> '' AND trim(value, chr(32) || chr(9) || chr(13) || chr(10)) NOT IN ('', 'Off', '/Off')"),
-    ("boxed", "SELECT app_id, arg_min(CASE WHEN contains(lower(value), 'wine') THEN 'WINE' WHEN contains(lower(value), 'spirit') THEN 'DISTILLED SPIRITS' ELSE 'MALT BEVERAGE' END, seq) AS value, 'ProductType' AS kind, NULL AS name, 0 AS seq FROM filled WHERE name = 'Check Box22' AND regexp_matches(lower(value), 'wine|spirit|malt') GROUP BY app_id"),
-    ("named", "SELECT app_id, arg_max(value, seq) AS value, kind, arg_min(name, seq) AS name, min(seq) AS seq FROM filled WHERE kind NOT IN ('Admin', 'ProductType') GROUP BY app_id, kind"),
+    ("filled", f"SELECT * REPLACE ({_TRIMMED.format('value')} AS value), {T.field_kind_sql('name')} AS kind FROM widgets WHERE name <> '' AND {_TRIMMED.format('value')} NOT IN ('', 'Off', '/Off')"),
+    ("product", "SELECT *, CASE WHEN contains(lower(value), 'wine') THEN 'WINE' WHEN contains(lower(value), 'spirit') THEN 'DISTILLED SPIRITS' ELSE 'MALT BEVERAGE' END AS product FROM filled WHERE name = 'Check Box22' AND regexp_matches(lower(value), 'wine|spirit|malt')"),
+    ("boxed", f"SELECT app_id, arg_min({_AT % 'product'}, seq) AS a, 'ProductType' AS kind, NULL AS name, 0 AS seq FROM product GROUP BY app_id"),
+    ("named", f"SELECT app_id, arg_max({_AT % 'value'}, seq) AS a, kind, arg_min(name, seq) AS name, min(seq) AS seq FROM filled WHERE kind NOT IN ('Admin', 'ProductType') GROUP BY app_id, kind"),
     ("wanted", "SELECT * FROM boxed UNION ALL SELECT * FROM named"),
-    ("own", f"SELECT *, CASE WHEN row_number() OVER (PARTITION BY app_id, {_KIND} ORDER BY pos) = 1 THEN {_KIND} END AS kind FROM form"),
-    ("joined", "SELECT coalesce(o.app_id, w.app_id) AS app_id, o.pos, w.seq, o.num, o.question, o.answer, w.name, w.value FROM own o FULL OUTER JOIN wanted w ON o.app_id = w.app_id AND o.kind = w.kind WHERE o.pos IS NOT NULL OR w.name IS NOT NULL"),
-    ("over", f"SELECT app_id, pos, seq, coalesce(num, regexp_extract(name, {T.quoted(form.QUESTION)}, 1), '') AS num, coalesce(question, name) AS question, coalesce(value, answer) AS answer, value IS NOT NULL AS from_widget, bool_or(value IS NOT NULL) OVER (PARTITION BY app_id) AS applied FROM joined"),
+    ("own", f"SELECT *, CASE WHEN row_number() OVER (PARTITION BY app_id, {_KIND} ORDER BY pos) = 1 THEN {_KIND} END AS kind FROM boxed_form"),
+    ("joined", "SELECT coalesce(o.app_id, w.app_id) AS app_id, o.* EXCLUDE (app_id, kind), w.seq, w.name, w.a FROM own o FULL OUTER JOIN wanted w ON o.app_id = w.app_id AND o.kind = w.kind WHERE o.pos IS NOT NULL OR w.name IS NOT NULL"),
+    (
+        "over",
+        f"SELECT app_id, pos, seq, coalesce(num, regexp_extract(name, {T.quoted(form.QUESTION)}, 1), '') AS num, coalesce(question, name) AS question, CASE WHEN a IS NULL THEN answer ELSE a.value END AS answer, a IS NOT NULL AS from_widget, "
+        + ", ".join(f"CASE WHEN a IS NULL THEN bbox_{c} ELSE a.{c} END AS bbox_{c}" for c in form.BOX)
+        + ", bool_or(a IS NOT NULL) OVER (PARTITION BY app_id) AS applied FROM joined",
+    ),
 )
 
 # --- verdicts -----------------------------------------------------------------------------------------------------
@@ -227,13 +241,12 @@ SQL = {
     "ttb_ids": _with(_PAGES) + f"SELECT app_id, coalesce(nullif(regexp_extract(text, {T.quoted(T.TTB_ID)}, 1), ''), nullif(regexp_extract(text, {T.quoted(T.BARE_TTB_ID)}, 1), ''), '') AS ttb_id FROM pages WHERE page = 1",
     "form_entries": _with(*_FORM) + "SELECT * FROM form",
     "form_with_product": _with(*_FORM, *_PRODUCTS, ("placed", "SELECT *, contains(lower(question), 'type of product') AS asks, row_number() OVER (PARTITION BY app_id, contains(lower(question), 'type of product') ORDER BY pos) AS k FROM form")) + "SELECT f.app_id, f.pos, f.num, f.question, CASE WHEN asks AND k = 1 AND coalesce(product, '') <> '' THEN product ELSE answer END AS answer FROM placed f LEFT JOIN products USING (app_id)",
-    "form_boxes": _with(*_FORM, ("plines", PAGE_LINES), ("boxes", f"SELECT *, row_number() OVER (PARTITION BY app_id, num ORDER BY line_pos) AS k FROM (SELECT *, regexp_extract(trim(text, chr(32) || chr(9) || chr(13) || chr(10)), {T.quoted(form.QUESTION)}, 1) AS num FROM plines) WHERE num <> ''"), ("ranked", "SELECT *, row_number() OVER (PARTITION BY app_id, num ORDER BY pos) AS k FROM form"))
-    + "SELECT r.app_id, r.pos, r.num, r.question, r.answer, " + ", ".join(f"CAST(b.{c} * 1.5 AS FLOAT) AS bbox_{c}" for c in ("x1", "y1", "x2", "y2")) + " FROM ranked r LEFT JOIN boxes b ON r.app_id = b.app_id AND r.num = b.num AND r.k = b.k",
-    "form_widgets": _with(*_FORM, *_WIDGETS) + f"SELECT app_id, CAST(row_number() OVER (PARTITION BY app_id ORDER BY pos NULLS LAST, seq) - 1 AS INT) AS pos, num, question, answer, from_widget FROM over WHERE NOT applied OR {_KIND} <> 'Admin'",
+    "form_boxes": _with(*_FORM, *_BOXES) + "SELECT * FROM boxed_form",
+    "form_widgets": _with(*_FORM, *_BOXES, *_WIDGETS) + f"SELECT * EXCLUDE (seq, applied) REPLACE (CAST(row_number() OVER (PARTITION BY app_id ORDER BY pos NULLS LAST, seq) - 1 AS INT) AS pos) FROM over WHERE NOT applied OR {_KIND} <> 'Admin'",
     "product_checkboxes": _with(*_PRODUCTS) + "SELECT * FROM products",
     **{name: _with(*ctes) + f"SELECT * FROM {ctes[-1][0]}" for name, ctes in _VERDICTS.items()},
     "mandatory_check": _with(*_CORPUS, *_mandatory("SELECT p_partkey AS app_id, 9 AS last FROM part")) + "SELECT * FROM gw_rows",
-    "matches": _with(*_MATCHES) + "SELECT * FROM verdicts",
+    "matches": _with(*_MATCHES, *_BOXES) + "SELECT v.*, " + ", ".join(f"CASE WHEN NOT mandatory THEN b.bbox_{c} END AS form_{c}" for c in form.BOX) + " FROM verdicts v LEFT JOIN boxed_form b USING (app_id, pos)",
     "class_types": _with(*_CLASS) + "SELECT n.app_id, CASE WHEN NOT asked THEN 'SKIP' WHEN f.e IS NOT NULL THEN 'MATCH' ELSE 'NOT FOUND' END AS status, CASE WHEN asked THEN class_type ELSE '' END AS class_type, coalesce(f.variant, '') AS matched_as, coalesce(f.e.image, '') AS image, coalesce(f.e.line, '') AS line FROM named n LEFT JOIN found f USING (app_id)",
     "tally": _with(*_MATCHES) + "SELECT app_id, count(*) FILTER (status = 'MATCH') AS n_match, count(*) FILTER (status <> 'SKIP') AS n_checked FROM verdicts GROUP BY 1",
     "scaled_words": _with(*_SCALED) + "SELECT app_id, seq, variant, text, conf, x, y, w, h FROM scaled",
@@ -261,5 +274,5 @@ SQL = {
       CASE WHEN found AND line <> '' THEN concat('        label  : "', line, '" on ', image, CASE WHEN conf >= 0 THEN concat(', conf ', round(conf, 2)) ELSE '' END,
              CASE WHEN of_n IS NOT NULL THEN concat(' (', found_n, '/', of_n, ' tokens)') ELSE '' END, CASE WHEN coalesce(matched_as, '') <> '' THEN concat(' (matched as ''', matched_as, ''')') ELSE '' END)
            WHEN status = 'SKIP' THEN concat('        note   : ', note) ELSE '        label  : (not found)' END) AS text FROM verdicts""",
-    "form_documents": _with(*_FORM) + "SELECT * FROM form",
+    "form_documents": _with(*_FORM, *_BOXES) + "SELECT * FROM boxed_form",
 }

@@ -12,7 +12,7 @@ from vouch.operators import form, imaging, matchers, ocr, results
 from vouch.plans import oracles
 from vouch.plans import stand_ins as S
 from vouch.session import ensure_package
-from vouch.sources import intake
+from vouch.sources import intake, stored
 
 _VERDICT = ("app_id", "pos", "num", "question", "answer", "status", "found", "image", "line", "conf", "found_n", "of_n", "line_x1", "line_y1", "line_x2", "line_y2", "note", "mandatory", "mandatory_message", "matched_as")
 
@@ -102,15 +102,20 @@ def form_boxes(spark, d):
 
 
 def form_widgets(spark, d):
-    return form.with_widgets(_entries(spark, d), S.frame(spark, d, S.WIDGETS))
+    return form.with_widgets(form_boxes(spark, d), S.frame(spark, d, S.WIDGETS))
 
 
 def product_checkboxes(spark, d):
     return form.product_of_checkboxes(_ratios(spark, d))
 
 
+def _stored(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Entries with their boxes, and label lines, each written once and bucketed by application."""
+    return stored.bucketed(form_boxes(spark, d), "app_id", ("pos",), name="entries"), stored.bucketed(_corpus(spark, d), "app_id", ("ord",), name="lines")
+
+
 def matches(spark, d):
-    return matchers.matches(_apps(spark, d), _entries(spark, d), _corpus(spark, d)).select(*_VERDICT)
+    return matchers.matches(_apps(spark, d), *_stored(spark, d))
 
 
 def _matcher(*kinds):
@@ -206,13 +211,14 @@ def report_lines(spark, d):
 
 
 def form_documents(spark, d):
-    """Forms saved as JSON, in both shapes, read back into entries."""
-    entries = _entries(spark, d)
-    listed = entries.groupBy("app_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.struct("num", "question", "answer").alias("e")))), lambda x: x["e"]).alias("form_qa"))
+    """Forms saved as JSON, in both shapes and with their boxes, read back into entries."""
+    entries = form_boxes(spark, d)
+    box = F.when(F.col("bbox_x1").isNotNull(), F.struct(*(F.col(f"bbox_{c}").alias(c) for c in form.BOX)))
+    listed = entries.groupBy("app_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.struct("num", "question", "answer", box.alias("bbox")).alias("e")))), lambda x: x["e"]).alias("form_qa"))
     bare = F.to_json("form_qa")
     whole = F.to_json(F.struct(F.concat(F.lit("26"), F.col("app_id").cast("string")).alias("ttb_id"), "form_qa"))
     saved = listed.select("app_id", F.when(F.col("app_id") % 2 == 0, whole).otherwise(bare).alias("json"))
-    return intake.form_entries(intake.form_documents(saved)).select("app_id", F.col("pos").cast("int").alias("pos"), "num", "question", "answer")
+    return intake.form_entries(intake.form_documents(saved)).select("app_id", F.col("pos").cast("int").alias("pos"), "num", "question", "answer", *(f"bbox_{c}" for c in form.BOX))
 
 
 def json_documents(spark, d):

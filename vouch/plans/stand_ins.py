@@ -89,14 +89,23 @@ LABEL_LINES = _label_rows()
 
 DOCUMENT_PAGES = "SELECT doc_id AS app_id, text FROM {documents}"
 
-WIDGETS = """
-SELECT p_partkey AS app_id, 0 AS seq, 'Check Box22' AS name, CASE p_partkey % 4 WHEN 0 THEN 'Wine' WHEN 1 THEN '/Off' WHEN 2 THEN 'Spirits ' ELSE 'other' END AS value FROM {part} WHERE p_partkey % 2 = 0
-UNION ALL SELECT p_partkey, 1, '6. BRAND NAME', concat(' ', p_name, ' ') FROM {part} WHERE p_partkey % 3 = 0
-UNION ALL SELECT p_partkey, 2, '6. BRAND NAME again', upper(p_name) FROM {part} WHERE p_partkey % 6 = 0
-UNION ALL SELECT p_partkey, 3, '14. GRAPE VINTAGE', CAST(1990 + p_size AS STRING) FROM {part} WHERE p_partkey % 4 = 0
-UNION ALL SELECT p_partkey, 4, 'applicant phone', '555' FROM {part} WHERE p_partkey % 5 = 0
-UNION ALL SELECT p_partkey, 5, '', 'no name' FROM {part}
-"""
+_BOUNDS = "CAST(p_partkey % 90 AS DOUBLE) + {0} AS x1, 20.5 + {0} AS y1, CAST(p_partkey % 90 AS DOUBLE) + 60.25 AS x2, CAST(30 + {0} AS DOUBLE) AS y2"
+
+
+def _widget(seq: int, name: str, value: str, where: str = "true") -> str:
+    return f"SELECT p_partkey AS app_id, {seq} AS seq, '{name}' AS name, {value} AS value, {_BOUNDS.format(seq)} FROM {{part}} WHERE {where}"
+
+
+WIDGETS = " UNION ALL ".join((
+    _widget(0, "Check Box22", "CASE p_partkey % 4 WHEN 0 THEN 'Wine' WHEN 1 THEN '/Off' WHEN 2 THEN 'Spirits ' ELSE 'other' END", "p_partkey % 2 = 0"),
+    _widget(1, "6. BRAND NAME", "concat(' ', p_name, ' ')", "p_partkey % 3 = 0"),
+    _widget(2, "6. BRAND NAME again", "upper(p_name)", "p_partkey % 6 = 0"),
+    _widget(3, "14. GRAPE VINTAGE", "CAST(1990 + p_size AS STRING)", "p_partkey % 4 = 0"),
+    _widget(4, "applicant phone", "'555'", "p_partkey % 5 = 0"),
+    _widget(5, "", "'no name'"),
+    _widget(6, "Check Box22", "'malt'", "p_partkey % 12 = 0"),
+    _widget(7, "14. GRAPE VINTAGE (again)", "'2001'", "p_partkey % 8 = 0"),
+))
 
 WORDS = """
 SELECT l_orderkey AS app_id, 'p2_1.png' AS image, CASE CAST(l_linenumber AS INT) % 3 WHEN 0 THEN 'raw' WHEN 1 THEN 'flat' ELSE 'bin' END AS variant,

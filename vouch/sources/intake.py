@@ -12,7 +12,6 @@ from vouch.functions import text as T
 UPLOAD_CAP = 50 * 1024 * 1024
 PDF_MARK, MARK_WITHIN = "%PDF-", 1024
 PAGE_IMAGE = r"^p(\d+)_(\d+)\.png$"
-FORM_DDL = "pdf string, ttb_id string, raw_text array<string>, form_qa array<struct<num:string,question:string,answer:string,bbox:struct<x1:double,y1:double,x2:double,y2:double>>>"
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -49,7 +48,7 @@ def page_texts(found: DataFrame, read_pages: Callable[[bytes], list[str]]) -> Da
 def form_documents(documents: DataFrame) -> DataFrame:
     """app_id, ttb_id, raw_text, form_qa of saved JSON documents (app_id, json): an object with form_qa, or a bare array of entries.
 
-    Values of another type than text are empty; entries that are no objects go.
+    Values of another type than text are empty; entries that are no objects go. An entry's bbox is null unless it is an object.
     """
     entry = "array<variant>"
     parsed = documents.select("app_id", F.try_parse_json("json").alias("v"))
@@ -60,14 +59,19 @@ def form_documents(documents: DataFrame) -> DataFrame:
         is_text = F.schema_of_variant(F.try_variant_get(of, f"$.{name}", "variant")) == "STRING"
         return F.when(is_text, F.try_variant_get(of, f"$.{name}", "string")).otherwise("")
 
+    def box(of: Column) -> Column:
+        corners = F.struct(*(F.try_variant_get(of, f"$.bbox.{c}", "double").alias(c) for c in ("x1", "y1", "x2", "y2")))
+        return F.when(F.startswith(F.schema_of_variant(F.try_variant_get(of, "$.bbox", "variant")), F.lit("OBJECT")), corners)
+
     rows = parsed.select("app_id", value(F.col("v"), "ttb_id").alias("ttb_id"), get("$.raw_text", "array<string>").alias("raw_text"), F.coalesce(get("$.form_qa", entry), get("$", entry)).alias("entries"))
     kept = F.filter("entries", lambda e: F.startswith(F.schema_of_variant(e), F.lit("OBJECT")))
-    return rows.withColumn("form_qa", F.transform(kept, lambda e: F.struct(value(e, "num").alias("num"), value(e, "question").alias("question"), value(e, "answer").alias("answer")))).drop("entries")
+    return rows.withColumn("form_qa", F.transform(kept, lambda e: F.struct(value(e, "num").alias("num"), value(e, "question").alias("question"), value(e, "answer").alias("answer"), box(e).alias("bbox")))).drop("entries")
 
 
 def form_entries(documents: DataFrame) -> DataFrame:
-    """app_id, pos, num, question, answer of form_documents()."""
-    return documents.select("app_id", F.posexplode("form_qa").alias("pos", "e")).select("app_id", "pos", "e.num", "e.question", "e.answer")
+    """app_id, pos, num, question, answer and bbox_x1 to bbox_y2 (null without a box) of form_documents()."""
+    rows = documents.select("app_id", F.posexplode("form_qa").alias("pos", "e"))
+    return rows.select("app_id", "pos", "e.num", "e.question", "e.answer", *(F.col(f"e.bbox.{c}").cast("float").alias(f"bbox_{c}") for c in ("x1", "y1", "x2", "y2")))
 
 
 def page_images(found: DataFrame) -> DataFrame:
