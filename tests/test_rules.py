@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import time
 import unicodedata
 
 import numpy as np
@@ -163,6 +164,30 @@ def test_merging_and_grouping_words(spark):
         assert [(r.text, r.x1, r.y2) for r in found] == [(" ".join(w[3] for w in line), min(w[5] for w in line), max(w[6] + w[8] for w in line)) for line in lines]
 
 
+def test_many_words_in_one_image():
+    """Kept boxes and open lines near a word are looked at, not all: the work grows with the words, not with their square."""
+    rng = random.Random(11)
+    words = [{"text": f"w{i % 7}", "conf": 0.5, "x": rng.randint(0, 9000), "y": rng.randint(0, 9000), "w": rng.choice((20, 40, 3000 if i % 500 == 0 else 60)), "h": rng.randint(8, 20), "seq": i} for i in range(20_000)]
+    began = time.process_time()
+    kept = ocr._suppressed([dict(w) for w in words])
+    lines = ocr._swept(sorted((dict(w) for w in words), key=lambda w: (w["y"], w["seq"])))
+    assert time.process_time() - began < 20
+    boxes = [{"low": k[1], "x": k[3], "y": k[4], "w": k[5], "h": k[6]} for k in kept]
+    assert not any(ocr._same_word(a, b) for i, a in enumerate(boxes[:400]) for b in boxes[:i]) and len(lines) > 1
+    assert sum(len(line[1].split()) for line in lines) == 20_000
+
+
+def test_overlap(spark):
+    rng = random.Random(2)
+    pairs = [[rng.randint(0, 9) if i % 4 < 2 else rng.randint(1, 9) for i in range(8)] for _ in range(60)]
+    names = ["ax", "ay", "aw", "ah", "bx", "by", "bw", "bh"]
+    found = spark.createDataFrame(pairs, names).select(*names, T.overlap(*map(F.col, names)).alias("o")).collect()
+    for r in found:
+        cells = lambda x, y, w, h: {(i, j) for i in range(x, x + w) for j in range(y, y + h)}
+        a, b = cells(*r[:4]), cells(*r[4:8])
+        assert r.o == pytest.approx(len(a & b) / min(len(a), len(b)))
+
+
 def test_imaging_against_loops():
     rng = np.random.default_rng(1)
     for h, w in ((1, 1), (2, 7), (9, 9), (40, 31)):
@@ -210,14 +235,34 @@ def test_json_intake(spark):
 
 
 def test_documents_and_reports(spark):
-    qa = spark.createDataFrame([(1, 0, "6", "BRAND NAME", "abc")], QA)
-    apps, lines = spark.createDataFrame([(1,), (2,)], "app_id long"), label(spark, "abc")
-    pages = spark.createDataFrame([(1, 1, "TTB ID\n12345678é")], "app_id long, page int, text string")
-    found = matchers.matches(apps, qa, lines)
-    made = {r.app_id: json.loads(r.json) for r in results.documents(apps, qa, found, matchers.class_type(pages, lines), pages).collect()}
-    assert made[1]["ttb_id"] == "12345678" and made[1]["pages"] == [{"page": 1, "chars": 17}]
-    assert [m["status"] for m in made[1]["matches"]] == ["MATCH", "NOT FOUND"] and made[2]["form_qa"] == []
-    assert '[OK]   6. BRAND NAME' in results.reports(found).filter("app_id = 1").first().report
+    qa = spark.createDataFrame([(1, 0, "6", "BRAND NAME", "abc", 10.0, 20.0, 30.0, 1 / 3), (1, 1, "7", "FANCIFUL NAME", "", None, None, None, None)], QA + ", bbox_x1 double, bbox_y1 double, bbox_x2 double, bbox_y2 double")
+    apps, lines = spark.createDataFrame([(1, "a.pdf"), (2, "b.pdf")], "app_id long, pdf string"), label(spark, "abc")
+    pages = spark.createDataFrame([(1, 1, "TTB ID\n12345678é"), (1, 2, "CLASS/TYPE DESCRIPTION\nABC"), (1, 3, None)], "app_id long, page int, text string")
+    images = spark.createDataFrame([(1, 0, 2, "p2_2.png", 10, 20, "x", "1 2 3 4"), (1, 1, 2, "p2_2.png", 11, 20, "y", "1 2 3 4"), (1, 2, 2, "empty.png", 1, 1, "z", "")], "app_id long, img_pos int, page int, name string, width int, height int, path string, bbox string")
+    shown = spark.createDataFrame([(1, 1, "document_p1.png", 9, 9, "d")], "app_id long, page int, name string, width int, height int, path string")
+    found, kind = matchers.matches(apps, qa, lines), matchers.class_type(pages, lines)
+    made = {r.app_id: json.loads(r.json) for r in results.documents(apps, qa, found, kind, pages, images, lines, shown).collect()}
+    one, two = made[1], made[2]
+    assert list(one) == list(results.KEYS) and one["ttb_id"] == "12345678" and one["pages"][0] == {"page": 1, "chars": 17} and one["raw_text"][2] == ""
+    assert [m["status"] for m in one["matches"]] == ["MATCH", "NOT FOUND"] and two["form_qa"] == [] and two["ocr"] == {}
+    box = {"x1": 10, "y1": 20, "x2": 30, "y2": 0.333333}
+    assert one["matches"][0]["form_bbox"] == box == one["form_qa"][0]["bbox"] and "bbox" not in one["form_qa"][1] and "form_bbox" not in one["matches"][1]
+    assert one["ocr"] == {"p2_2.png": {"width": 11, "height": 20, "lines": [{"text": "abc", "conf": 0.9}], "text": "abc"}, "empty.png": {"width": 1, "height": 1, "lines": [], "text": ""}}
+    assert one["matches"][0]["evidence"] == {"found": True, "image": "p2_2.png", "line": "abc", "conf": 0.9, "found_n": 0, "of_n": 0, "line_x1": 1, "line_y1": 2, "line_x2": 3, "line_y2": 4}
+    assert one["document_pages"][0]["name"] == "document_p1.png" and one["class_type"]["status"] == "MATCH" and len(one["images"]) == 3
+    report = results.reports(apps, qa, found, kind, pages, images, lines).filter("app_id = 1").first().report
+    for part in (" TTB ID: 12345678\n Pages : [1, 2, 3] (chars: 17, 26, 0)\n\n[1]", "(2 fields)\n    6. BRAND NAME\n          -> abc\n    7. FANCIFUL NAME\n          -> (blank)\n\n[2]", "3 image(s)", "p2 p2_2.png: x (10x20, png)", "    --- p2_2.png ---\n      abc   (conf 1)", '[OK]   6. BRAND NAME', 'conf 0.9', '  [OK]   page-2 class/type: ABC\n        label  : "abc" on p2_2.png (matched as \'abc\')\n===='):
+        assert part in report, part
+
+
+def test_images_are_served_where_they_are(spark, tmp_path):
+    run, other = "run_" + "a" * 32, "run_" + "b" * 32
+    for path in (f"{run}/images/p2_1.png", f"{run}/p2_2.png", f"{other}/images/deep/p2_3.png"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_bytes(b"x")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path)).select("path")
+    asked = spark.createDataFrame([(run, "p2_1.png"), (run, "p2_2.png"), (other, "p2_3.png"), (other, "p2_1.png"), ("run_x", "p2_1.png"), (None, None)], "run_id string, name string")
+    assert [r.url for r in results.image_urls(asked, found).collect() if r.url] == [f"/runs/{run}/images/p2_1.png"]
 
 
 def test_stream(spark, tmp_path):

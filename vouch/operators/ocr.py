@@ -1,28 +1,46 @@
 """What follows character recognition: boxes, passes, duplicates among words, and lines.
 
-Recognition itself is an external library's; its words and boxes come in as tables. Order-dependent rules run as
-higher-order functions over one image's words, which a label bounds; images are grouped by (app_id, image).
+Recognition itself is an external library's; its words and boxes come in as tables. Rules that depend on the order of words
+run over one image's words at a time, sorted, in tasks that hold many whole images.
 """
 
 from __future__ import annotations
 
+import string
+from collections.abc import Callable
+from itertools import chain, product
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vouch.functions import text as T
+from vouch.functions.numbers import six_digits
+
+# --- fixed values -------------------------------------------------------------------------------------------------
 
+#: A gap of so much of a character's height is a space.
+WIDE_GAP = 0.15
+#: Overlaps (of the smaller box) from which two words are one: anywhere, and with the same letters.
+SAME_PLACE, SAME_LETTERS = 0.5, 0.2
+NEAR_LINE = 0.6
+#: Enlargements and the pixels that their longer side may have.
+ENLARGEMENTS = ((2.0, 1400.0), (4.0, 2800.0))
+LAYOUTS = (3, 11)
+
+_ASCII_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 _WORD = ("text", "conf", "x", "y", "w", "h", "seq")
 
 
 def page_text(chars: DataFrame) -> DataFrame:
     """app_id, page, line, text: characters in order, with a space where the gap to the one before is wide.
 
-    chars: app_id, page, line, seq, c, x0, x1, y0, y1. A gap is wide beyond 0.15 of the character's height, and counts
+    chars: app_id, page, line, seq, c, x0, x1, y0, y1. A gap is wide beyond WIDE_GAP of the character's height, and counts
     where the line does not end in a space already.
     """
     line = Window.partitionBy("app_id", "page", "line").orderBy("seq")
     before = F.lag("c").over(line)
-    wide = (F.col("x0") - F.lag("x1").over(line) > 0.15 * (F.col("y1") - F.col("y0"))) & (before != " ")
+    wide = (F.col("x0") - F.lag("x1").over(line) > WIDE_GAP * (F.col("y1") - F.col("y0"))) & (before != " ")
     spaced = chars.withColumn("piece", F.when(wide, F.concat(F.lit(" "), F.col("c"))).otherwise(F.col("c")))
     return spaced.groupBy("app_id", "page", "line").agg(F.array_join(F.array_sort(F.collect_list(F.struct("seq", "piece"))).getField("piece"), "").alias("text"))
 
@@ -35,7 +53,8 @@ def page_images(blocks: DataFrame) -> DataFrame:
     kept = blocks.filter((F.col("w") >= 50) & (F.col("h") >= 50) & (F.col("page") <= 3))
     n = F.row_number().over(Window.partitionBy("app_id", "page").orderBy("block_seq"))
     place = F.row_number().over(Window.partitionBy("app_id").orderBy("page", "block_seq")) - 1
-    box = F.concat_ws(" ", *(F.col(c).cast("string") for c in ("x0", "y0", "x1", "y1")))
+    text = {name for name, kind in blocks.dtypes if kind == "string"}
+    box = F.concat_ws(" ", *(F.col(c) if c in text else six_digits(c) for c in ("x0", "y0", "x1", "y1")))
     return kept.select("app_id", "page", place.alias("img_pos"), F.concat(F.lit("p"), F.col("page").cast("string"), F.lit("_"), n.cast("string"), F.lit(".png")).alias("name"), F.col("w").alias("width"), F.col("h").alias("height"), box.alias("bbox"))
 
 
@@ -68,7 +87,7 @@ def scaled_words(words: DataFrame) -> DataFrame:
 
 def passes(images: DataFrame) -> DataFrame:
     """The recognition passes of each image: twice and four times its size, up to 1400 and 2800 pixels, in two layouts; none that would not enlarge it."""
-    ways = F.explode(F.array(*(F.struct(F.lit(s).alias("scale"), F.lit(cap).alias("cap"), F.lit(m).alias("psm")) for s, cap in ((2.0, 1400.0), (4.0, 2800.0)) for m in (3, 11))))
+    ways = F.explode(F.array(*(F.struct(F.lit(s).alias("scale"), F.lit(cap).alias("cap"), F.lit(m).alias("psm")) for s, cap in ENLARGEMENTS for m in LAYOUTS)))
     rows = images.select("app_id", "name", "width", "height", ways.alias("way"))
     factor = F.least(F.col("way.scale"), F.col("way.cap") / F.greatest("width", "height"))
     return rows.select("app_id", "name", "way.psm", "way.scale", factor.alias("factor"), F.round(F.col("width") * factor).cast("int").alias("width"), F.round(F.col("height") * factor).cast("int").alias("height")).filter("factor > 1")
@@ -88,51 +107,126 @@ def best_variant(words: DataFrame) -> DataFrame:
     return ranked.filter("place = 1").select("app_id", "image", "variant", "score")
 
 
-def _word_array(order: list[Column]) -> Column:
-    return F.array_sort(F.collect_list(F.struct(*order, F.struct(*_WORD).alias("word")))).getField("word")
+def _image_by_image(words: DataFrame, order: list[Column], run: Callable[[list[dict]], list[tuple]], ddl: str) -> DataFrame:
+    """Rows (after app_id and image) that `run` makes of each image's words in order: images are dealt out whole and sorted,
+    and a task goes through its images one by one."""
+    names = [n for n, *_ in (f.split() for f in ddl.split(", "))]
+    schema = pa.schema([(f.split()[0], {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}[f.split()[1]]) for f in ddl.split(", ")])
+    sort = [f"_{i}" for i in range(len(order))]
+    dealt = words.select("app_id", "image", *_WORD, *(c.alias(n) for n, c in zip(sort, order, strict=True))).repartition("app_id", "image").sortWithinPartitions("app_id", "image", *sort)
+
+    def images(batches):
+        key, held = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (row["app_id"], row["image"]) != key:
+                    if held:
+                        yield key, held
+                    key, held = (row["app_id"], row["image"]), []
+                held.append(row)
+        if held:
+            yield key, held
+
+    def all_images(batches):
+        rows = []
+        for key, held in images(batches):
+            rows += [(*key, *made) for made in run(held)]
+            if len(rows) >= 10_000:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], names=names)
+                rows = []
+        if rows:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], names=names)
+
+    return dealt.select("app_id", "image", *_WORD).mapInArrow(all_images, ddl)
+
+
+class KeptBoxes:
+    """Boxes in grids, one for each power of two of their longer side: a box lies in four cells of its grid at most."""
+
+    def __init__(self):
+        self.grids: dict[int, dict[tuple[int, int], list[dict]]] = {}
+
+    @staticmethod
+    def _cells(box: dict, level: int):
+        return product(range(box["x"] >> level, ((box["x"] + box["w"] - 1) >> level) + 1), range(box["y"] >> level, ((box["y"] + box["h"] - 1) >> level) + 1))
+
+    def add(self, box: dict) -> None:
+        level = max(box["w"], box["h"], 1).bit_length()
+        grid = self.grids.setdefault(level, {})
+        for cell in self._cells(box, level):
+            grid.setdefault(cell, []).append(box)
+
+    def near(self, box: dict):
+        """Boxes that share a cell with this one; in a grid with fewer cells than it covers, all boxes."""
+        for level, grid in self.grids.items():
+            if ((box["w"] >> level) + 2) * ((box["h"] >> level) + 2) > len(grid):
+                yield from chain.from_iterable(grid.values())
+            else:
+                for cell in self._cells(box, level):
+                    yield from grid.get(cell, ())
+
+
+def _same_word(w: dict, k: dict) -> bool:
+    across = min(w["x"] + w["w"], k["x"] + k["w"]) - max(w["x"], k["x"])
+    down = min(w["y"] + w["h"], k["y"] + k["h"]) - max(w["y"], k["y"])
+    if across <= 0 or down <= 0:
+        return False
+    shared = across * down / min(w["w"] * w["h"], k["w"] * k["h"])
+    return shared >= SAME_PLACE or (shared > SAME_LETTERS and w["low"] == k["low"])
+
+
+def _suppressed(words: list[dict]) -> list[tuple]:
+    kept, rows = KeptBoxes(), []
+    for w in words:
+        w["low"] = (w["text"] or "").translate(_ASCII_LOWER)
+        if not any(_same_word(w, k) for k in kept.near(w)):
+            kept.add(w)
+            rows.append((len(rows), *(w[c] for c in _WORD)))
+    return rows
 
 
 def merged_words(words: DataFrame) -> DataFrame:
-    """Words of all passes without duplicates: surest first (then largest, then as they come), a word goes if it overlaps a kept one by half of the smaller, or by more than a fifth with the same letters."""
+    """Words of all passes without duplicates: surest first (then largest, then as they come), a word goes if it overlaps a kept one by half of the smaller, or by more than a fifth with the same letters.
+
+    Kept boxes lie in grids, so a word meets those near it alone.
+    """
     area = F.col("w").cast("double") * F.col("h")
-    grouped = words.groupBy("app_id", "image").agg(_word_array([(-F.col("conf")).alias("a"), (-area).alias("b"), F.col("seq").alias("c")]).alias("words"))
+    return _image_by_image(words, [-F.col("conf"), -area, F.col("seq")], _suppressed, "app_id long, image string, place int, text string, conf double, x int, y int, w int, h int, seq int")
+
 
-    def same(w: Column, k: Column) -> Column:
-        shared = T.overlap(w["x"], w["y"], w["w"], w["h"], k["x"], k["y"], k["w"], k["h"])
-        return (shared >= 0.5) | ((shared > 0.2) & (T.ascii_lower(w["text"]) == T.ascii_lower(k["text"])))
+def _swept(words: list[dict]) -> list[tuple]:
+    """Words from the top down in lines; a line is retired when no word from here on can reach it.
 
-    kept = F.aggregate("words", F.slice("words", 1, 0), lambda acc, w: F.when(F.exists(acc, lambda k: same(w, k)), acc).otherwise(F.concat(acc, F.array(w))))
-    return grouped.select("app_id", "image", F.posexplode(kept).alias("place", "word")).select("app_id", "image", "place", "word.*")
+    A word of height h at y joins a line of middle c and tallest word t where y + h / 2 is nearer to c than NEAR_LINE * max(h, t).
+    Beyond y = c + (NEAR_LINE - 1/2) * (greatest height) and y = c + NEAR_LINE * t no later word does.
+    """
+    tallest = max(w["h"] for w in words)
+    lines, begun = [], []
+    for w in words:
+        middle = w["y"] + w["h"] / 2.0
+        lines = [line for line in lines if w["y"] - line["at"] < (NEAR_LINE - 0.5) * tallest + 1 or w["y"] - line["at"] < NEAR_LINE * line["tall"]]
+        line = next((line for line in lines if abs(middle - line["at"]) < NEAR_LINE * max(w["h"], line["tall"])), None)
+        if line is None:
+            line = {"first": middle, "tall": 0, "words": []}
+            lines.append(line)
+            begun.append(line)
+        line["words"].append(w)
+        line["at"], line["tall"] = (line["first"] + middle) / 2.0, max(line["tall"], w["h"])
+    rows = []
+    for line in begun:
+        ws = sorted(line["words"], key=lambda w: (w["x"], w["seq"]))
+        box = min(w["x"] for w in ws), min(w["y"] for w in ws), max(w["x"] + w["w"] for w in ws), max(w["y"] + w["h"] for w in ws)
+        rows.append((" ".join(w["text"] or "" for w in ws), sum((w["conf"] for w in ws), 0.0) / len(ws), ws[0]["y"], *box))
+    return [(i, *row) for i, row in enumerate(sorted(rows, key=lambda r: r[2]))]
 
 
 def grouped_lines(words: DataFrame) -> DataFrame:
     """app_id, image, line_pos, text, conf, y, x1, y1, x2, y2: words in lines, lines from top to bottom.
 
-    From the top down, a word joins the first line whose middle (between its first and last word) is nearer than 0.6 of the
-    larger of its height and the line's; else it opens a line. Ties go by seq.
+    From the top down, a word joins the first line whose middle (between its first and last word) is nearer than NEAR_LINE of
+    the larger of its height and the line's; else it opens a line. Ties go by seq.
     """
-    grouped = words.groupBy("app_id", "image").agg(_word_array([F.col("y").alias("a"), F.col("seq").alias("b")]).alias("words"))
-    middle = lambda w: w["y"] + w["h"] / 2.0
-
-    def near(w: Column, line: Column) -> Column:
-        tallest = F.array_max(F.transform(line, lambda x: x["h"]))
-        return F.abs(middle(w) - (middle(F.get(line, F.lit(0))) + middle(F.element_at(line, -1))) / 2.0) < 0.6 * F.greatest(w["h"], tallest)
-
-    def add(lines: Column, w: Column) -> Column:
-        at = F.array_position(F.transform(lines, lambda line: near(w, line)), True)
-        joined = F.transform(lines, lambda line, i: F.when(i == at - 1, F.concat(line, F.array(w))).otherwise(line))
-        return F.when(at > 0, joined).otherwise(F.concat(lines, F.array(F.array(w))))
-
-    lines = F.aggregate("words", F.array(F.slice("words", 1, 0)), lambda acc, w: F.when(F.size(F.get(acc, F.lit(0))) == 0, F.array(F.array(w))).otherwise(add(acc, w)))
-    rows = grouped.select("app_id", "image", F.posexplode(lines).alias("made", "line")).select("app_id", "image", "made", F.array_sort(F.transform("line", lambda w: F.struct(w["x"].alias("a"), w["seq"].alias("b"), w.alias("word")))).getField("word").alias("line"))
-    total = F.aggregate("line", F.lit(0.0), lambda acc, w: acc + w["conf"])
-    bound = lambda pick, of: pick(F.transform("line", of))
-    rows = rows.select(
-        "app_id", "image", "made", F.array_join(F.transform("line", lambda w: w["text"]), " ").alias("text"), (total / F.size("line")).alias("conf"), F.get("line", F.lit(0))["y"].alias("y"),
-        bound(F.array_min, lambda w: w["x"]).alias("x1"), bound(F.array_min, lambda w: w["y"]).alias("y1"), bound(F.array_max, lambda w: w["x"] + w["w"]).alias("x2"), bound(F.array_max, lambda w: w["y"] + w["h"]).alias("y2"),
-    )
-    place = F.row_number().over(Window.partitionBy("app_id", "image").orderBy("y", "made")) - 1
-    return rows.withColumn("line_pos", place).drop("made")
+    return _image_by_image(words, [F.col("y"), F.col("seq")], _swept, "app_id long, image string, line_pos int, text string, conf double, y int, x1 int, y1 int, x2 int, y2 int")
 
 
 def image_text(lines: DataFrame) -> DataFrame:

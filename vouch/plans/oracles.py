@@ -225,8 +225,57 @@ _SCALED = (
     ("scaled", "SELECT app_id, image, variant, seq, trim(text, chr(32) || chr(9) || chr(13) || chr(10)) AS text, conf, CAST(round(x1 / scale) AS INT) AS x, CAST(round(y1 / scale) AS INT) AS y, greatest(1, CAST(round((x2 - x1) / scale) AS INT)) AS w, greatest(1, CAST(round((y2 - y1) / scale) AS INT)) AS h FROM words WHERE trim(text, chr(32) || chr(9) || chr(13) || chr(10)) <> '' AND conf >= 0"),
 )
 _SHARED = "greatest(0, least(k.x + k.w, w.x + w.w) - greatest(k.x, w.x)) * greatest(0, least(k.y + k.h, w.y + w.h) - greatest(k.y, w.y)) / CAST(least(k.w * k.h, w.w * w.h) AS DOUBLE)"
+#: Words from the top down, one of each image at a step: the open lines (first and last middle, tallest word), and the line that the word joins.
+_NEAR = "list_position(list_transform(s.lines, lambda o: abs(r.mid - (o.first + o.last) / 2) < 0.6 * greatest(r.h, o.tall)), true)"
+_JOINED = f"list_transform(s.lines, lambda o, i: CASE WHEN i = {_NEAR} THEN {{'first': o.first, 'last': r.mid, 'tall': greatest(o.tall, r.h)}} ELSE o END)"
+_OPENED = "{'first': r.mid, 'last': r.mid, 'tall': r.h}"
+_SWEEP = f"""
+SELECT r.app_id, r.k, CAST(1 AS BIGINT) AS line, [{_OPENED}] AS lines FROM ranked r WHERE r.k = 1
+UNION ALL SELECT r.app_id, r.k, CASE WHEN coalesce({_NEAR}, 0) > 0 THEN {_NEAR} ELSE len(s.lines) + 1 END, CASE WHEN coalesce({_NEAR}, 0) > 0 THEN {_JOINED} ELSE list_append(s.lines, {_OPENED}) END
+FROM swept s JOIN ranked r ON r.app_id = s.app_id AND r.k = s.k + 1
+"""
 _PLAIN_NAME = "(filename IS NULL OR filename IN ('', '.', '..') OR contains(filename, '/') OR contains(filename, chr(92)))"
 
+_PARTS = (*_MATCHES, *_BOXES, *(c for c in _CLASS if c[0] not in {"pages", "lines", "corpus"}))
+_CLASSED = ("classed", "SELECT n.app_id, CASE WHEN NOT asked THEN 'SKIP' WHEN f.e IS NOT NULL THEN 'MATCH' ELSE 'NOT FOUND' END AS status, CASE WHEN asked THEN class_type ELSE '' END AS class_type, coalesce(f.variant, '') AS matched_as, coalesce(f.e.image, '') AS image, coalesce(f.e.line, '') AS line FROM named n LEFT JOIN found f USING (app_id)")
+_TEXTS = ("texts", f"SELECT app_id, coalesce(nullif(regexp_extract(text, {T.quoted(T.TTB_ID)}, 1), ''), nullif(regexp_extract(text, {T.quoted(T.BARE_TTB_ID)}, 1), ''), '') AS ttb_id FROM pages WHERE page = 1")
+_OBJECT = lambda prefix: "{" + ", ".join(f"'{c}': CAST({prefix}{c} AS DOUBLE)" for c in form.BOX) + "}"
+_ENTRY = "'num': num, 'question': question, 'answer': answer"
+_EVIDENCE = "{'found': found, 'image': image, 'line': line, 'conf': conf, 'found_n': coalesce(found_n, 0), 'of_n': coalesce(of_n, 0), 'line_x1': line_x1, 'line_y1': line_y1, 'line_x2': line_x2, 'line_y2': line_y2}"
+_VERDICT = f"{_ENTRY}, 'status': status, 'mandatory': mandatory, 'mandatory_message': mandatory_message, 'evidence': {_EVIDENCE}, 'note': note"
+_DOCUMENTS = _with(
+    *_PARTS, _CLASSED, _TEXTS, ("apps", S.APPS), ("images", S.IMAGES), ("rendered", S.RENDERED),
+    ("d_pages", "SELECT app_id, to_json(list({'page': page, 'chars': octet_length(encode(text))} ORDER BY page)) AS pages, to_json(list(text ORDER BY page)) AS raw_text FROM pages GROUP BY 1"),
+    ("d_form", f"SELECT app_id, to_json(list(CASE WHEN bbox_x1 IS NULL THEN to_json({{{_ENTRY}}}) ELSE to_json({{{_ENTRY}, 'bbox': {_OBJECT('bbox_')}}}) END ORDER BY pos)) AS form_qa FROM boxed_form GROUP BY 1"),
+    ("d_rendered", "SELECT app_id, to_json(list({'page': page, 'name': name, 'width': width, 'height': height, 'path': path})) AS document_pages FROM rendered GROUP BY 1"),
+    ("d_images", "SELECT app_id, to_json(list({'page': page, 'name': name, 'width': width, 'height': height, 'path': path, 'bbox': bbox} ORDER BY img_pos)) AS images FROM images GROUP BY 1"),
+    ("read", "SELECT app_id, image, list({'text': text, 'conf': conf} ORDER BY line_pos) AS l, string_agg(text, ' ' ORDER BY line_pos) AS t FROM corpus GROUP BY 1, 2"),
+    ("d_ocr", "SELECT i.app_id, to_json(map_from_entries(list({'k': name, 'v': {'width': width, 'height': height, 'lines': coalesce(l, []), 'text': coalesce(t, '')}} ORDER BY i.img_pos))) AS ocr FROM images i LEFT JOIN read r ON i.app_id = r.app_id AND i.name = r.image GROUP BY 1"),
+    ("d_matches", f"SELECT v.app_id, to_json(list(CASE WHEN mandatory OR bbox_x1 IS NULL THEN to_json({{{_VERDICT}}}) ELSE to_json({{{_VERDICT}, 'form_bbox': {_OBJECT('bbox_')}}}) END ORDER BY v.pos)) AS matches FROM verdicts v LEFT JOIN (SELECT app_id, pos, bbox_x1, bbox_y1, bbox_x2, bbox_y2 FROM boxed_form) b USING (app_id, pos) GROUP BY 1"),
+) + """SELECT a.app_id, CAST(to_json({'pdf': pdf, 'task': 'both', 'ttb_id': coalesce(ttb_id, ''), 'pages': coalesce(pages, '[]'::JSON), 'raw_text': coalesce(raw_text, '[]'::JSON), 'form_qa': coalesce(form_qa, '[]'::JSON), 'document_pages': coalesce(document_pages, '[]'::JSON),
+  'images': coalesce(images, '[]'::JSON), 'ocr': coalesce(ocr, '{}'::JSON), 'matches': coalesce(matches, '[]'::JSON), 'class_type': {'status': c.status, 'class_type': c.class_type, 'matched_as': c.matched_as}}) AS VARCHAR) AS json
+  FROM apps a LEFT JOIN texts USING (app_id) LEFT JOIN d_pages USING (app_id) LEFT JOIN d_form USING (app_id) LEFT JOIN d_rendered USING (app_id) LEFT JOIN d_images USING (app_id) LEFT JOIN d_ocr USING (app_id) LEFT JOIN d_matches USING (app_id) LEFT JOIN classed c USING (app_id)"""
+_REPORT_LINE = """concat_ws(chr(10),
+      concat('  ', CASE status WHEN 'MATCH' THEN '[OK]  ' WHEN 'PARTIAL' THEN '[~]   ' WHEN 'NOT FOUND' THEN '[MISS]' WHEN 'SKIP' THEN '[n/a] ' ELSE '[?]   ' END, ' ', num, '. ', question),
+      concat('        answer : ', answer),
+      CASE WHEN found AND line <> '' THEN concat('        label  : "', line, '" on ', image, CASE WHEN conf >= 0 THEN concat(', conf ', conf) ELSE '' END,
+             CASE WHEN of_n IS NOT NULL THEN concat(' (', found_n, '/', of_n, ' tokens)') ELSE '' END, CASE WHEN coalesce(matched_as, '') <> '' THEN concat(' (matched as ''', matched_as, ''')') ELSE '' END)
+           WHEN status = 'SKIP' THEN concat('        note   : ', note) ELSE '        label  : (not found)' END)"""
+_REPORTS = _with(
+    *_PARTS, _CLASSED, _TEXTS, ("apps", S.APPS), ("images", S.IMAGES),
+    ("r_pages", "SELECT app_id, concat(' Pages : [', string_agg(page, ', ' ORDER BY page), '] (chars: ', string_agg(octet_length(encode(text)), ', ' ORDER BY page), ')') AS summary FROM pages GROUP BY 1"),
+    ("r_form", "SELECT app_id, count(*) AS n, string_agg(concat('    ', num, '. ', question, chr(10), '          -> ', CASE WHEN answer = '' THEN '(blank)' ELSE answer END), chr(10) ORDER BY pos) AS t FROM form GROUP BY 1"),
+    ("r_images", "SELECT app_id, count(*) AS n, string_agg(concat('    p', page, ' ', name, ': ', path, ' (', width, 'x', height, ', png)'), chr(10) ORDER BY img_pos) AS t FROM images GROUP BY 1"),
+    ("r_read", "SELECT app_id, string_agg(t, chr(10) ORDER BY img_pos, line_pos) AS t FROM (SELECT app_id, img_pos, -1 AS line_pos, concat('    --- ', name, ' ---') AS t FROM images UNION ALL SELECT c.app_id, c.img_pos, line_pos, concat('      ', text, '   (conf ', CAST(round(conf) AS BIGINT), ')') FROM corpus c SEMI JOIN images i ON c.app_id = i.app_id AND c.image = i.name) GROUP BY 1"),
+    ("r_verdicts", f"SELECT app_id, count(*) AS n, string_agg({_REPORT_LINE}, chr(10) ORDER BY pos) AS t FROM verdicts GROUP BY 1"),
+) + """SELECT a.app_id, concat_ws(chr(10), repeat('=', 78), concat(' PDF ANALYSIS — ', pdf), repeat('=', 78), concat(' TTB ID: ', coalesce(nullif(ttb_id, ''), '(none found)')), coalesce(summary, ' Pages : [] (chars: )'), '',
+    concat('[1] FORM Q&A — parsed from page 1 (', coalesce(f.n, 0), ' fields)'), f.t, '', concat('[2] EMBEDDED GRAPHICS — ', coalesce(i.n, 0), ' image(s)'), i.t, '', '[3] OCR — backend: table', r.t, '',
+    concat('[4] MATCH — label text vs form answers (', coalesce(v.n, 0), ' fields)'), v.t,
+    CASE WHEN c.status <> 'SKIP' THEN concat_ws(chr(10), concat('  ', CASE WHEN c.status = 'MATCH' THEN '[OK]  ' ELSE '[MISS]' END, ' page-2 class/type: ', c.class_type),
+      CASE WHEN c.status = 'MATCH' AND c.line <> '' THEN concat('        label  : "', c.line, '" on ', c.image, CASE WHEN c.matched_as <> '' THEN concat(' (matched as ''', c.matched_as, ''')') ELSE '' END) WHEN c.status = 'NOT FOUND' THEN '        label  : (not found)' END) END,
+    repeat('=', 78)) AS report
+  FROM apps a LEFT JOIN texts USING (app_id) LEFT JOIN r_pages USING (app_id) LEFT JOIN r_form f USING (app_id) LEFT JOIN r_images i USING (app_id) LEFT JOIN r_read r USING (app_id) LEFT JOIN r_verdicts v USING (app_id) LEFT JOIN classed c USING (app_id)"""
+
 SQL = {
     "first_evidence": _FIRST + "SELECT p.app_id, p.pos, p.a, CASE WHEN h.e IS NULL THEN 'NOT FOUND' ELSE 'MATCH' END AS status, coalesce(h.e.image, '') AS image, coalesce(h.e.line, '') AS line FROM probes p LEFT JOIN hits h USING (app_id, pos)",
     "norm_lines": _with(_SPLIT, _DOC_LINES, _DOC_CORPUS) + "SELECT app_id, img_pos, line_pos, nl, nlc FROM corpus",
@@ -257,6 +306,13 @@ SQL = {
         ("kept", f"SELECT app_id, list_reduce(ws, lambda acc, one: CASE WHEN len(list_filter(acc, lambda k: {_SHARED.replace('w.x', 'one[1].x').replace('w.y', 'one[1].y').replace('w.w', 'one[1].w').replace('w.h', 'one[1].h')} >= CASE WHEN lower(k.text) = lower(one[1].text) THEN 0.2000000001 ELSE 0.5 END)) > 0 THEN acc ELSE list_concat(acc, one) END) AS ks FROM listed"),
         ("placed", "SELECT app_id, unnest(ks) AS k, generate_subscripts(ks, 1) - 1 AS place FROM kept"),
     ) + "SELECT app_id, CAST(place AS INT) AS place, k.seq AS seq, k.text AS text, k.conf AS conf, k.x AS x, k.y AS y, k.w AS w, k.h AS h FROM placed",
+    "grouped_lines": _with(
+        *_SCALED,
+        ("ranked", "SELECT *, y + CAST(h AS DOUBLE) / 2 AS mid, row_number() OVER (PARTITION BY app_id ORDER BY y, seq) AS k FROM scaled"),
+        ("swept", _SWEEP),
+        ("joined", "SELECT s.line, r.* FROM swept s JOIN ranked r USING (app_id, k)"),
+        ("lines", "SELECT app_id, line, string_agg(text, ' ' ORDER BY x, seq) AS text, round(avg(conf), 6) AS conf, arg_min(y, x * 1000000 + seq) AS y, min(x) AS x1, min(y) AS y1, max(x + w) AS x2, max(y + h) AS y2 FROM joined GROUP BY 1, 2"),
+    ).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT app_id, CAST(row_number() OVER (PARTITION BY app_id ORDER BY y, line) - 1 AS INT) AS line_pos, text, conf, y, x1, y1, x2, y2 FROM lines",
     "image_texts": _with(_SPLIT, _DOC_LINES) + "SELECT app_id, image, string_agg(text, ' ' ORDER BY line_pos) AS text FROM lines GROUP BY 1, 2",
     "recognition_passes": _with(("sized", SIZED), ("ways", "SELECT *, least(scale, cap / greatest(width, height)) AS factor FROM sized, (VALUES (CAST(2 AS DOUBLE), CAST(1400 AS DOUBLE)), (4, 2800)) v(scale, cap), (VALUES (3), (11)) m(psm)")) + "SELECT app_id, name, psm, scale, round(factor, 6) AS factor, CAST(round(width * factor) AS INT) AS width, CAST(round(height * factor) AS INT) AS height FROM ways WHERE factor > 1",
     "page_images": _with(("blocks", S.BLOCKS)) + "SELECT app_id, page, CAST(row_number() OVER (PARTITION BY app_id ORDER BY page, block_seq) - 1 AS INT) AS img_pos, concat('p', page, '_', row_number() OVER (PARTITION BY app_id, page ORDER BY block_seq), '.png') AS name, w AS width, h AS height, concat_ws(' ', x0, y0, x1, y1) AS bbox FROM blocks WHERE w >= 50 AND h >= 50 AND page <= 3",
@@ -267,12 +323,9 @@ SQL = {
     "image_names": _with(("images", NAMED_IMAGES)) + "SELECT app_id, CAST(row_number() OVER (PARTITION BY app_id ORDER BY name) - 1 AS INT) AS img_pos, CAST(regexp_extract(name, '^p(\\d+)_', 1) AS INT) AS page, CAST(regexp_extract(name, '_(\\d+)\\.png$', 1) AS INT) AS n, name FROM images WHERE regexp_matches(name, '^p(\\d+)_(\\d+)\\.png$')",
     "uploads": _with(("runs", S.RUNS)) + f"SELECT run_id, filename, CASE WHEN {_PLAIN_NAME} THEN 'invalid file name' WHEN NOT ends_with(lower(filename), '.pdf') THEN 'only PDF files are accepted' END AS error, CASE WHEN {_PLAIN_NAME} OR NOT ends_with(lower(filename), '.pdf') THEN 400 WHEN size_bytes > 50000000 THEN 413 WHEN NOT contains(substr(head, 1, 1024), '%PDF-') THEN 400 ELSE 200 END AS status FROM runs",
     "expired_runs": _with(("runs", S.RUNS)) + "SELECT run_id, filename FROM runs WHERE regexp_matches(run_id, '^(?:run|sample)_[0-9a-f]{32}$') AND mtime < TIMESTAMP '2024-01-31 00:00:00'",
-    "image_urls": _with(("runs", S.RUNS)) + "SELECT run_id, image AS name, CASE WHEN regexp_matches(run_id, '^(?:run|sample)_[0-9a-f]{32}$') AND regexp_matches(lower(image), '^[a-z0-9_.-]+\\.(?:png|jpe?g)$') THEN concat('/runs/', run_id, '/images/', image) END AS url FROM runs",
-    "report_lines": _with(*_MATCHES) + """SELECT app_id, pos, concat_ws(chr(10),
-      concat('  ', CASE status WHEN 'MATCH' THEN '[OK]  ' WHEN 'PARTIAL' THEN '[~]   ' WHEN 'NOT FOUND' THEN '[MISS]' WHEN 'SKIP' THEN '[n/a] ' ELSE '[?]   ' END, ' ', num, '. ', question),
-      concat('        answer : ', answer),
-      CASE WHEN found AND line <> '' THEN concat('        label  : "', line, '" on ', image, CASE WHEN conf >= 0 THEN concat(', conf ', round(conf, 2)) ELSE '' END,
-             CASE WHEN of_n IS NOT NULL THEN concat(' (', found_n, '/', of_n, ' tokens)') ELSE '' END, CASE WHEN coalesce(matched_as, '') <> '' THEN concat(' (matched as ''', matched_as, ''')') ELSE '' END)
-           WHEN status = 'SKIP' THEN concat('        note   : ', note) ELSE '        label  : (not found)' END) AS text FROM verdicts""",
+    "image_urls": _with(("runs", S.RUNS), ("stored", S.STORED)) + "SELECT run_id, image AS name, CASE WHEN EXISTS (SELECT 1 FROM stored s WHERE s.path = concat('file:/srv/runs/', runs.run_id, '/images/', runs.image)) AND regexp_matches(run_id, '^(?:run|sample)_[0-9a-f]{32}$') AND regexp_matches(lower(image), '^[a-z0-9_.-]+\\.(?:png|jpe?g)$') THEN concat('/runs/', run_id, '/images/', image) END AS url FROM runs",
+    "report_lines": _with(*_MATCHES) + f"SELECT app_id, pos, {_REPORT_LINE} AS text FROM verdicts",
+    "json_documents": _DOCUMENTS,
+    "reports": _REPORTS,
     "form_documents": _with(*_FORM, *_BOXES) + "SELECT * FROM boxed_form",
 }

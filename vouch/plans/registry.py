@@ -203,7 +203,7 @@ def expired_runs(spark, d):
 
 
 def image_urls(spark, d):
-    return results.image_urls(S.frame(spark, d, S.RUNS).withColumnRenamed("image", "name"))
+    return results.image_urls(S.frame(spark, d, S.RUNS).withColumnRenamed("image", "name"), S.frame(spark, d, S.STORED))
 
 
 def report_lines(spark, d):
@@ -221,9 +221,18 @@ def form_documents(spark, d):
     return intake.form_entries(intake.form_documents(saved)).select("app_id", F.col("pos").cast("int").alias("pos"), "num", "question", "answer", *(f"bbox_{c}" for c in form.BOX))
 
 
+def _everything(spark, d) -> list[DataFrame]:
+    entries, lines = _stored(spark, d)
+    pages = _pages(spark, d)
+    return [S.frame(spark, d, S.APPS), entries, matchers.matches(_apps(spark, d), entries, lines), matchers.class_type(pages, lines), pages, S.frame(spark, d, S.IMAGES), lines]
+
+
 def json_documents(spark, d):
-    entries, pages, lines = _entries(spark, d), _pages(spark, d), _corpus(spark, d)
-    return results.documents(_apps(spark, d), entries, matchers.matches(_apps(spark, d), entries, lines), matchers.class_type(pages, lines), pages)
+    return results.documents(*_everything(spark, d), S.frame(spark, d, S.RENDERED))
+
+
+def reports(spark, d):
+    return results.reports(*_everything(spark, d))
 
 
 def image_variants(spark, d):
@@ -275,6 +284,7 @@ QUERIES = {
     "report_lines": report_lines,
     "form_documents": form_documents,
     "json_documents": json_documents,
+    "reports": reports,
     "image_variants": image_variants,
 }
 

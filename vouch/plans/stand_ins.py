@@ -131,6 +131,22 @@ FROM {events}
 """
 
 
+APPS = "SELECT p_partkey AS app_id, concat('application-', CAST(p_partkey AS STRING), '.pdf') AS pdf FROM {part}"
+
+#: The label's two images, and the first page as it is shown; some applications have none.
+IMAGES = " UNION ALL ".join(
+    f"SELECT p_partkey AS app_id, {i} AS img_pos, 2 AS page, 'p2_{i + 1}.png' AS name, CAST(600 + p_size AS INT) AS width, CAST(400 + p_partkey % 100 AS INT) AS height, concat('/data/', CAST(p_partkey AS STRING), '/p2_{i + 1}.png') AS path, '10 20.5 300 {i}' AS bbox FROM {{part}} WHERE p_partkey % 17 <> 3"
+    for i in range(2)
+)
+RENDERED = "SELECT p_partkey AS app_id, 1 AS page, 'document_p1.png' AS name, 918 AS width, 1188 AS height, concat('/data/', CAST(p_partkey AS STRING), '/document_p1.png') AS path FROM {part} WHERE p_partkey % 17 <> 3"
+
+#: Files of runs: of two images in three, some in another folder.
+STORED = """
+SELECT concat('file:/srv/runs/', run_id, CASE WHEN n % 5 = 4 THEN '/other/' ELSE '/images/' END, image) AS path
+FROM (SELECT *, CAST(size_bytes AS BIGINT) % 10 AS n FROM (""" + RUNS.strip() + """)) WHERE n % 3 <> 0
+"""
+
+
 def names(sql: str) -> set[str]:
     return set(re.findall(r"\{(\w+)\}", sql))
 
