@@ -6,6 +6,7 @@ import json
 import random
 import time
 import unicodedata
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 
 from vouch.functions import text as T
 from vouch.operators import corpus as C
+from vouch.operators import evidence as E
 from vouch.operators import form, imaging, matchers, ocr, results
-from vouch.sources import intake
+from vouch.sources import intake, stored
 from vouch.streaming import applications
 
 LINE = "app_id long, img_pos int, image string, line_pos int, text string, conf double, x1 int, y1 int, x2 int, y2 int"
@@ -276,6 +278,142 @@ def test_stream(spark, tmp_path):
     assert [(r.app_id, r.status) for r in rows] == [(1, "MATCH"), (2, "NOT FOUND")]
 
 
+def test_form_and_label_that_arrive_apart(spark, tmp_path):
+    at = lambda hours: (datetime(2024, 1, 1) + timedelta(hours=hours)).isoformat() + "Z"
+    form_rows = lambda app, hours: {"app_id": app, "arrived": at(hours), "form_qa": [{"pos": 0, "num": "6", "question": "BRAND NAME", "answer": "abc"}]}
+    label_rows = lambda app, hours: {"app_id": app, "arrived": at(hours), "images": [{"img_pos": 0, "name": "p2_1.png", "lines": [{"text": "abc", "conf": 1.0, "x1": 0, "y1": 0, "x2": 1, "y2": 1}]}]}
+    for name in ("forms", "labels"):
+        (tmp_path / name).mkdir()
+
+    def arrive(kind, n, *rows):
+        (tmp_path / kind / f"{n}.json").write_text("\n".join(map(json.dumps, rows)))
+
+    def go():
+        streams = (applications.bundles(spark, str(tmp_path / kind), ddl=ddl) for kind, ddl in (("forms", applications.FORM_DDL), ("labels", applications.LABEL_DDL)))
+        applications.write_met(applications.met(*streams), str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+        read = lambda name: spark.read.parquet(str(tmp_path / "out" / name))
+        return sorted((r.app_id, r.status) for r in read("matches").filter("not mandatory").collect()), sorted(r.app_id for r in read("expired").collect())
+
+    arrive("forms", 1, form_rows(1, 0), form_rows(2, 0), form_rows(4, 1))
+    arrive("labels", 1, label_rows(3, 0), label_rows(4, 1))
+    assert go() == ([(4, "MATCH")], [])
+    arrive("labels", 2, label_rows(1, 12))
+    arrive("forms", 2, form_rows(5, 12))
+    assert go() == ([(1, "MATCH"), (4, "MATCH")], [])
+    # two days on, what waited longer than a day is gone: forms 2 and 5 without a label, and the label of 3
+    arrive("labels", 3, label_rows(6, 60))
+    arrive("forms", 3, form_rows(6, 61))
+    found, expired = go()
+    assert found == [(1, "MATCH"), (4, "MATCH"), (6, "MATCH")] and expired == [2, 5]
+    arrive("labels", 4, label_rows(2, 62), label_rows(7, 62))
+    arrive("forms", 4, form_rows(3, 62), form_rows(8, 62))
+    assert go() == ([(1, "MATCH"), (4, "MATCH"), (6, "MATCH")], [2, 5])
+
+
+def test_anchors_over_short_lines(spark):
+    """The mandatory text is found run together over many lines, down to one letter each."""
+    anchors = "".join(matchers.ANCHORS)
+    apps = spark.createDataFrame([(1,), (2,), (3,), (4,)], "app_id long")
+    line = lambda app, i, text: (app, i // 50, f"p2_{i // 50 + 1}.png", i % 50, text, 0.9, 1, 2, 3, 4)
+    rows = [line(1, i, c) for i, c in enumerate(anchors)] + [line(2, i, t) for i, t in enumerate(["Gov", "ernment W", "-", "arn", "ing", "x"])] + [line(3, i, t) for i, t in enumerate(["health prob", "lem", "", "z s"])]
+    found = {r.app_id: r for r in matchers.checklist(apps, C.corpus(spark.createDataFrame(rows, LINE))).collect()}
+    assert [found[i].found_n for i in (1, 2, 3, 4)] == [8, 1, 0, 0] and not any(found[i].found for i in (1, 2, 3, 4))
+    assert "collect" not in matchers.checklist(apps, C.corpus(spark.createDataFrame(rows, LINE)))._jdf.queryExecution().toString()
+
+
+def test_seams_hold_all_that_crosses_lines(spark):
+    rng = random.Random(4)
+    lines = ["".join(rng.choice("ab ") for _ in range(rng.choice((0, 1, 2, 3, 9)))) for _ in range(120)]
+    rows = matchers.run_together(label(spark, *lines), 6).orderBy("ord").collect()
+    whole, at = "".join(r.nlc for r in rows), 0
+    for r in rows:
+        assert r.seam == whole[max(0, at - 6) : at + len(r.nlc)]
+        at += len(r.nlc)
+
+
+def test_lookup_by_rarest_gram(spark):
+    rng = random.Random(8)
+    lines = [" ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(4)) for _ in range(100_000)]
+    needles = [lines[i][3:11].strip() for i in rng.sample(range(100_000), 20)] + ["zzzz", "abz", "ab", "", None, lines[5], lines[99_999]]
+    corpus = C.corpus(spark.createDataFrame([(1, 0, "p2_2.png", i, t, 0.9, 1, 2, 3, 4) for i, t in enumerate(lines)], LINE).repartition(4)).cache()
+    probes = spark.createDataFrame([(1, i, t) for i, t in enumerate(needles)], "app_id long, pos int, a string")
+    plain = E.first_evidence(probes, corpus, ["app_id", "pos"], [E.contains_text("a")])
+    indexed = E.first_evidence(probes, corpus, ["app_id", "pos"], [E.contains_text("a")], through="a")
+    assert sorted(plain.collect()) == sorted(indexed.collect()) and plain.count() >= 23
+    # of 100,000 lines for each probe, those with its rarest three letters are looked at
+    assert E.candidates(probes, corpus, "a").count() < 0.02 * 100_000 * len(needles)
+    corpus.unpersist()
+
+
+def test_form_boxes_stay_with_verdicts(spark):
+    qa = spark.createDataFrame([(1, 0, "5", "5. BRAND NAME (Required)", "PRINSI", 10.0, 20.0, 30.0, 40.0)], QA + ", bbox_x1 double, bbox_y1 double, bbox_x2 double, bbox_y2 double")
+    first, last = matchers.matches(spark.createDataFrame([(1,)], "app_id long"), qa, label(spark, "Prinsi")).orderBy("pos").collect()
+    assert (first.status, first.form_x1, first.form_y1, first.form_x2, first.form_y2) == ("MATCH", 10, 20, 30, 40) and last.mandatory and last.form_x1 is None
+
+
+def test_boxes_of_widgets(spark):
+    qa = spark.createDataFrame([(1, 0, "5", "TYPE OF PRODUCT", ""), (1, 1, "1", "REP. ID. NO.", "x"), (1, 2, "6", "BRAND NAME", "y")], QA)
+    of = lambda seq, name, value: (1, seq, name, value, 10.0 * seq, 1.0, 2.0, 3.0)
+    widgets = spark.createDataFrame([of(1, "Check Box22", "/Off"), of(2, "Check Box22", "Malt"), of(3, "Check Box22", "wine"), of(4, "6. BRAND NAME", "a"), of(5, "BRAND NAME 2", " b "), of(6, "14. VINTAGE", "1990"), of(7, "15. VINTAGE", "1991")], "app_id long, seq int, name string, value string, x1 double, y1 double, x2 double, y2 double")
+    rows = form.with_widgets(qa, widgets).orderBy("pos").collect()
+    assert [(r.num, r.question, r.answer, r.bbox_x1) for r in rows] == [("5", "TYPE OF PRODUCT", "MALT BEVERAGE", 30.0), ("6", "BRAND NAME", "b", 75.0), ("14", "14. VINTAGE", "1991", 105.0)]
+    assert (rows[0].bbox_y1, rows[0].bbox_x2, rows[0].bbox_y2) == (1.5, 3.0, 4.5)
+
+
+def test_checkboxes_from_pixels(spark):
+    rng = np.random.default_rng(2)
+    page = rng.integers(150, 256, (60, 40)).astype(np.uint8)
+    sums = imaging.dark_sums(page)
+    for x, y in ((20.5, 12.25), (0, 0), (100, 5), (27.7, 40), (16, 3)):
+        clip = lambda v, most: min(max(int(np.floor(v * 1.5 + 0.5)), 0), most)
+        box = [int(page[b, a]) for a in range(clip(x - 14, 40), clip(x - 6, 40)) for b in range(clip(y - 3, 60), clip(y + 5, 60))]
+        assert imaging.dark_ratio(sums, x, y) == pytest.approx(sum(v < 220 for v in box) / len(box) if box else 0.0)
+    rasters = spark.createDataFrame([(1, 40, 60, bytearray(page.tobytes())), (2, 40, 60, bytearray(b"x")), (3, 0, 0, None)], "app_id long, w int, h int, pixels binary")
+    lines = spark.createDataFrame([(1, i, t, x, y) for i, (t, x, y) in enumerate([("WINE ", 1.0, 1.0), ("WINE", 20.5, 12.25), ("MALT BEVERAGES", 27.7, 30.0), ("WINES", 0.0, 0.0)])], "app_id long, line_pos int, text string, x1 double, y1 double")
+    found = {r.option: r for r in imaging.checkbox_ratios(rasters, form.option_lines(lines)).collect()}
+    assert set(found) == {"WINE", "MALT BEVERAGE"} and found["WINE"].dark_ratio == imaging.dark_ratio(sums, 20.5, 12.25) and found["MALT BEVERAGE"].option_pos == 2
+
+
+def test_readers_pages_and_enlarged_images(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-one\ftwo")
+    found = intake.files(spark, str(tmp_path))
+    pages = intake.page_texts(intake.accepted_pdfs(found), lambda content: [*content.decode().split("\f"), None]).orderBy("page").collect()
+    assert [(r.page, r.text) for r in pages] == [(1, "%PDF-one"), (2, "two"), (3, "")]
+    shown = ocr.rendered_pages(spark.createDataFrame(pages)).collect()
+    assert [(r.page, r.name) for r in shown] == [(1, "document_p1.png")]
+    assert [tuple(r) for r in intake.samples(found, "a.pdf").collect()] == [("a.pdf", 0.0, True)] and intake.samples(found, "b.pdf").count() == 0
+    gray = np.arange(12, dtype=np.uint8).reshape(3, 4) * 20
+    images = spark.createDataFrame([(1, "x.png", 4, 3, bytearray(gray.tobytes())), (2, "y.png", 4, 3, bytearray(b"short")), (3, "z.png", 0, 0, None)], "app_id long, name string, w int, h int, pixels binary")
+    made = imaging.enlarged(images, 1.5).collect()
+    assert [(r.app_id, r.w, r.h) for r in made] == [(1, 6, 5)] and bytes(made[0].pixels) == imaging.resized(gray, 6, 5).tobytes()
+
+
+def test_saved_form_of_a_run(spark, tmp_path):
+    for path, text in (("run_a/analysis.json", "[1]"), ("run_a/images/analysis.json", "[2]"), ("run_b/images/analysis.json", "[3]"), ("run_c/deep/analysis.json/x", "[4]"), ("run_d/other.json", "[5]")):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path))
+    assert sorted(tuple(r) for r in intake.form_data(found).collect()) == [("run_a", "[1]"), ("run_b", "[3]")]
+
+
+def test_saved_boxes(spark):
+    box = {"x1": 1, "y1": 2.5, "x2": 3, "y2": 4}
+    given = json.dumps([{"num": "6", "question": "q", "answer": "a", "bbox": box}, {"answer": "b", "bbox": [1, 2]}, {"answer": "c"}])
+    rows = intake.form_entries(intake.form_documents(spark.createDataFrame([(1, given)], "app_id long, json string"))).orderBy("pos").collect()
+    assert [(r.bbox_x1, r.bbox_y1, r.bbox_x2, r.bbox_y2) for r in rows] == [(1, 2.5, 3, 4), (None,) * 4, (None,) * 4]
+
+
+def test_bucketed_tables_are_not_exchanged(spark):
+    left, right = (stored.bucketed(spark.range(100).selectExpr("id % 7 AS app_id", f"id AS {c}"), "app_id", (c,), name=c) for c in ("a", "b"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = left.join(right, "app_id").groupBy("app_id").count()
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(r["count"] for r in joined.collect()) == 2 * 15 * 15 + 5 * 14 * 14
+
+
 def test_empty_tables(spark):
     apps, qa = spark.createDataFrame([], "app_id long"), spark.createDataFrame([], QA)
     lines = C.corpus(spark.createDataFrame([], LINE))

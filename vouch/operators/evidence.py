@@ -14,6 +14,8 @@ from vouch.functions import text as T
 EVIDENCE = ("found", "image", "line", "conf", "found_n", "of_n", "line_x1", "line_y1", "line_x2", "line_y2")
 #: Ranks of a probe's ways to match stand above the order of lines.
 RANK_BITS = 54
+#: Characters of a posting.
+GRAM = 3
 
 
 def contains_text(needle: Column | str, haystack: str = "nl") -> Column:
@@ -22,11 +24,37 @@ def contains_text(needle: Column | str, haystack: str = "nl") -> Column:
     return (needle != "") & F.contains(F.col(haystack), needle)
 
 
-def first_evidence(probes: DataFrame, corpus: DataFrame, keys: list[str], ways: list[Column]) -> DataFrame:
+def postings(corpus: DataFrame) -> DataFrame:
+    """app_id, gram, ord: the lines that hold each run of GRAM characters."""
+    grams = F.array_distinct(_grams("nl"))
+    return corpus.filter(F.char_length("nl") >= GRAM).select("app_id", "ord", F.explode(grams).alias("gram")).select("app_id", "gram", "ord")
+
+
+def _grams(text: Column | str) -> Column:
+    text = T.column(text)
+    return F.transform(F.sequence(F.lit(1), F.char_length(text) - (GRAM - 1)), lambda i: F.substring(text, i, F.lit(GRAM)))
+
+
+def candidates(probes: DataFrame, corpus: DataFrame, through: str, index: DataFrame | None = None) -> DataFrame:
+    """Probes with the lines (ord, nl, nlc) that hold the rarest gram of the text in column `through`, for texts of GRAM characters or more.
+
+    Texts with a gram that no line of their label has are left out. index: postings(), if they are at hand.
+    """
+    index = postings(corpus) if index is None else index
+    texts = probes.filter(F.char_length(through) >= GRAM).select("app_id", F.col(through).alias("through")).distinct()
+    wanted = texts.select("app_id", "through", F.explode(F.array_distinct(_grams("through"))).alias("gram"))
+    known = index.groupBy("app_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = wanted.join(known, ["app_id", "gram"], "left").groupBy("app_id", "through").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).filter("r.n > 0")
+    found = rarest.select("app_id", "through", F.col("r.gram").alias("gram")).join(index, ["app_id", "gram"]).select("app_id", F.col("through").alias(through), "ord")
+    return probes.join(found, ["app_id", through]).join(corpus.select("app_id", "ord", "nl", "nlc"), ["app_id", "ord"])
+
+
+def first_evidence(probes: DataFrame, corpus: DataFrame, keys: list[str], ways: list[Column], through: str | None = None) -> DataFrame:
     """keys, way (from 0) and the evidence of the first line that a probe finds; probes without one are left out.
 
     A probe (a row with app_id among keys) may have several ways to match, best first; a better way wins over an earlier
-    line. A column `rank`, if the probe has one, stands above the ways.
+    line. A column `rank`, if the probe has one, stands above the ways. through: a column whose text every supporting line
+    holds; then lines are found by that text's rarest gram, which pays for labels of many lines. Shorter texts, and null, meet all lines.
     """
     way = None
     for i, condition in enumerate(ways):
@@ -35,7 +63,13 @@ def first_evidence(probes: DataFrame, corpus: DataFrame, keys: list[str], ways:
     held = ways[0]
     for condition in ways[1:]:
         held = held | condition
-    hits = probes.join(corpus.select("app_id", "ord", "nl", "nlc"), "app_id").filter(held)
+    lines = corpus.select("app_id", "ord", "nl", "nlc")
+    if through is None:
+        hits = probes.join(lines, "app_id")
+    else:
+        short = probes.filter(F.coalesce(F.char_length(through) < GRAM, F.lit(True)))
+        hits = candidates(probes, corpus, through).unionByName(short.join(lines, "app_id"))
+    hits = hits.filter(held)
     best = hits.groupBy(*keys).agg(F.min(F.shiftleft((rank * len(ways) + way).cast("long"), RANK_BITS) + F.col("ord")).alias("best"))
     best = best.withColumn("ord", F.col("best").bitwiseAND((1 << RANK_BITS) - 1)).withColumn("way", F.shiftright("best", RANK_BITS).cast("int"))
     return best.join(corpus.select("app_id", "ord", "image", F.col("text").alias("line"), "conf", *(F.col(c).alias(f"line_{c}") for c in ("x1", "y1", "x2", "y2"))), ["app_id", "ord"]).select(

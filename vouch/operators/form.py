@@ -59,6 +59,15 @@ def _prompt_lines(address: Column, required: Column, size: Column) -> Column:
     return F.when(~address, 1).when(required > 0, required).otherwise(size).cast("int")
 
 
+def option_lines(lines: DataFrame) -> DataFrame:
+    """app_id, option, option_pos, x1, y1: the last line of page 1 that is the text of each option. lines: as in with_boxes."""
+    products = list(dict.fromkeys(OPTIONS.values()))
+    shown = F.create_map(*(F.lit(x) for pair in OPTIONS.items() for x in pair))
+    named = lines.withColumn("option", F.try_element_at(shown, T.trim("text"))).filter(F.col("option").isNotNull())
+    last = named.groupBy("app_id", "option").agg(F.max_by(F.struct("x1", "y1"), "line_pos").alias("at"))
+    return last.select("app_id", "option", (F.array_position(F.array(*map(F.lit, products)), F.col("option")) - 1).cast("int").alias("option_pos"), F.col("at.x1").cast("double").alias("x1"), F.col("at.y1").cast("double").alias("y1"))
+
+
 def product_of_checkboxes(ratios: DataFrame) -> DataFrame:
     """app_id, product: the option whose box is darkest, if dark enough and clearly darker than the next; else none.
 

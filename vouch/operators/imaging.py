@@ -7,7 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# --- fixed values -------------------------------------------------------------------------------------------------
+
+#: Medians and pixels below these are dark; a checkbox lies so many points beside the start of its option.
 DARK_MEDIAN, BOX_DARK = 110, 220
+BOX_ACROSS, BOX_DOWN = (-14, -6), (-3, 5)
 
 
 def resized(image: np.ndarray, width: int, height: int) -> np.ndarray:
@@ -78,10 +82,41 @@ def inverted(image: np.ndarray) -> np.ndarray:
     return 255 - image
 
 
-def dark_ratio(page: np.ndarray, x0: float, y0: float, scale: float = 1.5) -> float:
-    """The share of pixels below 220 in the checkbox left of an option that begins at (x0, y0) in points."""
-    box = page[max(0, int((y0 - 3) * scale)) : max(0, int((y0 + 5) * scale)), max(0, int((x0 - 14) * scale)) : max(0, int((x0 - 6) * scale))]
-    return float((box < BOX_DARK).mean()) if box.size else 0.0
+def dark_sums(page: np.ndarray) -> np.ndarray:
+    """The summed-area table of dark pixels: [y, x] counts those above and left of (x, y)."""
+    sums = np.zeros((page.shape[0] + 1, page.shape[1] + 1), np.int64)
+    np.cumsum(np.cumsum(page < BOX_DARK, axis=0), axis=1, out=sums[1:, 1:])
+    return sums
+
+
+def dark_ratio(sums: np.ndarray, x: float, y: float, scale: float = 1.5) -> float:
+    """The share of dark pixels (by dark_sums) in the checkbox left of an option that begins at (x, y) in points; corners are rounded, halves up."""
+    at = lambda v, most: min(max(int(np.floor(v * scale + 0.5)), 0), most)
+    (left, right), (top, bottom) = ([at(c + d, most) for d in span] for c, span, most in ((x, BOX_ACROSS, sums.shape[1] - 1), (y, BOX_DOWN, sums.shape[0] - 1)))
+    if right <= left or bottom <= top:
+        return 0.0
+    return float(sums[bottom, right] - sums[top, right] - sums[bottom, left] + sums[top, left]) / ((right - left) * (bottom - top))
+
+
+def checkbox_ratios(rasters: DataFrame, options: DataFrame) -> DataFrame:
+    """app_id, option, option_pos, dark_ratio: how dark the checkbox of each option is on the page.
+
+    rasters: app_id, w, h, pixels (gray, row by row) of page 1; options: as form.option_lines gives them. A page's options are
+    looked up together, in one table of sums.
+    """
+    ddl = "app_id long, option string, option_pos int, dark_ratio double"
+    listed = options.groupBy("app_id").agg(F.collect_list(F.struct("option", "option_pos", "x1", "y1")).alias("options"))
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for app_id, w, h, pixels, of_page in batch.itertuples(index=False):
+                sums = dark_sums(np.frombuffer(pixels, np.uint8).reshape(h, w))
+                rows += [(app_id, o["option"], o["option_pos"], dark_ratio(sums, o["x1"], o["y1"])) for o in of_page]
+            yield pd.DataFrame(rows, columns=["app_id", "option", "option_pos", "dark_ratio"])
+
+    whole = rasters.filter((F.col("w") > 0) & (F.col("h") > 0) & (F.octet_length("pixels") == F.col("w") * F.col("h")))
+    return whole.join(listed, "app_id").select("app_id", "w", "h", "pixels", "options").mapInPandas(run, ddl)
 
 
 VARIANT_DDL = "variant string, w int, h int, pixels binary"

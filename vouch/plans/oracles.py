@@ -10,10 +10,16 @@ from vouch.plans import stand_ins as S
 
 LICENCE_ANCHORS = ("licensedunder", "apachelicense", "version20")
 
-RATIOS = """
-SELECT p_partkey AS app_id, 'WINE' AS option, 0 AS option_pos, CAST(p_size % 8 AS DOUBLE) / 10 AS dark_ratio FROM {part}
-UNION ALL SELECT p_partkey, 'DISTILLED SPIRITS', 1, CAST(p_partkey % 7 AS DOUBLE) / 10 FROM {part}
-UNION ALL SELECT p_partkey, 'MALT BEVERAGE', 2, CAST((p_partkey + p_size) % 6 AS DOUBLE) / 10 FROM {part} WHERE p_partkey % 4 <> 0
+#: Each option's box in pixels, and the share of its pixels that are dark.
+RATIOS = f"""
+SELECT app_id, option, option_pos, avg(CASE WHEN {S.DARK_PIXEL} THEN 1.0 ELSE 0.0 END) AS dark_ratio FROM (
+  SELECT *, unnest(range(y0, y1)) AS y FROM (
+    SELECT *, unnest(range(x0, x1)) AS x FROM (
+      SELECT app_id, option, option_pos, greatest(0, CAST(floor((e.x - 14) * 1.5 + 0.5) AS BIGINT)) AS x0, least(24, CAST(floor((e.x - 6) * 1.5 + 0.5) AS BIGINT)) AS x1,
+        greatest(0, CAST(floor((e.y - 3) * 1.5 + 0.5) AS BIGINT)) AS y0, least(84, CAST(floor((e.y + 5) * 1.5 + 0.5) AS BIGINT)) AS y1, p_partkey, p_size FROM (
+        SELECT app_id, option, option_pos, arg_max({{'x': x1, 'y': y1}}, line_pos) AS e FROM ({S.OPTION_LINES.strip()}) l
+        JOIN (VALUES ('WINE', 'WINE', 0), ('DISTILLED SPIRITS', 'DISTILLED SPIRITS', 1), ('MALT BEVERAGE', 'MALT BEVERAGE', 2), ('MALT BEVERAGES', 'MALT BEVERAGE', 2)) o(shown, option, option_pos) ON trim(text) = shown GROUP BY 1, 2, 3
+      ) JOIN part ON p_partkey = app_id))) GROUP BY 1, 2, 3
 """
 PAGE_LINES = """
 SELECT p_partkey AS app_id, 0 AS line_pos, '  1. REP. ID. NO. (If any)' AS text, 10.5 AS x1, CAST(p_size AS DOUBLE) AS y1, 200.25 AS x2, CAST(p_size + 10 AS DOUBLE) AS y2 FROM {part}
@@ -278,6 +284,7 @@ _REPORTS = _with(
 
 SQL = {
     "first_evidence": _FIRST + "SELECT p.app_id, p.pos, p.a, CASE WHEN h.e IS NULL THEN 'NOT FOUND' ELSE 'MATCH' END AS status, coalesce(h.e.image, '') AS image, coalesce(h.e.line, '') AS line FROM probes p LEFT JOIN hits h USING (app_id, pos)",
+    "indexed_evidence": _FIRST + "SELECT app_id, pos, e.image AS image, e.line AS line FROM hits",
     "norm_lines": _with(_SPLIT, _DOC_LINES, _DOC_CORPUS) + "SELECT app_id, img_pos, line_pos, nl, nlc FROM corpus",
     "document_checklist": _with(
         _SPLIT, _DOC_LINES, _DOC_CORPUS,
@@ -292,6 +299,7 @@ SQL = {
     "form_with_product": _with(*_FORM, *_PRODUCTS, ("placed", "SELECT *, contains(lower(question), 'type of product') AS asks, row_number() OVER (PARTITION BY app_id, contains(lower(question), 'type of product') ORDER BY pos) AS k FROM form")) + "SELECT f.app_id, f.pos, f.num, f.question, CASE WHEN asks AND k = 1 AND coalesce(product, '') <> '' THEN product ELSE answer END AS answer FROM placed f LEFT JOIN products USING (app_id)",
     "form_boxes": _with(*_FORM, *_BOXES) + "SELECT * FROM boxed_form",
     "form_widgets": _with(*_FORM, *_BOXES, *_WIDGETS) + f"SELECT * EXCLUDE (seq, applied) REPLACE (CAST(row_number() OVER (PARTITION BY app_id ORDER BY pos NULLS LAST, seq) - 1 AS INT) AS pos) FROM over WHERE NOT applied OR {_KIND} <> 'Admin'",
+    "checkbox_ratios": _with(_PRODUCTS[0]) + "SELECT * FROM ratios",
     "product_checkboxes": _with(*_PRODUCTS) + "SELECT * FROM products",
     **{name: _with(*ctes) + f"SELECT * FROM {ctes[-1][0]}" for name, ctes in _VERDICTS.items()},
     "mandatory_check": _with(*_CORPUS, *_mandatory("SELECT p_partkey AS app_id, 9 AS last FROM part")) + "SELECT * FROM gw_rows",

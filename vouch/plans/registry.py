@@ -38,7 +38,8 @@ def _words(spark, d) -> DataFrame:
 
 
 def _ratios(spark, d) -> DataFrame:
-    return S.frame(spark, d, oracles.RATIOS)
+    ensure_package(spark)
+    return imaging.checkbox_ratios(S.frame(spark, d, S.RASTERS), form.option_lines(S.frame(spark, d, S.OPTION_LINES)))
 
 
 def _document_lines(spark, d) -> DataFrame:
@@ -64,6 +65,13 @@ def first_line_of_documents(spark, d):
     return probes.join(found, ["app_id", "pos"], "left").select("app_id", "pos", "a", F.when(F.col("found"), "MATCH").otherwise("NOT FOUND").alias("status"), F.coalesce("image", F.lit("")).alias("image"), F.coalesce("line", F.lit("")).alias("line"))
 
 
+def indexed_evidence(spark, d):
+    """The same lookup by way of the rarest three letters of each probe."""
+    probes, lines = _document_probes(spark, d), C.corpus(_document_lines(spark, d))
+    found = E.first_evidence(probes, lines, ["app_id", "pos"], [E.contains_text("a")], through="a")
+    return found.select("app_id", "pos", "image", "line")
+
+
 def norm_lines(spark, d):
     return C.corpus(_document_lines(spark, d)).select("app_id", "img_pos", "line_pos", "nl", "nlc")
 
@@ -105,6 +113,10 @@ def form_widgets(spark, d):
     return form.with_widgets(form_boxes(spark, d), S.frame(spark, d, S.WIDGETS))
 
 
+def checkbox_ratios(spark, d):
+    return _ratios(spark, d)
+
+
 def product_checkboxes(spark, d):
     return form.product_of_checkboxes(_ratios(spark, d))
 
@@ -245,6 +257,7 @@ def image_variants(spark, d):
 
 QUERIES = {
     "first_evidence": first_line_of_documents,
+    "indexed_evidence": indexed_evidence,
     "norm_lines": norm_lines,
     "document_checklist": document_checklist,
     "text_functions": text_functions,
@@ -254,6 +267,7 @@ QUERIES = {
     "form_with_product": form_with_product,
     "form_boxes": form_boxes,
     "form_widgets": form_widgets,
+    "checkbox_ratios": checkbox_ratios,
     "product_checkboxes": product_checkboxes,
     "match_net_contents": _matcher("NetContents"),
     "match_alcohol": _matcher("Alcohol"),

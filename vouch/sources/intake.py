@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -68,6 +69,14 @@ def form_documents(documents: DataFrame) -> DataFrame:
     return rows.withColumn("form_qa", F.transform(kept, lambda e: F.struct(value(e, "num").alias("num"), value(e, "question").alias("question"), value(e, "answer").alias("answer"), box(e).alias("bbox")))).drop("entries")
 
 
+def form_data(found: DataFrame, name: str = "analysis.json") -> DataFrame:
+    """run_id, json of each run's saved form among files (path, content): the run's own folder goes before its folder of images."""
+    inside = rf"(?:^|/)([^/]+)/(images/)?{re.escape(name)}$"
+    level = (F.regexp_extract("path", inside, 2) != "").cast("int")
+    kept = found.filter(F.regexp_like("path", F.lit(inside))).select(F.regexp_extract("path", inside, 1).alias("run_id"), level.alias("level"), "content")
+    return kept.groupBy("run_id").agg(F.min_by("content", "level").alias("content")).select("run_id", F.decode("content", "UTF-8").alias("json"))
+
+
 def form_entries(documents: DataFrame) -> DataFrame:
     """app_id, pos, num, question, answer and bbox_x1 to bbox_y2 (null without a box) of form_documents()."""
     rows = documents.select("app_id", F.posexplode("form_qa").alias("pos", "e"))
