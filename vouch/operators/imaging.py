@@ -101,8 +101,8 @@ def dark_ratio(sums: np.ndarray, x: float, y: float, scale: float = 1.5) -> floa
 def checkbox_ratios(rasters: DataFrame, options: DataFrame) -> DataFrame:
     """app_id, option, option_pos, dark_ratio: how dark the checkbox of each option is on the page.
 
-    rasters: app_id, w, h, pixels (gray, row by row) of page 1; options: as form.option_lines gives them. A page's options are
-    looked up together, in one table of sums.
+    rasters: app_id, w, h, pixels (gray, row by row) of page 1, those without all their pixels left out; options: as
+    form.option_lines gives them. A page's options are looked up together, in one table of sums.
     """
     ddl = "app_id long, option string, option_pos int, dark_ratio double"
     listed = options.groupBy("app_id").agg(F.collect_list(F.struct("option", "option_pos", "x1", "y1")).alias("options"))
@@ -111,12 +111,13 @@ def checkbox_ratios(rasters: DataFrame, options: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for app_id, w, h, pixels, of_page in batch.itertuples(index=False):
+                if not w or not h or not pixels or len(pixels) != w * h:
+                    continue
                 sums = dark_sums(np.frombuffer(pixels, np.uint8).reshape(h, w))
                 rows += [(app_id, o["option"], o["option_pos"], dark_ratio(sums, o["x1"], o["y1"])) for o in of_page]
             yield pd.DataFrame(rows, columns=["app_id", "option", "option_pos", "dark_ratio"])
 
-    whole = rasters.filter((F.col("w") > 0) & (F.col("h") > 0) & (F.octet_length("pixels") == F.col("w") * F.col("h")))
-    return whole.join(listed, "app_id").select("app_id", "w", "h", "pixels", "options").mapInPandas(run, ddl)
+    return rasters.join(listed, "app_id").select("app_id", "w", "h", "pixels", "options").mapInPandas(run, ddl)
 
 
 VARIANT_DDL = "variant string, w int, h int, pixels binary"

@@ -12,7 +12,7 @@ LICENCE_ANCHORS = ("licensedunder", "apachelicense", "version20")
 
 #: Each option's box in pixels, and the share of its pixels that are dark.
 RATIOS = f"""
-SELECT app_id, option, option_pos, avg(CASE WHEN {S.DARK_PIXEL} THEN 1.0 ELSE 0.0 END) AS dark_ratio FROM (
+SELECT app_id, option, option_pos, avg(CASE WHEN {S.dark_pixel('x', 'y')} THEN 1.0 ELSE 0.0 END) AS dark_ratio FROM (
   SELECT *, unnest(range(y0, y1)) AS y FROM (
     SELECT *, unnest(range(x0, x1)) AS x FROM (
       SELECT app_id, option, option_pos, greatest(0, CAST(floor((e.x - 14) * 1.5 + 0.5) AS BIGINT)) AS x0, least(24, CAST(floor((e.x - 6) * 1.5 + 0.5) AS BIGINT)) AS x1,
@@ -282,6 +282,19 @@ _REPORTS = _with(
     repeat('=', 78)) AS report
   FROM apps a LEFT JOIN texts USING (app_id) LEFT JOIN r_pages USING (app_id) LEFT JOIN r_form f USING (app_id) LEFT JOIN r_images i USING (app_id) LEFT JOIN r_read r USING (app_id) LEFT JOIN r_verdicts v USING (app_id) LEFT JOIN classed c USING (app_id)"""
 
+#: The drawn images differ by p_size % 20 alone, so each kind is worked out once, pixel by pixel.
+_VARIANTS = _with(
+    ("kinds", "SELECT DISTINCT CAST(p_size % 20 AS INT) AS k FROM part"),
+    ("raw", "SELECT k, x, y, CASE WHEN x < k THEN 64 ELSE 208 END AS v FROM kinds, range(32) a(x), range(24) b(y)"),
+    ("along", "SELECT p.k, p.x, p.y, sum(q.v) // 19 AS v FROM raw p CROSS JOIN range(-9, 10) d(i) JOIN raw q ON q.k = p.k AND q.y = p.y AND q.x = least(31, greatest(0, p.x + i)) GROUP BY 1, 2, 3"),
+    ("behind", "SELECT p.k, p.x, p.y, sum(q.v) // 19 AS v FROM along p CROSS JOIN range(-9, 10) d(i) JOIN along q ON q.k = p.k AND q.x = p.x AND q.y = least(23, greatest(0, p.y + i)) GROUP BY 1, 2, 3"),
+    ("flat", "SELECT r.k, r.x, r.y, CAST(trunc(least(255.0, CAST(r.v AS DOUBLE) / (CAST(b.v AS DOUBLE) + 1e-6) * 255.0)) AS INT) AS v FROM raw r JOIN behind b USING (k, x, y)"),
+    ("near", "SELECT p.k, p.x, p.y, p.v, CAST(sum(q.v) AS DOUBLE) AS s1, CAST(sum(q.v * q.v) AS DOUBLE) AS s2, (p.x + 12 - greatest(0, p.x - 11)) * (p.y + 12 - greatest(0, p.y - 11)) AS n FROM flat p JOIN flat q ON q.k = p.k AND q.x BETWEEN p.x - 11 AND p.x + 11 AND q.y BETWEEN p.y - 11 AND p.y + 11 GROUP BY 1, 2, 3, 4"),
+    ("cut", "SELECT k, x, y, CASE WHEN v > s1 / n * (1 + 0.2 * (sqrt(greatest(0, s2 / n - s1 / n * (s1 / n))) / CAST(128 AS DOUBLE) - 1)) THEN 255 ELSE 0 END AS v FROM near"),
+    ("dark", "SELECT k, count(*) FILTER (v = 0) > 384 AS inverted FROM cut GROUP BY 1"),
+    ("sums", "SELECT k, 'raw' AS variant, sum(v) AS s FROM raw GROUP BY 1 UNION ALL SELECT k, 'flat', sum(v) FROM flat GROUP BY 1 UNION ALL SELECT k, 'bin', sum(CASE WHEN inverted THEN 255 - v ELSE v END) FROM cut JOIN dark USING (k) GROUP BY 1"),
+) + "SELECT p_partkey AS app_id, variant, 32 AS w, 24 AS h, CAST(s AS BIGINT) AS brightness FROM part JOIN sums ON k = p_size % 20"
+
 SQL = {
     "first_evidence": _FIRST + "SELECT p.app_id, p.pos, p.a, CASE WHEN h.e IS NULL THEN 'NOT FOUND' ELSE 'MATCH' END AS status, coalesce(h.e.image, '') AS image, coalesce(h.e.line, '') AS line FROM probes p LEFT JOIN hits h USING (app_id, pos)",
     "indexed_evidence": _FIRST + "SELECT app_id, pos, e.image AS image, e.line AS line FROM hits",
@@ -321,6 +334,7 @@ SQL = {
         ("joined", "SELECT s.line, r.* FROM swept s JOIN ranked r USING (app_id, k)"),
         ("lines", "SELECT app_id, line, string_agg(text, ' ' ORDER BY x, seq) AS text, round(avg(conf), 6) AS conf, arg_min(y, x * 1000000 + seq) AS y, min(x) AS x1, min(y) AS y1, max(x + w) AS x2, max(y + h) AS y2 FROM joined GROUP BY 1, 2"),
     ).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT app_id, CAST(row_number() OVER (PARTITION BY app_id ORDER BY y, line) - 1 AS INT) AS line_pos, text, conf, y, x1, y1, x2, y2 FROM lines",
+    "image_variants": _VARIANTS,
     "image_texts": _with(_SPLIT, _DOC_LINES) + "SELECT app_id, image, string_agg(text, ' ' ORDER BY line_pos) AS text FROM lines GROUP BY 1, 2",
     "recognition_passes": _with(("sized", SIZED), ("ways", "SELECT *, least(scale, cap / greatest(width, height)) AS factor FROM sized, (VALUES (CAST(2 AS DOUBLE), CAST(1400 AS DOUBLE)), (4, 2800)) v(scale, cap), (VALUES (3), (11)) m(psm)")) + "SELECT app_id, name, psm, scale, round(factor, 6) AS factor, CAST(round(width * factor) AS INT) AS width, CAST(round(height * factor) AS INT) AS height FROM ways WHERE factor > 1",
     "page_images": _with(("blocks", S.BLOCKS)) + "SELECT app_id, page, CAST(row_number() OVER (PARTITION BY app_id ORDER BY page, block_seq) - 1 AS INT) AS img_pos, concat('p', page, '_', row_number() OVER (PARTITION BY app_id, page ORDER BY block_seq), '.png') AS name, w AS width, h AS height, concat_ws(' ', x0, y0, x1, y1) AS bbox FROM blocks WHERE w >= 50 AND h >= 50 AND page <= 3",

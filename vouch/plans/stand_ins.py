@@ -139,11 +139,13 @@ UNION ALL SELECT p_partkey, 2, 'DISTILLED SPIRITS', 20.5, CAST(30 + p_partkey %
 UNION ALL SELECT p_partkey, 3, CASE WHEN p_partkey % 2 = 0 THEN 'MALT BEVERAGES' ELSE 'MALT BEVERAGE' END, 21.25, CAST(50 AS DOUBLE) FROM {part} WHERE p_partkey % 4 <> 0
 UNION ALL SELECT p_partkey, 4, 'WINERY', 1.0, CAST(1 AS DOUBLE) FROM {part}
 """
-DARK_PIXEL = "(x * 7 + y * 11 + p_partkey * 13) % 10 < CASE WHEN y < 34 THEN p_size % 8 WHEN y < 62 THEN (p_partkey * 3) % 7 ELSE (p_partkey + p_size) % 6 END"
-RASTERS = (
-    "SELECT p_partkey AS app_id, 24 AS w, 84 AS h, unhex(array_join(transform(sequence(0, 24 * 84 - 1), i -> CASE WHEN "
-    + DARK_PIXEL.replace("x *", "(i % 24) *").replace("y *", "(i div 24) *").replace("y <", "i div 24 <") + " THEN '64' ELSE 'F0' END), '')) AS pixels FROM {part}"
-)
+
+
+def dark_pixel(x: str, y: str) -> str:
+    return f"({x} * 7 + {y} * 11 + p_partkey * 13) % 10 < CASE WHEN {y} < 34 THEN p_size % 8 WHEN {y} < 62 THEN (p_partkey * 3) % 7 ELSE (p_partkey + p_size) % 6 END"
+
+
+RASTERS = f"SELECT p_partkey AS app_id, 24 AS w, 84 AS h, unhex(array_join(transform(sequence(0, 24 * 84 - 1), i -> CASE WHEN {dark_pixel('(i % 24)', '(i div 24)')} THEN '64' ELSE 'F0' END), '')) AS pixels FROM {{part}}"
 
 APPS = "SELECT p_partkey AS app_id, concat('application-', CAST(p_partkey AS STRING), '.pdf') AS pdf FROM {part}"
 
