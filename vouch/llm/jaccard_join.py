@@ -359,11 +359,11 @@ def _tasks(end: dict, own: int, bucket: int) -> Iterator[tuple[int, int]]:
         for j in range(blocks):
             yield hash((end["key"], min(mine, j), max(mine, j))), (j > mine) + 2 * (j < mine)
         for j in range(others):
-            yield hash((end["key"], mine, -1 - j)), 1
+            yield hash((end["key"], mine, blocks + j)), 1
     else:
         mine = hash((own, 2)) % others
         for i in range(blocks):
-            yield hash((end["key"], i, -1 - mine)), 2
+            yield hash((end["key"], i, blocks + mine)), 2
 
 
 def _compared(group: pa.RecordBatch, threshold: float) -> list[tuple[int, int, int, int]]:
