@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations, product
 
 import numpy as np
 import public_tokenizers
@@ -168,6 +169,12 @@ def test_exact_dedup(docs, empty):
         expected.append((i, keep if len(group) > 1 else i, len(group), True if len(group) == 1 else i == keep, hashlib.sha256(lower(t).encode()).hexdigest()))
     same(exact_dedup.exact_groups(docs).collect(), expected)
     assert exact_dedup.exact_groups(empty).count() == 0
+    # null ids: smaller than any other; of a group without ids one row stays
+    spark = docs.sparkSession
+    odd = spark.createDataFrame([(None, "x"), (None, "X"), (None, "y"), (3, "y"), (None, "z")], "doc_id long, text string")
+    found = sorted((r.text_sha256, r.doc_id is not None, r.keep_id or 0, r.group_size, r.kept) for r in exact_dedup.exact_groups(odd).collect())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert found == sorted([(sha("x"), False, 0, 2, False), (sha("x"), False, 0, 2, True), (sha("y"), False, 3, 2, False), (sha("y"), True, 3, 2, True), (sha("z"), False, 0, 1, True)])
     kept = exact_dedup.drop_copies(docs)
     assert kept.columns == docs.columns and exact_dedup.drop_copies(empty).count() == 0
     largest = {t: max((x for x in g if x is not None), default=None) for t, g in groups.items()}
@@ -446,11 +453,72 @@ def test_token_counts(spark, docs, empty):
     same([(r.doc_id, r.n_tokens_before) for r in found], [(i, len(counter.encoding.encode_ordinary(t or ""))) for i, t in ROWS])
     # a stored tree stands for the first split
     trees = spark.createDataFrame([(r.doc_id, bytes(r.tree)) for r in token_counts.edited_counts(docs.selectExpr("doc_id", "text", "null AS edits"), RANKS, PATTERN).filter("doc_id = 5").collect()], "doc_id long, tree binary")
-    again = token_counts.edited_counts(with_edits.join(trees, "doc_id"), RANKS, PATTERN).first()
+    again = token_counts.edited_counts(with_edits.join(trees, "doc_id"), RANKS, PATTERN, "tree").first()
     assert (again.n_tokens, again.n_reencoded) == next((r.n_tokens, r.n_reencoded) for r in found if r.doc_id == 5)
     assert token_counts.edited_counts(token_counts.derived_edits(empty), RANKS, PATTERN).count() == 0
     edits = spark.createDataFrame([(5, 0, 0, 4, None), (5, 1, 2, 0, "x y")], "doc_id long, seq int, start long, removed long, added string")
     assert token_counts.edited_counts(token_counts.with_edits(docs, edits), RANKS, PATTERN).count() == len(ROWS)
+    # a column's name does not make it a stored tree, nor edits
+    clash = docs.withColumn("tree", F.lit("oak")).withColumn("edits", F.lit(5))
+    assert token_counts.edited_counts(token_counts.derived_edits(clash), RANKS, PATTERN).count() == len(ROWS) == token_counts.edited_counts(token_counts.with_edits(clash, edits), RANKS, PATTERN).count()
+    # the counts after the edits are those of the texts that the edits make
+    after = {}
+    for r in with_edits.filter("doc_id IS NOT NULL").collect():
+        text = r.text or ""
+        for e in sorted(r.edits, key=lambda e: e.seq):
+            at = min(e.start, len(text))
+            text = text[:at] + (e.added or "") + text[at + e.removed :]
+        after.setdefault(r.doc_id, []).append(len(counter.encoding.encode_ordinary(text)))
+    counted = {}
+    for r in found:
+        if r.doc_id is not None:
+            counted.setdefault(r.doc_id, []).append(r.n_tokens)
+    assert {k: sorted(v) for k, v in after.items()} == {k: sorted(v) for k, v in counted.items()}
+
+
+def test_decoding_against_all_paths():
+    """The Viterbi path is the cheapest of all paths through the lattice."""
+    rng = np.random.default_rng(4)
+    for _ in range(120):
+        costs = rng.random((28, 28, 28)) * 5
+        token = "".join(rng.choice(list("abt1|!30@$ .-#é7"), rng.integers(1, 6)))
+        restorer = toxicity.Restorer(costs)
+
+        def cost(path, costs=costs):
+            a = b = toxicity._EDGE
+            total = 0.0
+            for letters, price in path:
+                total += price
+                for c in letters:
+                    s = toxicity._symbol(c)
+                    if s != toxicity._EDGE or b != toxicity._EDGE:
+                        total += costs[a][b][s]
+                        a, b = b, s
+            return total
+
+        paths = product(*restorer.lattice(token), [(" ", 0.0)])
+        best = min(paths, key=cost)
+        assert restorer.decode(token) == "".join(letters for letters, _ in best).strip(), token
+
+
+def test_near_copies_of_a_whole_table(spark):
+    """Recall at the settings that are shipped: all links of all documents, by exact similarity of all pairs that share a shingle."""
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text or "") for r in documents.select("doc_id", "text").collect()]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set()) for i, w in ((i, re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t in rows)}
+    by_shingle = {}
+    for i, shingles in sets.items():
+        for x in shingles:
+            by_shingle.setdefault(x, []).append(i)
+    pairs = {(a, b) for ids in by_shingle.values() for a, b in combinations(ids, 2)} if max(map(len, by_shingle.values())) < 400 else None
+    assert pairs is not None
+    links = {}
+    for a, b in pairs:
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
+    found = {r.doc_id: r.n_links for r in jaccard_join.near_duplicates(documents).collect()}
+    ends = sum(links.values())
+    assert sum(min(found[i], links.get(i, 0)) for i in found) >= jaccard_join.TARGET_RECALL * ends and all(found[i] <= links.get(i, 0) for i in found) and ends > 50
 
 
 def toxic_rows():

@@ -6,9 +6,9 @@ rest are grouped by their SHA-256, so a false positive costs a shuffled row and
 of bounded size (see bloom); beyond some 50 million rows it lets more through, and at worst all fingerprints (48 bytes a
 row, no texts) are shuffled once.
 
-Null text counts as empty; empty texts are equal to each other. Of equal texts the largest doc_id stays; rows that
-repeat a doc_id count each in group_size and share its verdict. An empty table gives an empty result. Other columns
-of the input are not read.
+Null text counts as empty; empty texts are equal to each other. Of equal texts the largest doc_id stays; a null doc_id is
+smaller than any, and of equal texts without any doc_id one row stays. Rows that repeat a doc_id count each in group_size
+and share its verdict. An empty table gives an empty result. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -35,12 +35,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def exact_groups(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs."""
-    prints = written(fingerprints(docs), "fingerprints")
-    probed = prints.withColumn("maybe", bloom.marked(prints.select("h"), prints.count(), 2)(F.col("h")))
+    prints = written(fingerprints(docs).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+    probed = written(prints.withColumn("maybe", bloom.marked(prints.select("h"), prints.count(), 2)(F.col("h"))), "probed")
     alone = probed.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    again = probed.filter("maybe").select("doc_id", "text_sha256")
-    groups = written(again.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
-    shared = joined_by_group(again, groups, "text_sha256", "group_size").select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    again = probed.filter("maybe").select("doc_id", "row", "text_sha256")
+    groups = written(again.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.max("row").alias("keep_row"), F.count(F.lit(1)).alias("group_size")), "groups")
+    kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull() & (F.col("row") == F.col("keep_row")))
+    shared = joined_by_group(again, groups, "text_sha256", "group_size").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
     return alone.unionByName(shared)
 
 
@@ -65,7 +66,7 @@ WITH named AS (
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
        count(*) OVER (PARTITION BY text_sha256) AS group_size,
-       doc_id = max(doc_id) OVER (PARTITION BY text_sha256) AS kept,
+       coalesce(doc_id = max(doc_id) OVER (PARTITION BY text_sha256), max(doc_id) OVER (PARTITION BY text_sha256) IS NULL AND row_number() OVER (PARTITION BY text_sha256) = 1) AS kept,
        text_sha256
 FROM named
 """

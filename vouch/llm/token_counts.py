@@ -139,8 +139,8 @@ def edited(counter: Counter, tree: Tree, text: str, start: int, removed: int, ad
     return after, len(fresh)
 
 
-def edited_counts(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """For each row of docs (doc_id, text, edits, and a stored `tree` or none): n_tokens after its edits, n_tokens_before,
+def edited_counts(docs: DataFrame, rank_file: str, pattern: str, tree: str | None = None) -> DataFrame:
+    """For each row of docs (doc_id, text, edits, and a stored tree in the column that `tree` names): n_tokens after its edits, n_tokens_before,
     n_pretokens, n_reencoded (pre-tokens encoded anew by edits) and the tree to store.
 
     edits: an array of EDIT, in any order; null: none. with_edits() makes it from a table of edits.
@@ -163,20 +163,20 @@ def edited_counts(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
                     rows.append((tree.n_tokens, before, sum(map(len, tree.nodes)), again, tree.to_bytes()))
                 yield pa.record_batch([part.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(schema)[1:], strict=True))], schema=schema)
 
-    stored = F.col("tree") if "tree" in docs.columns else F.lit(None).cast("binary").alias("tree")
+    stored = (F.col(tree) if tree else F.lit(None)).cast("binary").alias("tree")
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("edits").cast(f"array<{EDIT}>"), stored).mapInArrow(run, _DDL)
 
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """docs with their edits (a table of doc_id, seq, start, removed, added) as an array."""
+    """doc_id and text of docs, and `edits`: their edits (a table of doc_id, seq, start, removed, added) as an array."""
     edit = F.struct(F.col("seq").cast("int").alias("seq"), F.col("start").cast("long").alias("start"), F.col("removed").cast("long").alias("removed"), F.col("added").cast("string").alias("added"))
-    return docs.drop("edits").join(edits.groupBy("doc_id").agg(F.collect_list(edit).alias("edits")), "doc_id", "left")
+    return docs.select("doc_id", "text").join(edits.groupBy("doc_id").agg(F.collect_list(edit).alias("edits")), "doc_id", "left")
 
 
 def derived_edits(docs: DataFrame) -> DataFrame:
-    """docs with three edits each, from their own texts: a piece copied in, a stretch cut out, an end of line put in."""
+    """doc_id and text of docs, and `edits`: three each, from their own texts: a piece copied in, a stretch cut out, an end of line put in."""
     size = F.char_length(F.coalesce("text", F.lit("")))
     at = lambda salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), size + 1).cast("long")
     edit = lambda seq, start, removed, added: F.struct(F.lit(seq).alias("seq"), start.alias("start"), F.lit(removed).cast("long").alias("removed"), added.alias("added"))
     piece = F.coalesce(F.substring("text", at(0).cast("int"), 40), F.lit(""))
-    return docs.withColumn("edits", F.array(edit(0, at(1), 0, piece), edit(1, at(2), 25, F.lit("")), edit(2, at(3), 3, F.lit(" 42's\n\n end"))))
+    return docs.select("doc_id", "text", F.array(edit(0, at(1), 0, piece), edit(1, at(2), 25, F.lit("")), edit(2, at(3), 3, F.lit(" 42's\n\n end"))).alias("edits"))
