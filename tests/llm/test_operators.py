@@ -443,9 +443,11 @@ def test_token_counts(spark, docs, empty):
             at = min(start, len(text))
             expected = text[:at] + added + text[at + gone :]
             text, n = token_counts.edited(counter, tree, text, start, gone, added)
-            assert text == expected and tree.to_bytes() == counter.tree(text).to_bytes()
+            assert text == expected and tree.leaves().tolist() == counter.tree(text).leaves().tolist()
+            again_read = token_counts.Tree.from_bytes(tree.to_bytes())
+            assert again_read.leaves().tolist() == tree.leaves().tolist() and again_read.root.sums == tree.root.sums == (len(text), tree.n_tokens, len([*tree.blocks()]))
             assert tree.n_tokens == len(counter.encoding.encode_ordinary(text))
-            again, total = again + n, total + sum(map(len, tree.nodes))
+            again, total = again + n, total + len(tree.leaves())
     assert again < 0.1 * total
     with_edits = token_counts.derived_edits(docs)
     found = token_counts.edited_counts(with_edits, RANKS, PATTERN).collect()
@@ -476,6 +478,40 @@ def test_token_counts(spark, docs, empty):
     assert {k: sorted(v) for k, v in after.items()} == {k: sorted(v) for k, v in counted.items()}
 
 
+def test_edits_of_a_long_text_touch_paths_alone(monkeypatch):
+    """In a tree of many levels an edit makes nodes anew along its paths, and no others."""
+    monkeypatch.setattr(token_counts, "FAN_OUT", 4)
+    counter = token_counts.Counter(open(RANKS, "rb").read(), PATTERN)
+    rng = random.Random(3)
+    text = " ".join(rng.choice(["rain", "of", "x1", "né"]) for _ in range(20_000))
+    tree = counter.tree(text)
+    depth, node = 1, tree.root
+    while node.children is not None:
+        depth, node = depth + 1, node.children[0]
+    assert depth >= 5
+
+    def nodes(tree):
+        out, below = set(), [tree.root]
+        while below:
+            node = below.pop()
+            out.add(id(node))
+            below += node.children or []
+        return out
+
+    for _ in range(60):
+        before, keep = nodes(tree), tree.root  # noqa: F841
+        start, gone = rng.randrange(len(text)), rng.choice((0, 3, 40, 400))
+        text, n = token_counts.edited(counter, tree, text, start, gone, rng.choice(("", "two words", "\n\n")))
+        assert n < 30 and len(nodes(tree) - before) < 20 + 8 * depth
+        assert tree.root.sums[:2] == (len(text), len(counter.encoding.encode_ordinary(text)))
+    assert tree.leaves().tolist() == counter.tree(text).leaves().tolist()
+    for _ in range(3):  # down to nothing, and up again
+        text, _ = token_counts.edited(counter, tree, text, 0, len(text), "")
+        assert text == "" and tree.n_tokens == 0 and tree.leaves().shape == (0, 2)
+        text, _ = token_counts.edited(counter, tree, text, 0, 0, "rain of rain " * 50)
+        assert tree.leaves().tolist() == counter.tree(text).leaves().tolist()
+
+
 def test_decoding_against_all_paths():
     """The Viterbi path is the cheapest of all paths through the lattice."""
     rng = np.random.default_rng(4)

@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 
 from vouch.llm import block_dedup, byte_bpe, exact_dedup, jaccard_join, lm_scoring, packing, periodic_runs, quality_rules, secret_scans, suffix_dedup, token_counts, toxicity, whitening
-from vouch.llm.common import table
+from vouch.llm.common import table, written
 
 
 def op1_suffix_dedup(spark, sf_dir):
@@ -18,9 +18,10 @@ def op2_secret_scans(spark, sf_dir):
 
 
 def op3_token_counts(spark, sf_dir):
-    docs = token_counts.derived_edits(table(spark, sf_dir, "documents"))
+    """Trees of all texts are stored, and read again for the edits."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return token_counts.edited_counts(docs, ranks, public_tokenizers.PATTERN).drop("tree")
+    stored = written(token_counts.with_trees(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), "trees")
+    return token_counts.edited_counts(token_counts.derived_edits(stored, "tree"), ranks, public_tokenizers.PATTERN, "tree").drop("tree")
 
 
 def op4_quality_rules(spark, sf_dir):
