@@ -15,7 +15,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from vouch.llm import block_dedup, bloom, byte_bpe, exact_dedup, jaccard_join, packing, quality_rules, repeats, secret_scans, suffix_array, suffix_dedup, token_counts, toxicity
+from vouch.llm import block_dedup, bloom, byte_bpe, exact_dedup, jaccard_join, packing, periodic_runs, quality_rules, repeats, secret_scans, suffix_array, suffix_dedup, token_counts, toxicity
 from vouch.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -146,10 +146,10 @@ def test_suffix_array():
     rng = np.random.default_rng(0)
     for _ in range(300):
         x = rng.integers(0, rng.integers(1, 4), rng.integers(1, 60)).astype(np.uint16)
-        array = suffix_array.suffix_array(x, 64)
+        array = suffix_array.suffix_array(x)
         order = sorted(range(len(x)), key=lambda i: tuple(x[i:]))  # noqa: B023
         assert array.tolist() == order
-        common = suffix_array.permuted_common_prefixes(x, array, 100)
+        common = suffix_array.permuted_common_prefixes(x, array)
         for a, b in zip(order, order[1:], strict=False):
             n = 0
             while max(a, b) + n < len(x) and x[a + n] == x[b + n]:
@@ -157,6 +157,18 @@ def test_suffix_array():
             assert common[b] == n
 
 
+def test_suffix_array_of_periodic_strings():
+    """Long repeats are sorted to their end; prefix doubling over single symbols is the other way to the same array."""
+    rng = np.random.default_rng(5)
+    for period in (1, 2, 3, 7, 50, 333, 4_000):
+        x = np.tile(rng.integers(0, 5, period), -(-10_000 // period))[:10_000].astype(np.uint16)
+        for text in (x, np.concatenate([x[:5_000], [9], x[:5_000]]).astype(np.uint16)):
+            array = suffix_array.suffix_array(text)
+            doubled, _, lcp = periodic_runs.suffix_array(text.astype(np.int64))
+            assert (array == doubled).all()
+            assert (suffix_array.permuted_common_prefixes(text, array)[array] == lcp).all()
+
+
 def test_exact_dedup(docs, empty):
     lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
     groups = {}

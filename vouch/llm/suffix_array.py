@@ -2,8 +2,8 @@
 
 The classic steps: classify suffixes as S or L, sort the leftmost-S (LMS) substrings by inducing from unsorted ones,
 name them, sort the string of names recursively, and induce all suffixes from the sorted LMS ones. The recursion here
-names pairs of neighbouring LMS substrings by the names of the level before, then fours, and so on: each level halves
-the string, and it ends when all names differ or they reach beyond `depth` symbols, as far as the caller compares.
+names pairs of neighbouring LMS substrings by the names of the level before, then fours, and so on: each level sorts only
+what still shares a name, and it ends when all names differ.
 """
 
 from __future__ import annotations
@@ -80,8 +80,8 @@ def induce(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray, bounds: np.ndarr
     return array
 
 
-def sorted_lms(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray, bounds: np.ndarray, depth: int) -> np.ndarray:
-    """LMS suffixes in order, by their first `depth` symbols at least."""
+def sorted_lms(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """LMS suffixes in order."""
     induced = induce(text, is_s, lms, bounds)
     is_lms = np.zeros(len(text), bool)
     is_lms[lms] = True
@@ -97,7 +97,7 @@ def sorted_lms(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray, bounds: np.n
     names = np.zeros(len(lms), np.int64)
     names[at] = np.cumsum(differs)
     reach = 1
-    while len(lms) and names.max() + 1 < len(lms) and 2 * reach < depth + 4:
+    while len(lms) and names.max() + 1 < len(lms):
         after = np.zeros(len(lms), np.int64)
         after[:-reach] = names[reach:] + 1
         n = np.bincount(names)
@@ -118,36 +118,45 @@ def sorted_lms(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray, bounds: np.n
     return lms[np.argsort(names)]
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of all suffixes of text (small unsigned integers), sorted by their first `depth` symbols at least."""
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Starts of all suffixes of text (small unsigned integers), in order."""
     if not len(text):
         return np.zeros(0, np.int32)
     text = text.astype(np.uint16)
     is_s = classify(text)
     lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
     bounds = np.append(0, np.cumsum(np.bincount(text, minlength=int(text.max()) + 1)))
-    return induce(text, is_s, sorted_lms(text, is_s, lms, bounds, depth), bounds)
+    return induce(text, is_s, sorted_lms(text, is_s, lms, bounds), bounds)
 
 
-def permuted_common_prefixes(text: np.ndarray, array: np.ndarray, most: int) -> np.ndarray:
-    """For each position of the array (all suffixes, or those of interest in their order), how many symbols, up to `most`,
-    its suffix shares with the one before it in the array; by position in the text, 0 for the others.
+def permuted_common_prefixes(text: np.ndarray, array: np.ndarray) -> np.ndarray:
+    """For each position of text (bytes), how many symbols its suffix shares with the one before it in the suffix array.
 
-    text holds bytes; eight are compared at a time.
+    A position whose preceding symbol is also that of the other suffix shares one symbol less than the position before
+    it. Only the others are compared, eight bytes at a time; their prefixes add up to n log n at most.
     """
     n = len(text)
-    padded = np.concatenate([text.astype(np.uint8), np.zeros(most + 8, np.uint8)])
-    eight = np.lib.stride_tricks.as_strided(padded, (n + most, 8), (1, 1))
-    here, before = array[1:].astype(np.int64), array[:-1].astype(np.int64)
-    common = np.zeros(n, np.int64)
-    still, of = here, before
-    for k in range(0, most, 8):
-        x = eight[still + k].copy().view("<u8").ravel() ^ eight[of + k].copy().view("<u8").ravel()
+    if not n:
+        return np.zeros(0, np.int32)
+    other = np.full(n, -1, np.int32)
+    other[array[1:]] = array[:-1]
+    text = text.astype(np.uint8)
+    told = np.zeros(n, bool)
+    told[1:] = (other[1:] > 0) & (text[:-1] == text[np.maximum(other[1:], 1) - 1])
+    here = np.flatnonzero(~told & (other >= 0))
+    of, common, k = other[here].astype(np.int64), np.zeros(n, np.int32), 0
+    eight = np.lib.stride_tricks.as_strided(np.concatenate([text, np.zeros(8, np.uint8)]), (n + 1, 8), (1, 1))
+    while len(here):
+        left = n - k - np.maximum(here, of)
+        x = eight[np.minimum(here + k, n)].copy().view("<u8").ravel() ^ eight[np.minimum(of + k, n)].copy().view("<u8").ravel()
+        same = np.full(len(x), 8)
         differs = x != 0
         low = x[differs]
-        common[still[differs]] = k + (np.log2((low & (~low + np.uint64(1))).astype(np.float64)).astype(np.int64) >> 3)
-        still, of = still[~differs], of[~differs]
-    common[still] = most
-    # what lies beyond the end of the text is not shared
-    common[here] = np.minimum(np.minimum(common[here], most), n - np.maximum(here, before))
-    return common
+        same[differs] = np.log2((low & (~low + np.uint64(1))).astype(np.float64)).astype(np.int64) >> 3
+        same = np.minimum(same, left)
+        common[here] += same.astype(np.int32)
+        on = (same == 8) & (left > 8)
+        here, of, k = here[on], of[on], k + 8
+    at = np.arange(n, dtype=np.int32)
+    last = np.maximum.accumulate(np.where(told, 0, at))
+    return common[last] - (at - last)

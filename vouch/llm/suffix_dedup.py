@@ -130,13 +130,15 @@ def _reply(length: int):
         at = np.cumsum(size + 1) - (size + 1)
         text = np.zeros(int((size + 1).sum()), np.uint8)
         text[spread(at, size)] = content[spread(place, size)] + np.uint8(1)
-        array = suffix_array(text, length)
+        array = suffix_array(text)
         window = np.full(len(text), -1, np.int64)
         window_at = np.append(0, np.cumsum(count))
         window[spread(at, count)] = np.arange(window_at[-1])
-        ordered = array[window[array] >= 0]
-        common = permuted_common_prefixes(text, ordered, length)
-        group = np.flatnonzero(np.append(True, common[ordered][1:] < length)[: len(ordered)])
+        # what two windows share is the least prefix between them in the array, where suffixes of other places may stand
+        places = np.flatnonzero(window[array] >= 0)
+        ordered, common = array[places], permuted_common_prefixes(text, array)[array]
+        shared = np.minimum.reduceat(common[: places[-1] + 1], places[:-1] + 1) if len(places) > 1 else common[:0]
+        group = np.flatnonzero(np.append(True, shared < length)[: len(ordered)])
         document = np.repeat(by_context, count)[window[ordered]]
         least_of = np.empty(window_at[-1], np.int64)
         if len(group):
