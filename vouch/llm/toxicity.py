@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vouch.llm.common import arrow_schema, slices, thrifty, whole_texts
+from vouch.llm.common import arrow_schema, slices, thrifty, whole_texts, written
 
 MAX_FIT_ROWS = 16_000
 #: A weight rests on so many toxic rows at least, and on this share of them: the words of a few copies are no evidence.
@@ -261,7 +261,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) ->
         counts[row.key] = row.n
     costs = trigram_costs(counts)
     rows = F.broadcast(training_rows(docs, labels, max_fit_rows))  # max_fit_rows rows of two numbers
-    texts = whole_texts(docs).join(rows, "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)))
+    # the fit reads its rows several times, and not all texts each time
+    texts = written(whole_texts(docs).join(rows, "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2))), "fit-rows")
     run, ddl = _fit_counts(Restorer(costs))
     first = texts.filter("half = 0").select("text", F.col("toxic").cast("int"))
     total = first.groupBy().agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("clean")).first()
