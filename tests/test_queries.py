@@ -46,6 +46,12 @@ def test_has_rows(spark, name):
     assert registry.queries()[name](spark, str(SF)).count()
 
 
+def test_matches_exchange_little(spark):
+    """Stored tables are joined and grouped where they lie; nothing is cached."""
+    plan = registry.matches(spark, str(SF))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") < 8 and "InMemoryTableScan" not in plan and "collect_list" not in plan
+
+
 def test_entry(spark):
     import __spark_entry__
 

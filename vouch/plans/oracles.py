@@ -335,6 +335,12 @@ SQL = {
         ("lines", "SELECT app_id, line, string_agg(text, ' ' ORDER BY x, seq) AS text, round(avg(conf), 6) AS conf, arg_min(y, x * 1000000 + seq) AS y, min(x) AS x1, min(y) AS y1, max(x + w) AS x2, max(y + h) AS y2 FROM joined GROUP BY 1, 2"),
     ).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT app_id, CAST(row_number() OVER (PARTITION BY app_id ORDER BY y, line) - 1 AS INT) AS line_pos, text, conf, y, x1, y1, x2, y2 FROM lines",
     "image_variants": _VARIANTS,
+    "enlarged_images": """WITH placed AS (SELECT k, x * (CAST(32 AS DOUBLE) / 48) AS sx FROM range(20) a(k), range(48) b(x)),
+      near AS (SELECT k, sx - floor(sx) AS f, CASE WHEN floor(sx) < k THEN 64 ELSE 208 END AS v0, CASE WHEN least(31, floor(sx) + 1) < k THEN 64 ELSE 208 END AS v1 FROM placed),
+      sums AS (SELECT k, 36 * sum(floor((1 - f) * v0 + f * v1 + 0.5)) AS s FROM near GROUP BY 1)
+      SELECT p_partkey AS app_id, 48 AS w, 36 AS h, CAST(s AS BIGINT) AS brightness FROM part JOIN sums ON k = p_size % 20""",
+    "rendered_pages": _with(_PAGES) + "SELECT app_id, page, 'document_p1.png' AS name FROM pages WHERE page = 1",
+    "samples": _with(("runs", S.RUNS)) + "SELECT filename AS name, round(size_bytes / CAST(1024 AS DOUBLE), 1) AS size_kb, true AS synthetic FROM runs WHERE filename = 'label.pdf'",
     "image_texts": _with(_SPLIT, _DOC_LINES) + "SELECT app_id, image, string_agg(text, ' ' ORDER BY line_pos) AS text FROM lines GROUP BY 1, 2",
     "recognition_passes": _with(("sized", SIZED), ("ways", "SELECT *, least(scale, cap / greatest(width, height)) AS factor FROM sized, (VALUES (CAST(2 AS DOUBLE), CAST(1400 AS DOUBLE)), (4, 2800)) v(scale, cap), (VALUES (3), (11)) m(psm)")) + "SELECT app_id, name, psm, scale, round(factor, 6) AS factor, CAST(round(width * factor) AS INT) AS width, CAST(round(height * factor) AS INT) AS height FROM ways WHERE factor > 1",
     "page_images": _with(("blocks", S.BLOCKS)) + "SELECT app_id, page, CAST(row_number() OVER (PARTITION BY app_id ORDER BY page, block_seq) - 1 AS INT) AS img_pos, concat('p', page, '_', row_number() OVER (PARTITION BY app_id, page ORDER BY block_seq), '.png') AS name, w AS width, h AS height, concat_ws(' ', x0, y0, x1, y1) AS bbox FROM blocks WHERE w >= 50 AND h >= 50 AND page <= 3",

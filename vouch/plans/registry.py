@@ -247,12 +247,31 @@ def reports(spark, d):
     return results.reports(*_everything(spark, d))
 
 
+def _brightness():
+    """The sum of an image's pixels."""
+    return F.aggregate(F.transform(F.split(F.hex("pixels"), "(?<=\\G..)"), lambda x: F.when(x == "", 0).otherwise(F.conv(x, 16, 10).cast("long"))), F.lit(0).cast("long"), lambda a, b: a + b)
+
+
 def image_variants(spark, d):
     """Gray renderings of small images made from the words' boxes: their sizes and sums of pixels."""
     ensure_package(spark)
-    shown = imaging.variants(oracles.drawn_images(spark, d))
-    total = F.aggregate(F.transform(F.split(F.hex("pixels"), "(?<=\\G..)"), lambda x: F.when(x == "", 0).otherwise(F.conv(x, 16, 10).cast("long"))), F.lit(0).cast("long"), lambda a, b: a + b)
-    return shown.select("app_id", "variant", "w", "h", total.alias("brightness"))
+    return imaging.variants(oracles.drawn_images(spark, d)).select("app_id", "variant", "w", "h", _brightness().alias("brightness"))
+
+
+def enlarged_images(spark, d):
+    """The same images at one and a half times their size."""
+    ensure_package(spark)
+    return imaging.enlarged(oracles.drawn_images(spark, d), 1.5).select("app_id", "w", "h", _brightness().alias("brightness"))
+
+
+def rendered_pages(spark, d):
+    return ocr.rendered_pages(_pages(spark, d))
+
+
+def samples(spark, d):
+    """Uploaded files taken as a folder of samples, of which one name is the demonstration's."""
+    found = S.frame(spark, d, S.RUNS).select(F.concat(F.lit("file:/samples/"), "run_id", F.lit("/"), "filename").alias("path"), F.col("size_bytes").alias("length"))
+    return intake.samples(found, "label.pdf")
 
 
 QUERIES = {
@@ -300,6 +319,9 @@ QUERIES = {
     "json_documents": json_documents,
     "reports": reports,
     "image_variants": image_variants,
+    "enlarged_images": enlarged_images,
+    "rendered_pages": rendered_pages,
+    "samples": samples,
 }
 
 
