@@ -19,6 +19,8 @@ from vouch.llm.common import arrow_schema
 #: Filter slots for each row, how many of them a row sets, and the slots of a filter at most (one bit each).
 SLOTS_PER_ROW, PROBES, MOST_SLOTS = 16, 3, 1 << 28
 SEGMENT = 1 << 16
+#: Rows whose slots a task gathers before it sends them, by segment.
+MARKED = 1 << 18
 _SEGMENT_DDL = "segment int, slots binary, again binary"
 
 
@@ -32,25 +34,31 @@ def _slots(h: np.ndarray, mask: int) -> np.ndarray:
 def _mark(mask: int):
     schema = arrow_schema(_SEGMENT_DDL)
 
+    def marks(h: np.ndarray) -> pa.RecordBatch:
+        # a row that names a slot twice still counts once there
+        rows = np.sort(_slots(h, mask), axis=0)
+        fresh = np.vstack([np.ones((1, rows.shape[1]), bool), rows[1:] != rows[:-1]])
+        slots, counts = np.unique(rows[fresh], return_counts=True)
+        segments, starts = np.unique(slots // SEGMENT, return_index=True)
+        within = (slots % SEGMENT).astype(np.uint16)
+        ends = np.append(starts[1:], len(slots))
+        columns = [
+            pa.array(segments.astype(np.int32)),
+            pa.array([within[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
+            pa.array([within[a:b][counts[a:b] > 1].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
+        ]
+        return pa.record_batch(columns, schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            if not len(batch):
-                continue
-            # a row that names a slot twice still counts once there
-            rows = np.sort(_slots(batch.column(0).to_numpy(), mask), axis=0)
-            fresh = np.vstack([np.ones((1, rows.shape[1]), bool), rows[1:] != rows[:-1]])
-            slots, counts = np.unique(rows[fresh], return_counts=True)
-            segments, starts = np.unique(slots // SEGMENT, return_index=True)
-            within = (slots % SEGMENT).astype(np.uint16)
-            ends = np.append(starts[1:], len(slots))
-            yield pa.record_batch(
-                [
-                    pa.array(segments.astype(np.int32)),
-                    pa.array([within[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
-                    pa.array([within[a:b][counts[a:b] > 1].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
-                ],
-                schema=schema,
-            )
+            held.append(batch.column(0).to_numpy())
+            n += len(batch)
+            if n >= MARKED:
+                yield marks(np.concatenate(held))
+                held, n = [], 0
+        if n:
+            yield marks(np.concatenate(held))
 
     return run
 
