@@ -608,3 +608,14 @@ def test_toxicity_in_long_and_short_spellings(spark):
     found = {r.doc_id: r.predicted for r in toxicity.scored(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
     assert [found[3000 + i] for i in range(8)] == [1] * 4 + [0] * 4
     assert "b a d" in toxicity._tokens("so b a d it is")
+
+
+def test_anchors_of_texts_beyond_the_bits_of_a_place(monkeypatch):
+    """Places are kept in so many bits; anchors are the same where they wrap around."""
+    rng = np.random.default_rng(3)
+    grams, bounds = rng.integers(0, 1 << 63, 5_000).astype(np.uint64) << np.uint64(1), np.array([0, 2_100, 5_015])
+    at, text, anchor = repeats.anchored_windows(grams, bounds, 50, 16)
+    monkeypatch.setattr(repeats, "_ORDER_BITS", np.uint64(9))
+    for own, wrapped in zip((at, text, anchor), repeats.anchored_windows(grams, bounds, 50, 16), strict=True):
+        assert (own == wrapped).all()
+    assert all(anchor[i] == a + np.argmin(grams[a : a + 35]) for i, a in enumerate(at[:300]))

@@ -13,7 +13,7 @@ over their words are.
 
 Words are runs of anything but space and U+0009 to U+000D. Null and empty texts have none; documents shorter than a
 window lose nothing. Rows that repeat a doc_id are each judged on their own, and remove nothing from each other. An
-empty table gives an empty result.
+empty table gives an empty result; no columns but doc_id and text are read.
 """
 
 from __future__ import annotations

@@ -6,6 +6,7 @@ concatenated, are the ids of the text; a text without such a place stays whole.
 library holds. The ranks are sent to the executors, where each Python worker builds one encoding.
 
 Null and empty texts have no ids; their digests are those of no bytes. Rows that repeat stay, each with its own result.
+An empty table gives an empty result; no columns but doc_id and text are read.
 """
 
 from __future__ import annotations

@@ -49,10 +49,11 @@ def anchored_windows(item_hashes: np.ndarray, bounds: np.ndarray, window: int, g
     width = window - gram + 1
     if not len(at):
         return at, text, at
-    place = np.arange(len(item_hashes), dtype=np.uint64)
-    ordered = (item_hashes >> _ORDER_BITS << _ORDER_BITS) | place
-    low = sliding(ordered, width, np.minimum)
-    return at, text, (low[at] & ((np.uint64(1) << _ORDER_BITS) - np.uint64(1))).astype(np.int64)
+    # an anchor is less than a window from its start, so the low bits of its place tell where it is, in texts of any length
+    mask = (1 << int(_ORDER_BITS)) - 1
+    ordered = (item_hashes >> _ORDER_BITS << _ORDER_BITS) | (np.arange(len(item_hashes), dtype=np.uint64) & np.uint64(mask))
+    low = sliding(ordered, width, np.minimum)[at].astype(np.int64)
+    return at, text, at + ((low - at) & mask)
 
 
 def runs(anchor: np.ndarray, text: np.ndarray) -> np.ndarray:

@@ -9,7 +9,7 @@ its value is owner-specific and it overlaps no base span.
 
 Here a document is a repository and its source the owner; any other columns can be named. A null owner counts as one
 owner of its own. Null and empty texts have no spans (the digest is that of an empty string). Rows that repeat a
-doc_id are scanned each on their own and keep a row each.
+doc_id are scanned each on their own and keep a row each. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ passage that many documents share, say, as windows there reach into each documen
 anchor are dealt by their own hash instead (96 bits of hashes decide that two are equal), so they spread over buckets.
 
 Null and empty texts have no bytes; documents shorter than `length` lose nothing. Rows that repeat a doc_id are each
-judged on their own, and remove nothing from each other. An empty table gives an empty result.
+judged on their own, and remove nothing from each other. An empty table gives an empty result; no columns but doc_id
+and text are read.
 """
 
 from __future__ import annotations
