@@ -36,8 +36,8 @@ from vouch.llm import bloom, words
 from vouch.llm.common import arrow_schema, joined_by_group, slices, text_bytes, thrifty, written
 from vouch.llm.components import components
 
-#: The recall is for two sets at the threshold, however deep the splitting goes; at the first depth they miss each other once in 8,000 times.
-SHINGLE, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.99
+#: The recall is for two sets at the threshold, however deep the splitting goes; at the first depth they miss each other once in some 160,000 times.
+SHINGLE, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.999
 BINS, SHARED, BUCKET = 32, 1.5, 1024
 #: A set is central in a bucket if on average it shares this part of its tokens with the others there. CENTRAL * SHARED /
 #: THRESHOLD is below 1, so the paths of the other sets grow fewer from depth to depth.
