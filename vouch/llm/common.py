@@ -29,11 +29,11 @@ def whole_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there, and a lost executor costs no recomputation."""
+def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """df as a table in the shared folder: lineage ends there, and a lost executor costs no recomputation. codec: Parquet's, else the session's."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -20,7 +20,7 @@ def op2_secret_scans(spark, sf_dir):
 def op3_token_counts(spark, sf_dir):
     """Trees of all texts are stored, and read again for the edits."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    stored = written(token_counts.with_trees(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), "trees")
+    stored = written(token_counts.with_trees(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), "trees", "zstd")
     return token_counts.edited_counts(token_counts.derived_edits(stored, "tree"), ranks, public_tokenizers.PATTERN, "tree").drop("tree")
 
 
