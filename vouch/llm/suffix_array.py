@@ -93,29 +93,34 @@ def sorted_lms(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray, bounds: np.n
     sums = words.prefix_sums(text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
     h, size = words.range_hashes(sums, lms, ends), ends - lms
     at = number[order]
-    differs = np.append(False, (h[at][1:] != h[at][:-1]) | (size[at][1:] != size[at][:-1]))[: len(at)]
-    names = np.zeros(len(lms), np.int64)
-    names[at] = np.cumsum(differs)
-    reach = 1
-    while len(lms) and names.max() + 1 < len(lms):
-        after = np.zeros(len(lms), np.int64)
-        after[:-reach] = names[reach:] + 1
-        n = np.bincount(names)
-        # a level sorts only what shares its name with another; a new name is the number of smaller suffixes
-        rank = (np.cumsum(n) - n)[names]
-        tied = np.flatnonzero(n[names] > 1)
-        key = names[tied] * (len(lms) + 1) + after[tied]
-        order = np.argsort(key)
-        tied, key = tied[order], key[order]
-        place = np.arange(len(tied))
-        group = np.maximum.accumulate(np.where(np.append(True, names[tied][1:] != names[tied][:-1]), place, 0))
-        same = np.maximum.accumulate(np.where(np.append(True, key[1:] != key[:-1]), place, 0))
-        rank[tied] += same - group
-        used = np.zeros(len(lms), bool)
-        used[rank] = True
-        names = (np.cumsum(used) - 1)[rank]
-        reach *= 2
-    return lms[np.argsort(names)]
+    opens = np.append(True, (h[at][1:] != h[at][:-1]) | (size[at][1:] != size[at][:-1]))[: len(at)]
+    return lms[_sorted_names(at, opens)]
+
+
+def _sorted_names(order: np.ndarray, opens: np.ndarray) -> np.ndarray:
+    """The order of all suffixes of a string of names, given its places in the order of their names, and where each name begins there.
+
+    A level sorts what still shares its rank (the number of smaller suffixes) by the rank as far on as all ranks reach.
+    """
+    m, reach = len(order), 1
+    rank = np.full(m + 1, -1, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(opens, np.arange(m), 0))
+    shared = ~opens
+    shared[:-1] |= ~opens[1:]
+    places = np.flatnonzero(shared)
+    order = order.copy()
+    while len(places):
+        at = order[places]
+        key = rank[at] * (m + 1) + rank[np.minimum(at + reach, m)] + 1
+        by_key = np.argsort(key)
+        at, key = at[by_key], key[by_key]
+        new = np.append(True, key[1:] != key[:-1])
+        order[places] = at
+        rank[at] = np.maximum.accumulate(np.where(new, places, 0))
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        places, reach = places[tied], 2 * reach
+    return order
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
