@@ -33,7 +33,7 @@ MAX_FIT_ROWS = 16_000
 MIN_ROWS, MIN_SHARE, MIN_WEIGHT = 4, 0.01, 3.0
 #: Weights kept at most, the strongest first; this bounds the model, whatever the vocabulary.
 MAX_WEIGHTS = 4_000
-KNOWN_TOKENS = 300_000
+KNOWN_TOKENS = 150_000
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6, 7)
 
@@ -199,16 +199,25 @@ def _fit_counts(restorer: Restorer):
     def run(batches):
         known: dict[str, list[str]] = {}
         counts = {0: Counter(), 1: Counter()}
+
+        def told() -> pa.RecordBatch:
+            keys = list(counts[0] | counts[1])
+            return pa.record_batch([pa.array(keys, pa.string()), pa.array([counts[1][k] for k in keys], pa.int64()), pa.array([counts[0][k] for k in keys], pa.int64())], schema=schema)
+
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = set()
                 for token in _tokens(text):
                     if (of := known.get(token)) is None:
+                        if len(known) > KNOWN_TOKENS // 4:  # each with a list of features
+                            known.clear()
                         of = known[token] = features(restorer.words(token))
                     found.update(of)
                 counts[toxic].update(found)
-        keys = list(counts[0] | counts[1])
-        yield pa.record_batch([pa.array(keys, pa.string()), pa.array([counts[1][k] for k in keys], pa.int64()), pa.array([counts[0][k] for k in keys], pa.int64())], schema=schema)
+                if len(counts[0]) + len(counts[1]) > KNOWN_TOKENS:  # counts of one feature are added up later
+                    yield told()
+                    counts = {0: Counter(), 1: Counter()}
+        yield told()
 
     return thrifty(run), ddl
 
