@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 from vouch.plans import registry
+from vouch.plans import stand_ins as S
 
 SF = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="the driver's tables are not here")
@@ -52,6 +53,13 @@ def test_matches_exchange_little(spark):
     assert plan.count("Exchange") < 8 and "InMemoryTableScan" not in plan and "collect_list" not in plan
 
 
+def test_braces_of_patterns_are_no_tables():
+    """The number in BARE_TTB_ID's {14} stays a quantifier in the SQL of documents and reports."""
+    assert S.names(r"SELECT '\d{14}' FROM {part}") == {"part"}
+    assert S.for_duckdb(r"SELECT '\d{14}' FROM {part}") == r"SELECT '\d{14}' FROM part"
+    assert all(r"(\d{14})" in registry.oracle_sql()[name] for name in ("json_documents", "reports"))
+
+
 def test_entry(spark):
     import __spark_entry__
 
