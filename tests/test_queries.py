@@ -70,6 +70,27 @@ def test_sizes_are_rounded_as_in_the_sql(spark, tmp_path):
     assert ours == [size for (size,) in events.sql(f"SELECT size_bytes FROM ({S.for_duckdb(S.RUNS)})").fetchall()] == [round(value * 1e6)]
 
 
+def test_parts_are_dealt_over_tasks(spark):
+    """However few row groups hold the parts; and what is made from them is not exchanged again, nor broadcast."""
+    rows = registry.form_entries(spark, str(SF))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+    for name in ("form_with_product", "form_boxes", "matches", "json_documents", "reports"):
+        assert "BroadcastExchange" not in registry.queries()[name](spark, str(SF))._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_rasters_are_those_of_the_sql(spark):
+    ours, theirs = S.rasters(spark, str(SF)), S.frame(spark, str(SF), S.RASTERS)
+    assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, theirs.collect()))
+
+
+def test_no_work_for_each_pixel_in_sql(spark):
+    """Pixels are drawn by line and summed in numpy: lists of pixels took most of these queries' time."""
+    for name in ("checkbox_ratios", "image_variants", "enlarged_images"):
+        plan = registry.queries()[name](spark, str(SF))._jdf.queryExecution().optimizedPlan().toString()
+        assert "transform(" not in plan and "aggregate(" not in plan.replace("Aggregate", ""), name
+
+
 def test_entry(spark):
     import __spark_entry__
 
