@@ -55,7 +55,9 @@ def page_images(blocks: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("app_id").orderBy("page", "block_seq")) - 1
     text = {name for name, kind in blocks.dtypes if kind == "string"}
     box = F.concat_ws(" ", *(F.col(c) if c in text else six_digits(c) for c in ("x0", "y0", "x1", "y1")))
-    return kept.select("app_id", "page", place.alias("img_pos"), F.concat(F.lit("p"), F.col("page").cast("string"), F.lit("_"), n.cast("string"), F.lit(".png")).alias("name"), F.col("w").alias("width"), F.col("h").alias("height"), box.alias("bbox"))
+    # places first: their exchange and order serve the numbers within pages too
+    numbered = kept.withColumn("img_pos", place).withColumn("n", n)
+    return numbered.select("app_id", "page", "img_pos", F.concat(F.lit("p"), F.col("page").cast("string"), F.lit("_"), F.col("n").cast("string"), F.lit(".png")).alias("name"), F.col("w").alias("width"), F.col("h").alias("height"), box.alias("bbox"))
 
 
 def rendered_pages(pages: DataFrame) -> DataFrame:
