@@ -8,6 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from vouch.operators import evidence as E
 from vouch.plans import registry
 from vouch.plans import stand_ins as S
 
@@ -91,6 +92,20 @@ def test_no_work_for_each_pixel_in_sql(spark):
         assert "transform(" not in plan and "aggregate(" not in plan.replace("Aggregate", ""), name
 
 
+def test_page_images_are_exchanged_and_sorted_once(spark):
+    plan = registry.page_images(spark, str(SF))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+
+
+def test_indexed_evidence_lists_wanted_grams_alone(spark):
+    """The index holds what the probes ask for, not every run of letters of every line; lines are read from a table."""
+    plan = registry.indexed_evidence(spark, str(SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert "wanted" in plan and "regexp_replace" not in plan
+    lines = spark.createDataFrame([(1, i, "the quick brown fox") for i in range(50)], "app_id long, ord long, nl string")
+    asked = spark.createDataFrame([(1, "fox"), (1, "cat"), (2, "the")], "app_id long, gram string")
+    assert sorted(map(tuple, E.postings(lines, asked).collect())) == [(1, "fox", i) for i in range(50)]
+
+
 def test_entry(spark):
     import __spark_entry__
 
