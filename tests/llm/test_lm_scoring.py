@@ -143,6 +143,18 @@ def test_passages_are_dealt_once():
     assert (covered == 1).all()
 
 
+def test_rounds_train_on_every_passage():
+    """The rounds' shares follow each other and leave no passage of a training text out."""
+    rng = np.random.default_rng(2)
+    at = np.append(0, np.cumsum(rng.integers(0, 9000, 300)))
+    covered, begin = np.zeros(at[-1], int), 0
+    for share in L.PASSAGES_PER_ROUND:
+        for a, b in zip(*L.passages(np.zeros(at[-1], np.uint8), at, np.arange(300), range(begin, begin + share)), strict=True):
+            covered[a:b] += 1
+        begin += share
+    assert (covered == 1).all()
+
+
 def brute(rows):
     tokens = {k: [*WORD.findall((t or "").translate(LOWER)), None] for k, (_, t) in enumerate(rows)}
     held = {k: i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for k, (i, _) in enumerate(rows)}

@@ -8,8 +8,8 @@ before them, so every subword and every text's end is scored once. One call of m
 
 What is learned comes from all training texts: word counts by a shuffle, subword counts from those, and the weights by
 rounds in which every task trains on passages of its own texts from the same start and Spark averages the weights (by the
-number of windows). Passages are cut from whole texts all along and dealt to rounds by a hash; PASSAGES_PER_ROUND of DEAL
-are used, a share that is the same at every size. The driver holds weights and subword counts, whose sizes are those of
+number of windows). Passages are cut from whole texts all along and dealt to rounds by a hash; the rounds' shares
+(PASSAGES_PER_ROUND) add up to DEAL, so every passage of every training text is trained on once. The driver holds weights and subword counts, whose sizes are those of
 the model and the vocabulary file.
 
 The word model needs the count of each word. The most frequent words (HEAD_WORDS at most) are sent to all tasks; the
@@ -44,7 +44,7 @@ OWN_CLASSES, SHARED, IN_GROUP = 247, 8, 16
 N_CLASSES = OWN_CLASSES + 1 + SHARED
 #: Beyond these, exponentials are taken after the greatest term is subtracted.
 _SAFE = 60
-PASSAGE_BYTES, DEAL, PASSAGES_PER_ROUND = 2048, 32, (1, 3)
+PASSAGE_BYTES, DEAL, PASSAGES_PER_ROUND = 2048, 32, (1, 3, 28)
 RATE, BATCH, SCORE_BATCH = 0.01, 32, 192
 HEAD_WORDS, SLICE = 1 << 19, 4 << 20
 #: Words that a Python worker keeps the ids of; a slice with more distinct ones is encoded all the same.
