@@ -431,3 +431,35 @@ def test_arrow_batches_have_a_size(spark):
     own.conf.set(BATCH_BYTES_KEY, "1000000")
     ensure_package(own)
     assert own.conf.get(BATCH_BYTES_KEY) == "1000000"
+
+
+def test_printed_lines_are_those_of_the_patterns(spark):
+    """One pattern from the start and four texts find what FURNITURE and CONTINUATION find, which are tried at every character."""
+    listed = ["OMB No. 1", "see omb NO.3", "OMB No", "x https://a", "HTTP://b", "http:/c", "a for TTB use only b", "TTB ID", "ttb id 5", "a TTB ID", "TTB F 5", "TTB F x", "approval", "APPROVALS", "1/2/24, 3:04 PM", "1/2/24, 3:04", "1/2/24, 3:04 pm x", "12/3", "12/3 x"]
+    listed += ["(Required)", "NO. (If any)", "no.if any", "Required x", "IF ON LABEL", "application", "application for and", "APPLICATION FORM", "É", "ſ", "1. NAME"]
+    rows = spark.createDataFrame([(s,) for s in listed], "s string").select("s", form.is_printed("s").alias("own"), (F.rlike("s", F.lit(form.FURNITURE)) | F.rlike("s", F.lit(form.CONTINUATION))).alias("pattern")).collect()
+    assert [(r.s, r.own) for r in rows] == [(r.s, r.pattern) for r in rows] and len({r.own for r in rows}) == 2
+    assert form.PRINTED_LINES.startswith("(?i)^(?:")
+
+
+def test_an_answer_is_one_row_of_the_join(spark):
+    """Candidates and words are no rows of their own: they made the rows that are sorted and grouped for an application five times as many."""
+    form_qa = spark.createDataFrame([(1, 0, "6", "6. BRAND NAME", "Le Long Nom Du Vin Rouge", None), (1, 1, "15", "15. SHOW ANY INFORMATION", "seven words that are four long maybe", None)], "app_id long, pos int, num string, question string, answer string, bbox string")
+    asked = matchers.answers(form_qa)
+    assert matchers.probes(asked).count() == 2
+    lines = label(spark, "du vin", "le long nom", "rouge words that", "SEVEN maybe")
+    rows = {r.pos: r for r in matchers.verdicts(asked, lines).collect()}
+    assert (rows[0].status, rows[0].found_n, rows[0].of_n) == ("MATCH", 4, 4) and rows[0].line == "long nom vin rouge"
+    assert (rows[1].status, rows[1].found_n, rows[1].of_n) == ("PARTIAL", 5, 6) and rows[1].line == "seven words that long maybe"
+
+
+def test_numbers_of_patterns(spark):
+    """A pattern runs on lines that hold the whole part of its number; the point matches anything."""
+    asked = lambda number: matchers.answers(spark.createDataFrame([(1, 0, "11", "11. ALCOHOL CONTENT", number)], "app_id long, pos int, num string, question string, answer string"))
+    lines = label(spark, "13 5 % vol", "Alc. 13.5% BY VOL")
+    assert matchers.verdicts(asked("13.5"), lines).first().line == "Alc. 13.5% BY VOL"
+    assert matchers.verdicts(asked("14.5"), lines).first().status == matchers.verdicts(asked("3.5"), lines).first().status == "NOT FOUND"
+
+
+def test_lower_case_of_ascii_letters_alone(spark):
+    assert [r[0] for r in spark.createDataFrame([("ABZ[`az",), ("ÀÉ Abſ\u212a",), ("",), (None,)], "s string").select(T.ascii_lower("s")).collect()] == ["abz[`az", "ÀÉ abſ\u212a", "", None]
