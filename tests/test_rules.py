@@ -463,3 +463,17 @@ def test_numbers_of_patterns(spark):
 
 def test_lower_case_of_ascii_letters_alone(spark):
     assert [r[0] for r in spark.createDataFrame([("ABZ[`az",), ("ÀÉ Abſ\u212a",), ("",), (None,)], "s string").select(T.ascii_lower("s")).collect()] == ["abz[`az", "ÀÉ abſ\u212a", "", None]
+
+
+def test_checkbox_ratios_neither_sort_pixels_nor_depend_on_the_pages_beside(spark):
+    rng = np.random.default_rng(5)
+    sizes = [(24, 84), (30, 60), (24, 84), (1, 1)]
+    pages = [np.asarray(rng.integers(0, 256, (h, w)), np.uint8) for w, h in sizes]
+    rows = [(i, w, h, bytearray(page.tobytes())) for i, ((w, h), page) in enumerate(zip(sizes, pages))] + [(4, 24, 84, bytearray(b"\x00")), (5, 24, 84, None), (6, None, 84, bytearray(b"\x00"))]
+    places = [("WINE", 0, 20.5, 12.25), ("MALT BEVERAGE", 2, 2.0, 50.0)]
+    options = spark.createDataFrame([(i, *place) for i in range(8) for place in places], "app_id long, option string, option_pos int, x1 double, y1 double")
+    found = imaging.checkbox_ratios(spark.createDataFrame(rows, "app_id long, w int, h int, pixels binary").coalesce(1), options)
+    expected = {(i, option): imaging.dark_ratio(imaging.dark_sums(page), x, y) for i, page in enumerate(pages) for option, _, x, y in places}
+    assert {(r.app_id, r.option): r.dark_ratio for r in found.collect()} == expected
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
