@@ -15,7 +15,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from vouch.llm import block_dedup, bloom, byte_bpe, exact_dedup, jaccard_join, packing, periodic_runs, quality_rules, repeats, secret_scans, suffix_array, suffix_dedup, token_counts, toxicity
+from vouch.llm import block_dedup, bloom, byte_bpe, common, exact_dedup, jaccard_join, packing, periodic_runs, quality_rules, repeats, secret_scans, suffix_array, suffix_dedup, token_counts, toxicity
 from vouch.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -285,6 +285,25 @@ def test_components(spark):
     same(found, [(x, find(x)) for x in {y for a, b in links if a != b for y in (a, b)}])
 
 
+def test_small_tables_take_few_tasks(spark):
+    """A table of known size isn't written in a file for each partition of a shuffle, and a filter is fetched in one job."""
+    wide = spark.range(500).select(F.col("id").alias("h")).repartition(64, "h")
+    assert len(common.written(wide, "wide", rows=500).inputFiles()) <= common.LEAST_TASKS < len(common.written(wide, "wide").inputFiles())
+    sc, held = spark.sparkContext, {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    sc.setJobGroup("filter", "")
+    try:
+        asked = bloom.marked(wide, 200_000)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(sc.statusTracker().getJobIdsForGroup("filter")) <= 4
+    assert wide.filter(asked(F.col("h"))).count() == 500
+
+
 def test_byte_bpe(docs, empty):
     import tiktoken
 

@@ -203,48 +203,54 @@ def _buckets(classes: DataFrame, runs: int, bucket: int) -> tuple[DataFrame, Dat
     per_set = SHARED / THRESHOLD
     run, ddl = _first_paths(runs, per_set)
     members = written(classes.select("node", "tokens").mapInArrow(run, ddl), "paths")
-    levels, counts, grids = [], [], []
+    levels, counts, grids, n_split, n_buckets = [], [], [], 0, 0
     while True:
-        counted = written(_counted(members), "counted")
+        counted = written(_counted(members), "counted", rows=members.count())
         levels.append(members)
         counts.append(counted.filter(F.col("n") <= bucket))
         large = counted.filter(F.col("n") > bucket).select(F.col("key").alias("path"), "n")
-        if large.isEmpty():
+        n_inside = large.agg(F.sum("n")).first()[0] or 0
+        n_buckets += counted.count()
+        if not n_inside:
             break
+        n_split += n_inside
         inside = joined_by_group(members.select(F.col("key").alias("path"), "node"), large, "path", "n")
-        inside = inside.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)))
-        inside = written(inside.join(classes.select("node", "tokens"), "node").select("path", "n", "tokens", "node", "block"), "inside")
+        inside = written(inside.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK))), "inside", rows=n_inside)
+        # tokens of the sets inside alone are shuffled, and not those of all sets at every depth
+        asked = bloom.marked(inside.select("node"), n_inside)
+        inside = inside.join(classes.select("node", "tokens").filter(asked(F.col("node"))), "node").select("path", "n", "tokens", "node", "block")
+        inside = written(inside, "blocks", rows=n_inside)
         # of a bucket's tokens those that many sets there have: RARE * BINS at most
         frequent = inside.groupBy("path", "block").applyInArrow(_frequent(), _FREQUENT_DDL)
         frequent = frequent.groupBy("path", "token").agg(F.sum("held").alias("held"), F.max("n").alias("n")).filter(F.col("held") * RARE >= F.col("n"))
         frequent = frequent.groupBy("path").agg(F.max("n").alias("n"), F.collect_list(F.struct("token", "held")).alias("found"))
         frequent = frequent.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK) - 1)).alias("block"), "found")
         told = inside.groupBy("path", "block").cogroup(frequent.groupBy("path", "block")).applyInArrow(_split(per_set), _SPLIT_DDL)
-        told = written(told.select("path", "node", "children", (F.col("share") >= CENTRAL).alias("central")), "told")
+        told = written(told.select("path", "node", "children", (F.col("share") >= CENTRAL).alias("central")), "told", rows=n_inside)
         grids.append(told.select(F.col("path").alias("key"), "node", "central"))
         members = written(told.filter("NOT central").select(F.explode("children").alias("key"), "node"), "paths")
     # buckets of the same sets: one is enough
     small = _union(counts).groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key")
-    small = _union(levels).join(written(small, "small"), "key")
-    return small, _merged(_union(grids)) if grids else None
+    small = _union(levels).join(written(small, "small", rows=n_buckets), "key")
+    return small, _merged(_union(grids), n_split) if grids else None
 
 
-def _merged(large: DataFrame) -> DataFrame:
+def _merged(large: DataFrame, n: int) -> DataFrame:
     """key, node, central, n, n_central: large buckets, as one where they have most of their central sets in common.
 
     Near copies are together in many buckets; so they are compared once and not in each.
     """
-    sizes = written(large.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("central").alias("n_central")).filter("n_central > 0"), "sizes")
+    sizes = written(large.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("central").alias("n_central")).filter("n_central > 0"), "sizes", rows=n)
     lists = large.filter("central").groupBy("node").agg(F.collect_set("key").alias("keys")).filter(F.size("keys") > 1)
     pairs = lists.select(F.explode("keys").alias("a"), "keys").select("a", F.explode("keys").alias("b")).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     n_central = lambda name: sizes.select(F.col("key").alias(name), F.col("n_central").alias("of_" + name))
     links = pairs.join(n_central("a"), "a").join(n_central("b"), "b").filter(2 * F.col("shared") >= F.least("of_a", "of_b"))
-    found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "key")
-    names = written(sizes.select("key", "n").join(found, "key", "left").select("key", "n", F.coalesce("component", "key").alias("cluster")), "names")
+    found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), n).withColumnRenamed("node", "key")
+    names = written(sizes.select("key", "n").join(found, "key", "left").select("key", "n", F.coalesce("component", "key").alias("cluster")), "names", rows=n)
     merged = joined_by_group(large, names, "key", "n").groupBy(F.col("cluster").alias("key"), "node").agg(F.bool_or("central").alias("central"))
-    merged = written(merged, "merged")
+    merged = written(merged, "merged", rows=n)
     sizes = merged.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("central").alias("n_central"))
-    return joined_by_group(merged, written(sizes, "sizes"), "key", "n").select("key", "node", "central", "n", "n_central")
+    return joined_by_group(merged, written(sizes, "sizes", rows=n), "key", "n").select("key", "node", "central", "n", "n_central")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -451,7 +457,7 @@ def _comparer(threshold: float):
     return thrifty(run)
 
 
-def _links(texts: DataFrame, classes: DataFrame, shingle: int, threshold: float, recall: float, bucket: int) -> DataFrame:
+def _links(texts: DataFrame, classes: DataFrame, n_classes: int, shingle: int, threshold: float, recall: float, bucket: int) -> DataFrame:
     """node, n_class_links, n_links, root: what every comparison found."""
     small, grid = _buckets(classes, runs_for(recall, SHARED), bucket)
     run, ddl = _promising(threshold)
@@ -461,7 +467,7 @@ def _links(texts: DataFrame, classes: DataFrame, shingle: int, threshold: float,
     ends = promising.select("key", "node", F.lit(True).alias("central"), zero.alias("n"), zero.alias("n_central"))
     ends = ends.unionByName(grid) if grid is not None else ends
     wanted = ends.groupBy("node").agg(F.collect_list(F.struct("key", "central", "n", "n_central")).alias("ends"))
-    wanted = written(wanted.join(classes.select("node", F.col("rep.row_key").alias("row_key"), "size"), "node"), "wanted")
+    wanted = written(wanted.join(classes.select("node", F.col("rep.row_key").alias("row_key"), "size"), "node"), "wanted", rows=n_classes)
     asked = bloom.marked(wanted.select("row_key"), wanted.count())
     members = texts.filter(asked(F.col("row_key"))).join(wanted, "row_key").select("text", "node", "size", "ends").mapInArrow(_members(shingle, bucket), _MEMBER_DDL)
     return members.repartition(F.col("task")).sortWithinPartitions("task").mapInArrow(_comparer(threshold), _FOUND_DDL)
@@ -478,17 +484,18 @@ def _classed(docs: DataFrame, shingle: int, threshold: float, recall: float, buc
     described = written(texts.select("doc_id", "row_key", "text").mapInArrow(_described(shingle), _SET_DDL), "sets")
     row = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row_key")
     classes = described.filter("n_shingles > 0").groupBy("node", "check").agg(F.min(row).alias("rep"), F.count(F.lit(1)).alias("size"), F.any_value("tokens").alias("tokens"))
-    classes = written(classes, "classes")
-    found = written(_links(texts, classes, shingle, threshold, recall, bucket), "found")
+    classes = written(classes, "classes", rows=described.count())
+    n_classes = classes.count()
+    found = written(_links(texts, classes, n_classes, shingle, threshold, recall, bucket), "found")
     links = found.groupBy("node").agg(F.sum("n_class_links").alias("n_class_links"), F.sum("n_links").alias("n_links"))
-    groups = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    named = written(groups.join(classes.select("node", "rep"), "node"), "named")
-    least = written(named.groupBy("component").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")), "least")
+    groups = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")), found.count())
+    named = written(groups.join(classes.select("node", "rep"), "node"), "named", rows=n_classes)
+    least = written(named.groupBy("component").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")), "least", rows=n_classes)
     of_node = joined_by_group(named.select("node", "component"), least, "component", "n").select("node", "least")
     of_class = classes.select("node", "check", "rep", "size").join(of_node, "node", "left").join(links, "node", "left")
     zero = F.lit(0).cast("long")
     of_class = of_class.select("node", "check", F.coalesce("least", "rep").alias("least"), F.col("rep").alias("copy"), (F.coalesce("n_links", zero) + F.col("size") - 1).alias("n_links"), F.coalesce("n_class_links", zero).alias("n_class_links"), "size")
-    of_class = written(of_class, "of-class")
+    of_class = written(of_class, "of-class", rows=n_classes)
     shingled = described.filter("n_shingles > 0").select("doc_id", "row_key", "node", "check")
     joined = joined_by_group(shingled, of_class, ["node", "check"], "size").select("doc_id", "row_key", "least", "copy", "n_links", "n_class_links")
     alone = described.filter("n_shingles = 0").select("doc_id", "row_key", row.alias("least"), row.alias("copy"), zero.alias("n_links"), zero.alias("n_class_links"))
