@@ -477,3 +477,11 @@ def test_checkbox_ratios_neither_sort_pixels_nor_depend_on_the_pages_beside(spar
     assert {(r.app_id, r.option): r.dark_ratio for r in found.collect()} == expected
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_form_lines_are_trimmed_once(spark):
+    """The filter of printed lines names a line at many places; the plan trims it at one."""
+    pages = spark.range(3).select(F.col("id").alias("app_id"), F.lit(1).alias("page"), F.concat(F.lit(" \t6. BRAND NAME\r\n OMB No. 1\n\n1/2\nÉa "), F.col("id").cast("string"), F.lit(" \n")).alias("text"))
+    lines = form.form_lines(pages)
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("trim(") == 1
+    assert sorted(map(tuple, lines.collect())) == sorted(row for i in range(3) for row in ((i, 0, "6. BRAND NAME"), (i, 4, f"Éa {i}")))
